@@ -124,15 +124,16 @@ def class_links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame,
     spread = lambda n: F.pmod(F.xxhash64("cid", F.lit(11)), F.col(n)).cast("int")
     sides = lambda df, own, other: df.join(F.broadcast(blocks), "home").withColumn(own[0], spread(own[1])).withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other[1]) - 1)))
     candidates = sides(coded.select("home", "cid", "embedding", "members", "codes", "error"), ("c", "nc"), ("q", "nq")).select("home", "c", "q", "cid", "embedding", "members", "codes", "error")
-    queries = sides(coded.select(F.explode("probes").alias("home"), "cid", "embedding"), ("q", "nq"), ("c", "nc")).select("home", "c", "q", "cid", "embedding")
+    asks = coded.select(F.explode("probes").alias("home"), "cid", "embedding")
+    queries = sides(asks, ("q", "nq"), ("c", "nc")).select(F.col("home").alias("of"), F.col("c").alias("of_c"), F.col("q").alias("of_q"), F.col("cid").alias("asking"), F.col("embedding").alias("vector"))
 
     def compare(key, asks: pa.Table, holds: pa.Table) -> pa.Table:
         q = known.value
         if not len(asks) or not len(holds):
             return pa.table({"cid": pa.array([], pa.int64()), "linked": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        x, y = matrix(asks["embedding"], width), matrix(holds["embedding"], width)
+        x, y = matrix(asks["vector"], width), matrix(holds["embedding"], width)
         ux, uy = unit(x), unit(y)
-        cx, cy, m = asks["cid"].to_numpy(), holds["cid"].to_numpy(), holds["members"].to_numpy()
+        cx, cy, m = asks["asking"].to_numpy(), holds["cid"].to_numpy(), holds["members"].to_numpy()
         codes = np.frombuffer(b"".join(holds["codes"].to_pylist()), np.uint8).reshape(len(holds), -1)
         reach = radius + holds["error"].to_numpy() + SLACK
         linked, a, b = np.zeros(len(cx), np.int64), [], []
@@ -150,7 +151,7 @@ def class_links(classes: DataFrame, cosine: float = COSINE) -> tuple[DataFrame,
         return pa.table({"cid": pa.array(np.concatenate([cx[some], nodes[far]])), "linked": pa.array(np.concatenate([linked[some], np.zeros(e, np.int64)])), "root": pa.array(np.concatenate([np.full(n, -1), roots[far]]))})
 
     prepare(spark)
-    found = stash(queries.groupBy("home", "c", "q").cogroup(candidates.groupBy("home", "c", "q")).applyInArrow(compare, "cid long, linked long, root long"))
+    found = stash(queries.groupBy("of", "of_c", "of_q").cogroup(candidates.groupBy("home", "c", "q")).applyInArrow(compare, "cid long, linked long, root long"))
     return found.where("root = -1").groupBy("cid").agg(F.sum("linked").alias("linked")), found.where("root >= 0").select(F.col("cid").alias("a"), F.col("root").alias("b"))
 
 

@@ -19,6 +19,8 @@ columns are ignored by `find`, kept by `redact`.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +139,10 @@ def discovered(rows: DataFrame, trusted: DataFrame) -> DataFrame:
     return found.join(best, "pattern").groupBy("row", "doc_id", "mark").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
 
 
+def _is_kind(kind: str, span: Column) -> Column:
+    return span["kind"] == kind
+
+
 def _order(spans: Column) -> Column:
     """By kind as listed, then place."""
     rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
@@ -153,7 +159,7 @@ def find(docs: DataFrame) -> DataFrame:
         every = every.withColumn("every", F.col("base"))
     else:
         every = every.join(discovered(rows, trusted).select("row", "more"), "row", "left").withColumn("every", F.concat("base", F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.filter("base", partial(_is_kind, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return every.select("doc_id", *counts, F.sha2(F.array_join(_order(F.col("base")), ","), 256).alias("base_sha256"), F.array_join(_order(F.col("every")), ",").alias("spans"))
 
 
