@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, forest, hosts, neardup, packing, pii, quality
+from . import bpe, chat, forest, hosts, maxent, neardup, packing, pii, quality
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op8_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_forest": op8_forest,
+    "op9_maxent": op9_maxent,
     "op10_neardup": op10_neardup,
 }
 
