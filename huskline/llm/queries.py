@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, forest, hosts, maxent, neardup, packing, pii, quality
+from . import bpe, chat, forest, hosts, jaccard, maxent, neardup, packing, pii, quality
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hosts": op2_hosts,
     "op3_chat": op3_chat,
     "op4_bpe": op4_bpe,
+    "op5_jaccard": op5_jaccard,
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_forest": op8_forest,
