@@ -2,5 +2,547 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import parsing, rules
+from ..functions import text as tx
+from ..operators import bayes, detect, features, labels, lines, metrics, sampling, vocab
+from ..sources.code_view import code_files, code_lines, with_code
+from . import oracle
+from .oracle import SQL
+
+__all__ = ["QUERIES", "SQL"]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(name: str):
+    def add(f):
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_files(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_lines(files(spark, sf_dir))
+
+
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.comments(view(spark, sf_dir))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, split, lang, idx, line, label, key: lines of the code view with the scanner's labels."""
+    return labels.label_lines(files(spark, sf_dir)).withColumn("key", F.concat_ws("-", "doc_id", "idx"))
+
+
+# Lines and comments
+
+
+@query("explode_lines")
+def _(s, d):
+    return lines.explode_lines(with_code(files(s, d))).select("doc_id", "file_path", "lineno", "line")
+
+
+@query("extract_comments")
+def _(s, d):
+    return comments(s, d).select("file_path", "lineno", "content")
+
+
+for _anchor, _name in (("line", "leading_comments"), ("file", "leading_comments_file")):
+
+    @query(_name)
+    def _(s, d, anchor=_anchor):
+        return with_code(files(s, d)).select("doc_id", F.explode(lines.leading_comments(F.col("code"), anchor)).alias("content"))
+
+
+@query("strip_docs")
+def _(s, d):
+    return with_code(files(s, d)).select("doc_id", lines.strip_docs(F.col("code")).alias("code"))
+
+
+@query("split_clean_lines")
+def _(s, d):
+    return with_code(files(s, d)).select("doc_id", F.explode(lines.split_clean(F.col("code"))).alias("data"))
+
+
+@query("line_dataset")
+def _(s, d):
+    return lines.line_dataset(with_code(files(s, d)))
+
+
+@query("seeded_shuffle")
+def _(s, d):
+    """Comments in seeded order, by rank."""
+    rows = sampling.ranked(comments(s, d).withColumn("label", F.lit(1)).withColumn("key", F.concat_ws("-", "doc_id", "lineno")), F.col("key"))
+    return rows.select("doc_id", "lineno", F.col("place").alias("rank"))
+
+
+@query("nonempty_lines")
+def _(s, d):
+    return files(s, d).select("doc_id", F.explode(F.filter("lines", lambda x: F.length(x) > 0)).alias("line"))
+
+
+# Labels and context
+
+
+@query("fsm_labels")
+def _(s, d):
+    return labelled(s, d).select("doc_id", "idx", "line", "label")
+
+
+@query("context_lists")
+def _(s, d):
+    rows = labels.context_lines(files(s, d), 2, 2)
+    return rows.select("doc_id", "idx", F.size("before").cast("long").alias("n_before"), F.array_join("before", "|").alias("before"), "text", F.size("after").cast("long").alias("n_after"), F.array_join("after", "|").alias("after"), "label")
+
+
+@query("context_merged")
+def _(s, d):
+    return labels.merged(labels.context_lines(files(s, d), 1, 1)).select("doc_id", "idx", "before", "text", "after", "label")
+
+
+@query("context_file")
+def _(s, d):
+    return labels.file_context(labelled(s, d), files(s, d)).select("doc_id", "idx", "label", F.md5(F.concat_ws("\n", "context", "line")).alias("context_md5"))
+
+
+@query("label_counts")
+def _(s, d):
+    return labelled(s, d).groupBy("label").agg(F.count("*").alias("n"))
+
+
+# Tokens, ids and features
+
+
+@query("lex_lines")
+def _(s, d):
+    t = tx.lex(F.col("line"))
+    return view(s, d).select("doc_id", "lineno", F.array_join(F.transform(t, lambda x: x["kind"]), " ").alias("kinds"), F.array_join(F.transform(t, lambda x: x["tok"]), " ").alias("tokens"))
+
+
+@query("lex_pages")
+def _(s, d):
+    """The lexer on markup: tokens of a page by kind."""
+    t = tx.lex(F.col("html"))
+    return read(s, d, "pages").select("page_id", F.explode(t).alias("t")).groupBy("page_id", F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("t.tok")).alias("chars"))
+
+
+@query("preclean_lines")
+def _(s, d):
+    return view(s, d).select("doc_id", "lineno", tx.preclean(F.col("line")).alias("line"))
+
+
+@query("split_identifiers")
+def _(s, d):
+    names = vocab.tokens(view(s, d), "name_op").where(F.col("token").rlike(tx.IS_NAME)).distinct()
+    return names.select("token", tx.joined(tx.split_identifier(F.col("token"))).alias("parts"))
+
+
+def _ids(name, layout, split):
+    @query(name)
+    def _(s, d):
+        return view(s, d).select("doc_id", "lineno", tx.joined(features.ids_of(F.col("line"), layout=layout, split=split)).alias("ids"))
+
+
+_ids("token_ids", "plain", False)
+_ids("token_ids_short", "short", False)
+_ids("token_ids_context", "context", False)
+_ids("token_ids_split", "plain", True)
+
+
+@query("token_ids_join")
+def _(s, d):
+    """Ids from a vocabulary of the corpus itself, by join."""
+    rows = view(s, d)
+    made = vocab.vocabulary(rows, "name_op", 1000).withColumn("rank", F.col("rank") - 1)
+    return features.ids_by_join(rows, made, ["doc_id", "lineno"]).select("doc_id", "lineno", tx.joined(F.col("ids")).alias("ids"))
+
+
+@query("char_ids")
+def _(s, d):
+    return comments(s, d).select("doc_id", "lineno", tx.joined(tx.pad(tx.char_ids(F.col("content")), 70)).alias("ids"))
+
+
+@query("char_ids_sep")
+def _(s, d):
+    return comments(s, d).select("doc_id", "lineno", tx.joined(tx.char_ids(F.col("content"), first=3)).alias("ids"))
+
+
+@query("char_ids_200")
+def _(s, d):
+    inner = F.lower(F.substr("line", F.lit(3), F.greatest(F.length("line") - 3, F.lit(0))))
+    return view(s, d).select("doc_id", "lineno", tx.joined(tx.pad(tx.char_ids(inner, tx.ALPHABET_200), 200, truncating="post")).alias("ids"))
+
+
+@query("pad_sequences")
+def _(s, d):
+    ids = features.ids_of(F.col("line"))
+    rows = view(s, d).select("doc_id", "lineno", ids.alias("ids"))
+    return rows.select("doc_id", "lineno", tx.joined(tx.pad(F.col("ids"), 8)).alias("post_pre"), tx.joined(tx.pad(F.col("ids"), 8, "pre", "post")).alias("pre_post"))
+
+
+@query("min_length_filter")
+def _(s, d):
+    return features.token_features(view(s, d)).select("doc_id", "lineno", tx.joined(F.col("ids")).alias("ids"))
+
+
+@query("adjacent_names")
+def _(s, d):
+    return view(s, d).select("doc_id", "lineno", tx.adjacent_names(tx.lex(F.col("line"))).alias("prose"))
+
+
+def _context(order):
+    @query(f"context_features_{order}")
+    def _(s, d):
+        if order in ("ct", "tc"):
+            rows = labels.file_context(labelled(s, d), files(s, d), 200).withColumnRenamed("line", "text")
+        else:
+            rows = labels.merged(labels.context_lines(files(s, d), 1, 1))
+        return features.context_features(rows, order, 60 if order in ("ct", "tc") else 90).select("doc_id", "idx", "label", tx.joined(F.col("ids")).alias("ids"))
+
+
+for _order in features.ORDERS:
+    _context(_order)
+
+
+@query("decode_ids")
+def _(s, d):
+    return view(s, d).select("doc_id", "lineno", features.decode(tx.pad(features.ids_of(F.col("line")), 30)).alias("text"))
+
+
+@query("token_length_hist")
+def _(s, d):
+    rows = labels.merged(labels.context_lines(files(s, d), 1, 1))
+    parts = F.array(*(F.struct(F.lit(p).alias("part"), F.size(features.ids_of_text(F.col(p))).cast("long").alias("length")) for p in ("before", "text", "after")))
+    return rows.select(F.inline(parts)).groupBy("part", "length").agg(F.count("*").alias("n"))
+
+
+def _vocab(name, mode, limit):
+    @query(name)
+    def _(s, d):
+        return vocab.vocabulary(view(s, d), mode, limit)
+
+
+for _name, _mode, _limit in (("vocab_split_keyword", "split_keyword", 500), ("vocab_nosplit", "nosplit_keyword", 500), ("vocab_only_keyword", "only_keyword", -1), ("vocab_split_simple", "split_simple", 500), ("vocab_name_op", "name_op", 1000)):
+    _vocab(_name, _mode, _limit)
+
+
+@query("file_identifiers")
+def _(s, d):
+    return vocab.file_identifiers(view(s, d))
+
+
+@query("file_identifiers_top")
+def _(s, d):
+    return vocab.file_identifiers(view(s, d), 3)
+
+
+@query("vocab_gaps")
+def _(s, d):
+    """A vocabulary of the frequent tokens only, by their ranks among all."""
+    return vocab.gaps(vocab.vocabulary(view(s, d), "name_op", 1000).where("token rlike '^[A-Za-z]'"))
+
+
+# Detection
+
+
+@query("rule_triage")
+def _(s, d):
+    return detect.triaged(comments(s, d)).select("file_path", "lineno", "content", "rule")
+
+
+@query("triage_confirmed")
+def _(s, d):
+    return detect.confirmed(comments(s, d)).select("file_path", "lineno", "content", "rule")
+
+
+@query("scan_summary")
+def _(s, d):
+    """The flagship scan: comments by file and what each rule says."""
+    rows = detect.triaged(comments(s, d))
+    return rows.groupBy("file_path").agg(F.count("*").alias("comments"), *(F.count_if(F.col("rule") == r).alias(r) for r in ("drop", "candidate", "main_guard", "undecided")), F.count_if(detect.is_rule_code(F.col("rule"))).alias("findings"))
+
+
+def scored(s, d) -> DataFrame:
+    """Lines outside of training with the Bayes model's score."""
+    rows = labelled(s, d)
+    trained = bayes.model(bayes.counts(rows.where("split = 'train'")))
+    held = rows.where("split <> 'train'")
+    return held.join(bayes.score(held, trained, ["doc_id", "idx"]), ["doc_id", "idx"])
+
+
+def voted(s, d) -> DataFrame:
+    """Comments with the rule's vote, and two models' votes: the Bayes model, and the share of marks among characters."""
+    rows = detect.triaged(comments(s, d))
+    trained = bayes.model(bayes.counts(labelled(s, d).where("split = 'train'")))
+    told = bayes.score(rows.withColumn("line", F.col("content")), trained, ["doc_id", "lineno"])
+    rows = rows.join(told, ["doc_id", "lineno"])
+    tokens = tx.lex(F.col("content"))
+    rows = detect.vote(rows, F.col("score"), "by_token", (F.size(tokens) >= features.LEAST) & ~tx.adjacent_names(tokens))
+    marks = F.length(F.regexp_replace("content", r"[A-Za-z0-9\s]", ""))
+    rows = detect.vote(rows, F.round(1 - F.least(F.lit(1.0), 8 * marks / F.greatest(F.length("content"), F.lit(1))), 6), "by_char")
+    return rows.withColumn("by_rule", detect.is_rule_code(F.col("rule")))
+
+
+@query("model_votes")
+def _(s, d):
+    return voted(s, d).select("file_path", "lineno", "score", "by_token", "by_char")
+
+
+@query("code_flags")
+def _(s, d):
+    rows = detect.confirmed(comments(s, d))
+    return rows.select("file_path", "lineno", "rule", detect.is_rule_code(F.col("rule")).alias("is_code"))
+
+
+for _hard, _name in ((False, "combine_votes"), (True, "combine_votes_aggressive")):
+
+    @query(_name)
+    def _(s, d, hard=_hard):
+        # As in a scan, dropped comments get no model's vote.
+        open_ = F.col("rule") != "drop"
+        rows = voted(s, d)
+        said = detect.combined(F.col("by_rule"), open_ & F.col("by_char"), open_ & F.col("by_token"), hard)
+        return rows.where(said).select("file_path", "lineno", "content")
+
+
+@query("findings_json")
+def _(s, d):
+    return detect.findings(detect.triaged(comments(s, d)).where(detect.is_rule_code(F.col("rule"))))
+
+
+@query("findings_flat")
+def _(s, d):
+    return detect.flat_findings(detect.findings(detect.triaged(comments(s, d)).where(detect.is_rule_code(F.col("rule")))))
+
+
+@query("era_stage")
+def _(s, d):
+    return detect.era_lines(view(s, d)).select("doc_id", "lineno", "stage")
+
+
+@query("era_stage_mild")
+def _(s, d):
+    return detect.era_lines(view(s, d), aggressive=False).select("doc_id", "lineno", "stage")
+
+
+@query("era_stage_no_sharp")
+def _(s, d):
+    return view(s, d).select("doc_id", "lineno", rules.stage(F.col("line"), need_hash=False).alias("stage"))
+
+
+@query("era_verdict")
+def _(s, d):
+    return detect.era_verdict(view(s, d)).select("doc_id", "lineno", "stage", "is_code")
+
+
+@query("era_multiline")
+def _(s, d):
+    text = rules.bare_comment(F.col("line"))
+    return comments(s, d).select("doc_id", "lineno", rules.multiline_shape(text).alias("hard"), rules.multiline_shape(text, False).alias("mild"))
+
+
+@query("era_whitelist")
+def _(s, d):
+    """The whitelist extended, and replaced."""
+    text = rules.bare_comment(F.col("line"))
+    return comments(s, d).select("doc_id", "lineno", rules.whitelisted(text, (*rules.WHITELIST, "return")).alias("extended"), rules.whitelisted(text, ("import",)).alias("replaced"))
+
+
+@query("era_line_numbers")
+def _(s, d):
+    rows = with_code(files(s, d))
+    found = rows.select("doc_id", "lines", F.explode(parsing.comment_rows(F.col("code"))).alias("lineno"))
+    return detect.era_verdict(found.select("doc_id", "lineno", F.get("lines", F.col("lineno") - 1).alias("line"))).where("is_code").select("doc_id", "lineno")
+
+
+def _removed(s, d) -> DataFrame:
+    return detect.removal(files(s, d))
+
+
+for _gone, _name in ((False, "era_filtered"), (True, "era_identified")):
+
+    @query(_name)
+    def _(s, d, gone=_gone):
+        return _removed(s, d).select("doc_id", F.inline("parts")).where(F.col("gone") == gone).select("doc_id", F.col("lineno").cast("long").alias("lineno"), "line")
+
+
+@query("era_changes")
+def _(s, d):
+    left = F.array_join(F.transform(F.filter("parts", lambda p: ~p["gone"]), lambda p: p["line"]), "\n")
+    diff = F.array_join(F.transform(F.filter("parts", lambda p: p["gone"]), lambda p: F.concat(F.lit("-"), p["line"])), "\n")
+    return _removed(s, d).select("doc_id", F.exists("parts", lambda p: p["gone"]).alias("changed"), F.size(F.filter("parts", lambda p: p["gone"])).cast("long").alias("removed"), F.md5(left).alias("text_md5"), diff.alias("diff"))
+
+
+@query("ast_sequences")
+def _(s, d):
+    """Of comments that parse."""
+    rows = comments(s, d).select("doc_id", "lineno", parsing.node_types(F.col("content")).alias("t"))
+    return rows.where("t.preorder is not null").select("doc_id", "lineno", tx.joined(F.col("t.preorder")).alias("preorder"), tx.joined(F.col("t.breadth_first")).alias("breadth_first"))
+
+
+@query("parse_pass_counts")
+def _(s, d):
+    rows = with_code(files(s, d)).select("split", parsing.parses(F.col("code")).alias("fine"))
+    return rows.groupBy("split").agg(F.count("*").alias("files"), F.count_if("fine").alias("parsing"))
+
+
+# Samples and training
+
+
+@query("sample_frac")
+def _(s, d):
+    return sampling.fraction(read(s, d, "documents").select("doc_id"), F.col("doc_id"), 0.2)
+
+
+@query("sample_n")
+def _(s, d):
+    return sampling.draw(read(s, d, "documents").select("doc_id"), F.col("doc_id"), 100)
+
+
+@query("resampled_accuracy")
+def _(s, d):
+    """Accuracy over ten draws of labelled documents."""
+    rows = sampling.draws(read(s, d, "labels"), F.col("doc_id"), 100, 10)
+    return rows.groupBy("draw").agg(F.round(F.avg(F.when((F.col("quality") == 1) == (F.col("toxic") == 0), 1.0).otherwise(0.0)), 6).alias("accuracy"))
+
+
+@query("balance_min")
+def _(s, d):
+    return sampling.balanced(labelled(s, d), F.col("key")).select("doc_id", "idx", "label")
+
+
+@query("balance_code_to_doc")
+def _(s, d):
+    rows = labelled(s, d).withColumn("label", 1 - F.col("label"))  # here the other label is the larger one
+    return sampling.balanced(rows, F.col("key"), only=0).select("doc_id", "idx", "label")
+
+
+@query("class_weights")
+def _(s, d):
+    return sampling.class_weights(labelled(s, d))
+
+
+@query("stratified_split")
+def _(s, d):
+    return sampling.stratified(labelled(s, d), F.col("key"), 0.33).select("doc_id", "idx", "label", "part")
+
+
+@query("label_share")
+def _(s, d):
+    return metrics.shares(labelled(s, d), "label")
+
+
+@query("label_split")
+def _(s, d):
+    """The first rows in order, for one file a label."""
+    return labelled(s, d).orderBy("doc_id", "idx").limit(10_000).select("doc_id", "idx", F.col("line").alias("data"), "label")
+
+
+@query("split_sizes")
+def _(s, d):
+    rows = files(s, d).select("split", F.size("lines").alias("n"))
+    return rows.groupBy("split").agg(F.count("*").alias("files"), F.sum("n").alias("lines"), F.round(F.avg("n"), 4).alias("mean_lines"))
+
+
+@query("nb_train")
+def _(s, d):
+    return bayes.model(bayes.counts(labelled(s, d).where("split = 'train'"))).select("token", "code", "doc", F.round("odds", 6).alias("odds"))
+
+
+@query("nb_score")
+def _(s, d):
+    return scored(s, d).select("doc_id", "idx", "label", "score")
+
+
+@query("nb_increment")
+def _(s, d):
+    rows = labelled(s, d)
+    both = bayes.added(bayes.counts(rows.where("split = 'train'")), bayes.counts(rows.where("split = 'valid'")))
+    return bayes.model(both).select("token", "code", "doc", F.round("odds", 6).alias("odds"))
+
+
+# Evaluation
+
+_truth, _said = F.col("quality") == 1, F.col("toxic") == 0
+
+
+@query("binary_metrics")
+def _(s, d):
+    return metrics.binary(read(s, d, "labels"), F.col("quality") == 1, F.col("toxic") == 0)
+
+
+@query("nb_metrics")
+def _(s, d):
+    return metrics.binary(scored(s, d), F.col("label") == 1, F.col("score") > 0.5, ["split"])
+
+
+@query("auc_rounded")
+def _(s, d):
+    return metrics.auc_rounded(read(s, d, "labels"), F.col("quality") == 1, F.col("toxic") == 0)
+
+
+def vector_scores(s, d) -> DataFrame:
+    """A continuous score against a truth: the vectors' first component and their label."""
+    return read(s, d, "embeddings").select((F.col("label") >= 5).alias("truth"), ((F.get("embedding", F.lit(0)).cast("double") + 1) / 2).alias("score"))
+
+
+@query("roc_curve")
+def _(s, d):
+    curve = metrics.roc(vector_scores(s, d), F.col("truth"), F.col("score"))
+    return curve.select("threshold", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+@query("roc_auc")
+def _(s, d):
+    return metrics.auc(metrics.roc(vector_scores(s, d), F.col("truth"), F.col("score")))
+
+
+@query("threshold_sweep")
+def _(s, d):
+    return metrics.sweep(vector_scores(s, d), F.col("truth"), F.col("score"))
+
+
+@query("metrics_by_language")
+def _(s, d):
+    return metrics.by_group(scored(s, d), F.col("label") == 1, F.col("score") > 0.6, "lang")
+
+
+@query("language_share")
+def _(s, d):
+    return metrics.shares(view(s, d), "lang")
+
+
+@query("code_share_by_language")
+def _(s, d):
+    return metrics.shares(labelled(s, d), "lang", "label", within="lang")
+
+
+@query("suspect_comments")
+def _(s, d):
+    """Lines that the scanner and the model see differently."""
+    return scored(s, d).where((F.col("label") == 0) & (F.col("score") > 0.6)).select("doc_id", "idx", "line", "score")
+
+
+@query("detector_compare")
+def _(s, d):
+    """Two detectors' verdicts on the same comments, as an agreement matrix with totals."""
+    rows = comments(s, d).select(detect.is_rule_code(rules.triage(F.col("content"))).alias("by_triage"), rules.stage(F.col("line")).isin(*rules.CODE_STAGES).alias("by_era"))
+    return rows.cube("by_triage", "by_era").agg(F.count("*").alias("n"))
+
+
+assert set(SQL) <= set(QUERIES), set(SQL) - set(QUERIES)
+assert oracle
