@@ -36,7 +36,7 @@ BLOCK = 256
 ROUNDS, STEP, RATE = 1, 4096, 0.4
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ADD = 0.1
-COUNTED_AT_ONCE = 4_000_000
+COUNTED_AT_ONCE = 1_500_000
 
 
 def token_parts(batch: pa.Array):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer text is handled alone.
-STEP = 2 << 20
+STEP = 1 << 19
 _rng = np.random.default_rng(20_240_229)
 _BASE = int(_rng.integers(1 << 62, dtype=np.int64)) * 8 + 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
