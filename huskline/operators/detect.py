@@ -32,12 +32,12 @@ def vote(rows: DataFrame, score: Column, name: str, usable: Column | None = None
     return rows.withColumn(name, says if usable is None else F.coalesce(usable & says, F.lit(False)))
 
 
-def model_score(rows: DataFrame, features: str, load: Callable[[], Callable]) -> DataFrame:
-    """Rows with `score` from any model: `load` gives, once a worker, a function from a numpy batch of features to scores."""
+def model_score(rows: DataFrame, features: str, width: int, load: Callable[[], Callable]) -> DataFrame:
+    """Rows with `score` from any model: `load` gives, once a worker, a function from a numpy batch of features (arrays of `width`) to scores."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import DoubleType
 
-    return rows.withColumn("score", predict_batch_udf(load, return_type=DoubleType(), batch_size=1024)(F.col(features)))
+    return rows.withColumn("score", predict_batch_udf(load, return_type=DoubleType(), batch_size=1024, input_tensor_shapes=[[width]])(F.col(features)))
 
 
 def combined(rule: Column, chars: Column, tokens: Column, aggressive: bool = False) -> Column:

@@ -11,7 +11,6 @@ from ..functions import parsing, rules
 from ..functions import text as tx
 from ..operators import bayes, detect, features, labels, lines, metrics, sampling, vocab
 from ..sources.code_view import code_files, code_lines, with_code
-from . import oracle
 from .oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -477,8 +476,6 @@ def _(s, d):
 
 # Evaluation
 
-_truth, _said = F.col("quality") == 1, F.col("toxic") == 0
-
 
 @query("binary_metrics")
 def _(s, d):
@@ -543,6 +540,3 @@ def _(s, d):
     rows = comments(s, d).select(detect.is_rule_code(rules.triage(F.col("content"))).alias("by_triage"), rules.stage(F.col("line")).isin(*rules.CODE_STAGES).alias("by_era"))
     return rows.cube("by_triage", "by_era").agg(F.count("*").alias("n"))
 
-
-assert set(SQL) <= set(QUERIES), set(SQL) - set(QUERIES)
-assert oracle

@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scan_tree(spark: SparkSession, path: str, glob: str = "*.py", hidden: bool = True) -> DataFrame:
-    """file_path, content (binary) of every file below `path`, which may be one file; hidden=False leaves out dot-files and what lies in dot-folders."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if not path.endswith(glob.lstrip("*")):
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).select(F.col("path").alias("file_path"), "content")
-    if hidden:
-        return files
-    below = F.expr(f"substring(file_path, instr(file_path, {_quoted(path.rstrip('/'))}) + {len(path.rstrip('/'))})")
-    return files.where(~below.rlike(r"/\.")).dropDuplicates(["file_path"])
+def _opened(path: str):
+    """The file system of a path or URI, and the path on it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def scan_tree(spark: SparkSession, path: str, ending: str = ".py", hidden: bool = True) -> DataFrame:
+    """file_path, content (binary) of every file below `path`, which may be one file; hidden=False leaves out dot-files and what lies in dot-folders.
+
+    Spark's own file sources pass over names that begin with a dot or an underscore, `__init__.py` among them.  So
+    only the first level is listed here; tasks list what is below and read the files."""
+    store, root = _opened(path)
+    info = store.get_file_info(root)
+    scheme = path.partition("://")[0] + "://" if "://" in path else ""
+
+    def shown(full: str) -> bool:
+        return full.endswith(ending) and (hidden or not any(p.startswith(".") for p in full[len(root) :].split("/")))
+
+    def listed(batches):
+        for b in batches:
+            out = []
+            for name, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own, below = _opened(name)
+                out += [scheme + i.path for i in own.get_file_info(fs.FileSelector(below, recursive=True)) if i.is_file] if folder else [name]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f in out if shown(f.removeprefix(scheme))], pa.string())], names=["file_path"])
 
+    def read(batches):
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                own, place = _opened(name)
+                with own.open_input_stream(place) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f.read()], pa.binary())], names=["file_path", "content"])
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    top = [info] if info.is_file else store.get_file_info(fs.FileSelector(root))
+    first = spark.createDataFrame([(scheme + i.path, not i.is_file) for i in top], "name string, folder boolean")
+    return first.repartition("name").mapInArrow(listed, "file_path string").dropDuplicates(["file_path"]).mapInArrow(read, "file_path string, content binary")
 
 
 def decode_utf8(files: DataFrame) -> DataFrame:
@@ -58,7 +83,7 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def read_token_list(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
     """rank (from 0), token of a text file of one token a line; a list longer than `most` is refused, as text files keep no order in Spark."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("rank", "token"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("rank", "token"))
     if rows.limit(most + 1).count() > most:
         raise ValueError(f"{path} has more than {most} tokens; use a table with a rank column")
     return rows
