@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stash
+from .common import prepare
 from .quality import held_out
 from .words import hashes, mixed
 
@@ -187,7 +188,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out(F.col("doc_id"), FOLDS))
     learned = docs.where(~F.col("held_out"))
-    counts = stash(count_words(learned))
+    counts = count_words(learned).persist(StorageLevel.DISK_ONLY)
     model, cut = fit_counts(counts)
     known = spark.sparkContext.broadcast(train(learned, model))
     n_train = model.total
@@ -218,7 +219,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array(r, k) for r, k in zip(rows, kinds))], names=["doc_id", "held_out", "n_tokens", "known", "base", "got", "rare", "times"])
 
     scored = docs.select("text", "doc_id", "held_out").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, known long, base double, got double, rare array<long>, times array<int>")
-    scored = stash(scored.withColumn("row", F.monotonically_increasing_id()))
+    # Ids depend on the scan's parts alone, so a part that is computed again has the same.
+    scored = scored.withColumn("row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     n = F.coalesce(F.col("n"), F.lit(0))
     more = rare.join(counts.where(F.col("n") < cut), "h", "left").groupBy("row").agg(
