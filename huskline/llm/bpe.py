@@ -79,7 +79,7 @@ class Encoder:
         for i, s in shape.items():
             self.forward.add_word(s, i)
         self.forward.make_automaton()
-        self.known: dict[str, list[int]] = {}
+        self.known: Recent = Recent(self.word)
         self.fits: dict[int, bool] = {}
         #: Offset table: the bytes of token i, with the space that decoding puts before it, are blob[at[i] : at[i + 1]].
         texts = [(" " + names.get(i, "")).encode() for i in range(max(names) + 1)]
@@ -88,7 +88,7 @@ class Encoder:
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.blank = regex.compile(f"[{WHITE}]+")
-        self.cache: Cache = Cache(self)
+        self.cache: Recent = Recent(self.entry)
 
     @staticmethod
     def last(letter: str) -> str:
@@ -146,13 +146,14 @@ class Encoder:
         starts: list[list[int]] = [[] for _ in range(n)]
         for end, token in self.automaton.iter(symbols[::-1]):
             starts[n - 1 - end].append(token)
-        dead = bytearray(n + 1)
+        dead, ordered = bytearray(n + 1), bytearray(n)
         out: list[int] = []
         place = 0
         while place < n:
             tokens, ahead = starts[place], False
-            if len(tokens) > 1:
-                tokens.sort(key=self.length.__getitem__)  # pop() gives the longest
+            if ordered[place] == 0:
+                tokens.reverse()  # found longest first, so pop() gives the longest
+                ordered[place] = 1
             while tokens:
                 token = tokens.pop()
                 end = place + self.length[token]
@@ -181,16 +182,8 @@ class Encoder:
         return fine
 
     def word(self, word: str) -> list[int]:
-        known = self.known.get(word)
-        if known is not None:
-            return known
         letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
-        ids = self.symbols(letters[:-1] + self.last(letters[-1]))
-        if len(word) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_ENTRIES:
-                self.known.clear()
-            self.known[word] = ids
-        return ids
+        return self.symbols(letters[:-1] + self.last(letters[-1]))
 
     def chunk(self, text: str) -> list[int]:
         """Token ids of a text without white space."""
@@ -200,10 +193,15 @@ class Encoder:
             text = unicodedata.normalize("NFC", text)
             lower = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         if lower.isalpha():
-            return self.word(lower)
+            return self.known[lower]
         if lower[-1] in ".,;:!?" and lower[:-1].isalpha():
-            return self.word(lower[:-1]) + self.word(lower[-1])
-        return [i for word in self.words.findall(lower) for i in self.word(word)]
+            return self.known[lower[:-1]] + self.known[lower[-1]]
+        return [i for word in self.words.findall(lower) for i in self.known[word]]
+
+    def entry(self, text: str) -> tuple[bytes, str]:
+        """Ids of a text without white space: as 32-bit integers, and as decimal text."""
+        ids = self.chunk(text)
+        return array("I", ids).tobytes(), " ".join(map(str, ids))
 
     def plain(self, text: str) -> list[tuple[bytes, str]]:
         chunks = list(filter(None, self.blank.split(text))) if any(c in text for c in NOT_WHITE) else text.split()
@@ -236,20 +234,23 @@ class Encoder:
         return self.blob[place].tobytes()[1:]
 
 
-class Cache(dict):
-    """White-space-free text -> its entry; emptied when full, so bounded."""
+class Recent(dict):
+    """A bounded memory of results: when full it becomes the older half, from which what is used again is taken over."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, make):
         super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, text: str) -> tuple[bytes, str]:
-        ids = self.encoder.chunk(text)
-        made = (array("I", ids).tobytes(), " ".join(map(str, ids)))
-        if len(text) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[text] = made
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str):
+        made = self.older.get(text)
+        if made is None:
+            made = self.make(text)
+            if len(text) > CACHE_CHARS:
+                return made
+        if len(self) >= CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        self[text] = made
         return made
 
 
