@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, forest, hosts, jaccard, maxent, neardup, packing, pii, quality
 from .common import table
+from .oracle import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def vocabulary(name: str) -> str:
@@ -25,7 +28,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels' ids stand for page ids: the tables have no other outcome of pages."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.expr("case when quality = 0 or toxic = 1 then 1 when quality is not null or toxic is not null then 0 end").alias("bad"))
-    return hosts.judge_pages(table(spark, sf_dir, "pages"), outcomes)
+    return hosts.judge_pages(table(spark, sf_dir, "pages"), outcomes).withColumns({c: F.round(c, 6) for c in ("bad_share", "bad_share_low")})
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +78,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_maxent": op9_maxent,
     "op10_neardup": op10_neardup,
 }
-
-SQL: dict[str, str] = {}
