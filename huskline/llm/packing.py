@@ -4,9 +4,10 @@ The target proportion of a source is its share of all text (bytes), or what the
 are dealt evenly over partitions.  A partition tokenises its documents, queues them by source and
 serves the queues in rounds: a round credits every source with its share of `round_tokens`, a source is
 served while its credit lasts, and what it could not use or overdrew is carried into the next round.
-The served tokens fill sequences of 1,024 one after the other, so each run of sequences that makes a
-round has the target proportions.  What is left of a partition's last sequence goes, together with its
-sources' credits, into a second run of the same procedure over the leftovers of many partitions.  The
+The served tokens fill sequences of 1,024 one after the other, and a round is one sequence, so each
+sequence has the target proportions while all sources wait.  What is left of a partition's last sequence
+goes, together with the credits of all its sources, into a second run of the same procedure over the
+leftovers of many partitions, where the partitions' credits are added up.  The
 end of that is cut into powers of two, so nothing is padded.
 
 Memory is bounded: a partition holds at most about `LOOKAHEAD` tokens besides one Arrow batch.
@@ -19,6 +20,7 @@ has no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections import deque
 from functools import lru_cache
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import prepare, stash
 
 LENGTH = 1024
-ROUND_TOKENS = 16 * LENGTH
+ROUND_TOKENS = LENGTH
 LOOKAHEAD = 1 << 20
 #: Sources with queues of their own; the rest share queues by hash.  Bounds what the driver sends out.
 QUEUES = 4096
@@ -79,12 +81,17 @@ class Packer:
     def share(self, source: str) -> float:
         return max(self.shares.get(source, 0.0), 1e-6)
 
+    def least(self, source: str) -> float:
+        """Credit from which a source is worth a round."""
+        own = self.share(source) * ROUND_TOKENS
+        return min(own, LENGTH / 16) if own >= 1 else LENGTH / 16
+
     def serve(self, down_to: int) -> None:
         """Rounds over the queues until at most `down_to` tokens are queued."""
         while self.queued > down_to:
             waiting = [s for s in self.queues if self.queues[s]]
-            # Where every waiting source is overdrawn, rounds that would serve none are credited at once.
-            need = min((LENGTH / 16 - self.credit.get(s, 0.0)) / (self.share(s) * ROUND_TOKENS) for s in waiting)
+            # Where every waiting source is overdrawn, rounds that would serve none are credited at once; sources of under a token a round are served in larger pieces.
+            need = min((self.least(s) - self.credit.get(s, 0.0)) / (self.share(s) * ROUND_TOKENS) for s in waiting)
             rounds = max(1, int(np.ceil(need)))
             for s in sorted(waiting):
                 self.credit[s] = self.credit.get(s, 0.0) + rounds * self.share(s) * ROUND_TOKENS
@@ -97,7 +104,12 @@ class Packer:
         head = self.queues[source][0]
         doc_id, start, total, ids, label = head
         n = min(most, len(ids), LENGTH - self.filled)
-        self.open.append((doc_id, start, n, zlib.crc32(ids[:n].tobytes()), total, self.filled, label, source, ids[:n]))
+        last = self.open[-1] if self.open else None
+        if start and last and last[0] == doc_id and last[7] == source and last[1] + last[2] == start:
+            # The document goes on in the same sequence: one piece.
+            self.open[-1] = (doc_id, last[1], last[2] + n, zlib.crc32(ids[:n].tobytes(), last[3]), total, last[5], label, source, np.concatenate([last[8], ids[:n]]))
+        else:
+            self.open.append((doc_id, start, n, zlib.crc32(ids[:n].tobytes()), total, self.filled, label, source, ids[:n]))
         self.filled += n
         self.queued -= n
         if n == len(ids):
@@ -178,14 +190,12 @@ def pack_documents(docs: DataFrame, path: str, targets: dict[str, float] | None
             yield to_batch(packer.flush())
         packer.serve(0)
         rows = packer.flush()
-        tail = [(d, s, n, c, t, part // GROUP, o, label, q, ids.tobytes(), packer.credit.get(q, 0.0)) for d, s, n, c, t, o, label, q, ids in packer.open]
-        yield to_batch(rows, tail)
+        yield to_batch(rows, leftovers(packer, part // GROUP))
 
     def second(key, rows):
-        rows = sorted(rows.to_pylist(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["ids_crc32"], r["offset"]))
-        credits: dict[str, float] = {}
-        for r in rows:
-            credits[r["queue"]] = r["credit"]
+        rows = rows.to_pylist()
+        credits = added_credits(rows)
+        rows = sorted((r for r in rows if r["credit"] is None), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["ids_crc32"], r["offset"]))
         packer = Packer(known.value, (1 << 30) + int(key[0].as_py()) << 32, credits)
         for r in rows:
             packer.add(r["queue"], r["doc_id"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], "<u4"), r["source"])
@@ -201,6 +211,21 @@ def pack_documents(docs: DataFrame, path: str, targets: dict[str, float] | None
     return packed.where("ids is null").select(*NAMES).unionByName(ends)
 
 
+def leftovers(packer: Packer, group: int) -> list[tuple]:
+    """Rows for the second run: the open sequence's pieces, and one row of credit, without ids, for every queue."""
+    pieces = [(d, s, n, c, t, group, o, label, q, ids.tobytes(), None) for d, s, n, c, t, o, label, q, ids in packer.open]
+    return pieces + [(None, None, 0, None, None, group, None, None, q, b"", credit) for q, credit in packer.credit.items()]
+
+
+def added_credits(rows: list[dict]) -> dict[str, float]:
+    """Credit of every queue over all partitions; the sum does not depend on the order of rows."""
+    parts: dict[str, list[float]] = {}
+    for r in rows:
+        if r["credit"] is not None:
+            parts.setdefault(r["queue"], []).append(r["credit"])
+    return {q: math.fsum(x) for q, x in parts.items()}
+
+
 def to_batch(rows: list[tuple], tail: list[tuple] = ()) -> pa.RecordBatch:
     kinds = [pa.int64()] * 7 + [pa.string(), pa.string(), pa.binary(), pa.float64()]
     every = [r + (None, None, None) for r in rows] + list(tail)

@@ -127,6 +127,44 @@ def test_credit_is_carried():
     assert served["=b"] - served["=a"] > 11_000
 
 
+def test_each_window_keeps_proportions():
+    shares = {"=a": 0.5, "=b": 0.3, "=c": 0.15, "=d": 0.05}
+    p = packing.Packer(shares, 0)
+    for i in range(200):
+        for q, share in shares.items():
+            n = int(3000 * share)
+            p.add(q, i, 0, n, np.full(n, i, "<u4"), q)
+    p.serve(300_000)
+    rows = p.flush()
+    for at in range(200):
+        for q, share in shares.items():
+            assert abs(sum(r[2] for r in rows if r[5] == at and r[7] == q) - share * 1024) < 4
+
+
+def test_one_source_makes_whole_pieces():
+    p = packing.Packer({"=a": 0.02, "=b": 0.98}, 0)
+    ids = np.arange(3000, dtype="<u4")
+    p.add("=a", 7, 0, 3000, ids, "a")
+    p.serve(0)
+    p.finish()
+    rows = p.flush()
+    assert [r[2] for r in rows[:2]] == [1024, 1024] and sum(r[2] for r in rows) == 3000
+    assert all(r[3] == zlib.crc32(ids[r[1] : r[1] + r[2]].tobytes()) for r in rows)
+
+
+def test_partitions_add_up_credit():
+    rows = []
+    for _ in range(3):
+        p = packing.Packer({"=a": 0.5, "=b": 0.5}, 0)
+        p.add("=a", 1, 0, 100, np.ones(100, "<u4"), "a")
+        p.add("=b", 2, 0, 3000, np.ones(3000, "<u4"), "b")
+        p.serve(0)
+        assert {q for *_, source, q, _, _ in packing.leftovers(p, 0) if source is None} == {"=a", "=b"}
+        rows += packing.to_batch([], packing.leftovers(p, 0)).to_pylist()
+    got = packing.added_credits(rows)
+    assert got["=a"] == 3 * p.credit["=a"] > 0 and got["=b"] == 3 * p.credit["=b"]
+
+
 # 1
 
 
