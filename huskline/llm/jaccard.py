@@ -41,6 +41,8 @@ SEEN_TOGETHER, COMMON = 4, 24
 #: Lists up to this length are searched pair by pair; longer ones from pivots first.
 SHORT = 4
 SALTS = 16
+#: Rows of a list that are compared in one task.
+BLOCK = 500_000
 ROUNDS = 3
 #: Ids of classes that may be sent to all tasks, to skip the others' sets early.
 MOST_SENT = 4_000_000
@@ -174,8 +176,8 @@ def _may(n, i, m, j, percent: int):
     return size & (np.minimum(n - i, m - j) >= needed(n, m, percent))
 
 
-def _runs(batches, keys: int):
-    """Rows sorted by their first `keys` columns, as lists of column arrays that hold whole runs; runs of over a million rows come in pieces."""
+def _runs(batches, keys: int, most: int | None = 1_000_000):
+    """Rows sorted by their first `keys` columns, as lists of column arrays that hold whole runs; runs of over `most` rows come in pieces, each longer than a short list."""
     held = None
     for b in batches:
         part = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -187,8 +189,8 @@ def _runs(batches, keys: int):
         for c in part[:keys]:
             same &= c == c[-1]
         start = 0 if same.all() else int(len(same) - np.argmin(same[::-1]))
-        if len(same) - start > 1_000_000:
-            start = len(same)
+        if most is not None and len(same) - start > most:
+            start = len(same) - SHORT - 1
         if start:
             yield [c[:start] for c in part]
         held = [c[start:] for c in part]
@@ -376,21 +378,37 @@ def round_pairs(lists: DataFrame, seed: int) -> DataFrame:
     return lists.join(pivots, "token").where("component <> other").select("hub", "f", "n", "m")
 
 
+def blocks(lists: DataFrame) -> DataFrame:
+    """The rows of lists with `block`, and `low` and `high`: the two blocks of its list that a row is compared in.
+
+    A list of up to `BLOCK` rows is one block.  A longer one is dealt by hash over blocks of half that size,
+    and each block meets itself and each other one, so every pair of rows meets and no task holds a list.
+    The lists that are cut are at most as many as `BLOCK` goes into all rows."""
+    cut = lists.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select("token", F.ceil(2 * F.col("k") / BLOCK).alias("parts"))
+    told = lists.join(F.broadcast(cut), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    told = told.withColumn("block", F.pmod(F.xxhash64("f"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return told.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "n", "f", "place", "component", "block")
+
+
 def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that lie in different components and may be similar."""
 
     def run(batches):
-        for token, n, f, place, component in _runs(batches, 1):
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        for token, low, high, n, f, place, component, block in _runs(batches, 3, None):
+            starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
             for start, end in zip(starts, np.append(starts[1:], len(token))):
-                for at in range(start, end - 1):
-                    upto = at + int(np.searchsorted(n[at:end], 100 * int(n[at]) // percent, "right"))
-                    j = np.arange(at + 1, upto)
-                    j = j[(component[j] != component[at]) & (f[j] != f[at]) & _may(n[at], place[at], n[j], place[j], percent)]
+                within = low[start] == high[start]
+                reach = start + np.searchsorted(n[start:end], 100 * n[start:end].astype(np.int64) // percent, "right")
+                # Rows behind which only their own component comes within reach are passed over.
+                changes = np.append(start + 1 + np.flatnonzero(component[start + 1 : end] != component[start : end - 1]), end)
+                behind = changes[np.searchsorted(changes, np.arange(start, end), "right").clip(max=len(changes) - 1)]
+                for at in start + np.flatnonzero(behind < reach):
+                    j = np.arange(at + 1, reach[at - start])
+                    j = j[(component[j] != component[at]) & (f[j] != f[at]) & (within | (block[j] != block[at])) & _may(n[at], place[at], n[j], place[j], percent)]
                     if len(j):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), f[at])), pa.array(f[j])], names=["hub", "f"])
 
-    rows = lists.select("token", "n", "f", "place", "component").repartition("token").sortWithinPartitions("token", "n", "f")
+    rows = blocks(lists).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "f")
     return rows.mapInArrow(run, "hub long, f long")
 
 

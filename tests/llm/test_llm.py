@@ -339,8 +339,7 @@ def test_one_of_each(spark):
 
 
 def test_words_of_bytes():
-    import pyarrow as pa
-
+    
     texts = ["A b\x0bc", "", " é É x", "a B C", "\xa0\x85", "b"]
     got = [h[a - n : a] for _, h, ns in words.hashes(pa.array(texts)) for a, n in zip(np.cumsum(ns), ns)]
     assert [len(g) for g in got] == [len(t.encode().split()) for t in texts]
@@ -506,6 +505,31 @@ def test_probabilities_add_to_one():
     assert total == pytest.approx(1, abs=1e-5)
 
 
+LISTED = "token long, n int, f long, place int, component long"
+
+
+def test_jaccard_pairs_across_a_million_rows(spark):
+    # Rows 2i-1 and 2i are of one size, and the rows around the millionth of two components.
+    i = F.col("id")
+    rows = spark.range(0, 1_020_001, 1, 1).select(F.lit(7).cast("long").alias("token"), (1 + F.floor((i + 1) / 2)).cast("int").alias("n"), i.alias("f"), F.lit(0).alias("place"), F.when(i > 999_000, i % 2).otherwise(0).alias("component"))
+    got = {tuple(sorted(r)) for r in jaccard.crossing_pairs(rows, 100).collect()}
+    assert got == {(k, k + 1) for k in range(999_001, 1_020_000, 2)}
+
+
+@pytest.mark.parametrize("block", [5, 16, 1000])
+def test_jaccard_blocks_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(block)
+    data = [(t, r.randint(20, 40), f, r.randint(0, 3), r.randint(0, 4)) for t in range(6) for f in range(1 + 17 * t)]
+    got = collections.Counter(tuple(sorted((a, b))) for a, b in jaccard.crossing_pairs(spark.createDataFrame(data, LISTED), 80).collect())
+    want = collections.Counter()
+    for t in range(6):
+        rows = sorted((x for x in data if x[0] == t), key=lambda x: (x[1], x[2]))
+        for k, (_, n, f, i, c) in enumerate(rows):
+            want.update(tuple(sorted((f, g))) for _, m, g, j, d in rows[k + 1 :] if d != c and 100 * n >= 80 * m and min(n - i, m - j) >= jaccard.needed(n, m, 80))
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["op2_hosts", "op3_chat", "op5_jaccard", "op10_neardup"])
 def test_matches_sql(spark, name):
     import duckdb
