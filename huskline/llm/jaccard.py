@@ -54,7 +54,7 @@ def shingle_sets(texts: pa.Array, words: int):
     for _, h, n in hashes(texts):
         ends = np.cumsum(n)
         joined = np.zeros(max(0, len(h) - words + 1), np.uint64)
-        for k in range(words):
+        for k in range(words if len(h) >= words else 0):
             joined += h[k : len(h) - words + 1 + k] * _MIX[k % len(_MIX)] * np.uint64(2 * (k // len(_MIX)) + 1)
         joined = mixed(joined)
         for end, size in zip(ends.tolist(), n.tolist()):

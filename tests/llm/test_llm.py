@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -339,7 +340,8 @@ def test_one_of_each(spark):
 
 
 def test_words_of_bytes():
-    
+    import pyarrow as pa
+
     texts = ["A b\x0bc", "", " é É x", "a B C", "\xa0\x85", "b"]
     got = [h[a - n : a] for _, h, ns in words.hashes(pa.array(texts)) for a, n in zip(np.cumsum(ns), ns)]
     assert [len(g) for g in got] == [len(t.encode().split()) for t in texts]
@@ -530,6 +532,14 @@ def test_jaccard_blocks_meet(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_shingles_of_few_words(size):
+    for n in range(size + 2):
+        words_ = [f"w{k}" for k in range(n)]
+        got = list(jaccard.shingle_sets(pa.array([" ".join(words_)]), size))
+        assert [len(x) for x in got] == [min(n, 1) if n < size else n - size + 1]
+
+
 @pytest.mark.parametrize("name", ["op2_hosts", "op3_chat", "op5_jaccard", "op10_neardup"])
 def test_matches_sql(spark, name):
     import duckdb
