@@ -44,8 +44,8 @@ SALTS = 16
 #: Rows of a list that are compared in one task.
 BLOCK = 500_000
 ROUNDS = 3
-#: Ids of classes that may be sent to all tasks, to skip the others' sets early.
-MOST_SENT = 4_000_000
+#: Bits of the filter that is sent to all tasks, to skip most of the sets that are not wanted early.
+FILTER_BITS = 1 << 27
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
@@ -293,14 +293,26 @@ def likely(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     return stash(both.select("hub", "f", "n", "m", "tokens", "others").mapInArrow(run, "hub long, f long"))
 
 
+def filter_of(wanted: DataFrame) -> np.ndarray:
+    """Words of a filter of fixed size with a bit for each f of `wanted`; only its words come to the driver."""
+    bit = F.pmod(F.col("f"), F.lit(FILTER_BITS))
+    words = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(f & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def may_hold(words: np.ndarray, f: np.ndarray) -> np.ndarray:
+    bit = f.view(np.uint64) % np.uint64(FILTER_BITS)
+    return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 def read_again(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """f and tokens (sorted, as bytes) of the classes in `wanted`, each once."""
-    few = wanted.limit(MOST_SENT + 1).count() <= MOST_SENT
-    picked = np.sort(wanted.toArrow()["f"].to_numpy()) if few else None
-    known = docs.sparkSession.sparkContext.broadcast(picked)
+    known = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
 
     def run(batches):
-        ids = known.value
+        held = known.value
         seen: set[int] = set()
         for b in batches:
             f, sets = [], []
@@ -308,10 +320,8 @@ def read_again(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
                 own = int(_signed([set_hash(s)])[0])
                 if not len(s) or own in seen:
                     continue
-                if ids is not None:
-                    at = int(np.searchsorted(ids, own))
-                    if at == len(ids) or ids[at] != own:
-                        continue
+                if not may_hold(held, np.array([own]))[0]:
+                    continue
                 if len(seen) < 1_000_000:
                     seen.add(own)
                 f.append(own)
@@ -319,7 +329,7 @@ def read_again(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["f", "tokens"])
 
     sets = _texts(docs).mapInArrow(run, "f long, tokens binary")
-    return stash((sets if few else sets.join(wanted, "f", "left_semi")).dropDuplicates(["f"]))
+    return stash(sets.join(wanted, "f", "left_semi").dropDuplicates(["f"]))
 
 
 def search(hub: np.ndarray, partners: list[np.ndarray], percent: int) -> np.ndarray:

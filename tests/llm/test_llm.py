@@ -540,6 +540,25 @@ def test_shingles_of_few_words(size):
         assert [len(x) for x in got] == [min(n, 1) if n < size else n - size + 1]
 
 
+def test_jaccard_reads_again_what_is_wanted(spark):
+    texts = [prose(20, k) for k in range(60)] + [prose(20, 3)]
+    docs = documents(spark, texts)
+    ids = [jaccard.set_hash(s) for s in jaccard.shingle_sets(pa.array(texts), 4)]
+    signed = [x - 2**64 if x >= 2**63 else x for x in ids]
+    for picked in (signed[:7], []):
+        got = jaccard.read_again(docs, 4, spark.createDataFrame([(x,) for x in picked], "f long")).collect()
+        assert sorted(r.f for r in got) == sorted(set(picked))
+        assert all(jaccard.set_hash(np.frombuffer(r.tokens, np.uint64)) == ids[signed.index(r.f)] for r in got)
+
+
+def test_jaccard_collects_no_fingerprints(spark, monkeypatch):
+    wanted = spark.range(1000).select(F.xxhash64("id").alias("f"))
+    words_ = jaccard.filter_of(wanted)
+    assert len(words_) == jaccard.FILTER_BITS // 64
+    f = np.array([r.f for r in wanted.collect()], np.int64)
+    assert jaccard.may_hold(words_, f).all() and jaccard.may_hold(words_, f + 1).mean() < 0.1
+
+
 @pytest.mark.parametrize("name", ["op2_hosts", "op3_chat", "op5_jaccard", "op10_neardup"])
 def test_matches_sql(spark, name):
     import duckdb
