@@ -283,9 +283,9 @@ def scored(s, d) -> DataFrame:
     return held.join(bayes.score(held, trained, ["doc_id", "idx"]), ["doc_id", "idx"])
 
 
-def voted(s, d) -> DataFrame:
+def voted(s, d, triage: Callable[[DataFrame], DataFrame] = detect.triaged) -> DataFrame:
     """Comments with the rule's vote, and two models' votes: the Bayes model, and the share of marks among characters."""
-    rows = detect.triaged(comments(s, d))
+    rows = triage(comments(s, d))
     trained = bayes.model(bayes.counts(labelled(s, d).where("split = 'train'")))
     told = bayes.score(rows.withColumn("line", F.col("content")), trained, ["doc_id", "lineno"])
     rows = rows.join(told, ["doc_id", "lineno"])
@@ -303,8 +303,10 @@ def _(s, d):
 
 @query("code_flags")
 def _(s, d):
-    rows = detect.confirmed(comments(s, d))
-    return rows.select("file_path", "lineno", "rule", detect.is_rule_code(F.col("rule")).alias("is_code"))
+    """Of every comment: does the rule (a candidate must parse) or one of the models call it code?  Dropped comments get no model's vote."""
+    rows = voted(s, d, detect.confirmed)
+    said = detect.combined(F.col("by_rule"), F.col("by_char"), F.col("by_token"), aggressive=True)
+    return rows.select("file_path", "lineno", "rule", (said & (F.col("rule") != "drop")).alias("is_code"))
 
 
 for _hard, _name in ((False, "combine_votes"), (True, "combine_votes_aggressive")):

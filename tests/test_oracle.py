@@ -44,3 +44,12 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_code_flags_count_the_votes(spark):
+    key = lambda r: (r.file_path, r.lineno)
+    rules = {key(r): r.rule for r in registry.QUERIES["triage_confirmed"](spark, TABLES).collect()}
+    votes = {key(r): r.by_token or r.by_char for r in registry.QUERIES["model_votes"](spark, TABLES).collect()}
+    got = {key(r): r.is_code for r in registry.QUERIES["code_flags"](spark, TABLES).collect()}
+    assert got == {k: rule in ("candidate", "main_guard") or rule == "undecided" and votes[k] for k, rule in rules.items()}
+    assert any(got[k] for k, rule in rules.items() if rule == "undecided")
