@@ -1,31 +1,36 @@
 """Operator 5: n-gram Jaccard join by T-occurrence search.
 
 A document is the set of its word shingles, as 64-bit hashes.  Documents of equal sets are one class.  A
-pair of similar classes must share a token among the first tokens of each, in one order for all; common
-tokens come last in it, so lists of documents by first token stay short.  Rows of a list are searched
-from pivots: each document of the list asks whether it and the list's pivot reach the overlap that the
-similarity requires.  That is a T-occurrence query: the pivot's tokens are inverted lists over its
-partners, the short ones are merged by counting, long ones (DivideSkip) are only probed, by binary search in
-the partners that may still reach the required number.
-
-What a search over short lists leaves open are pairs within long lists that no link connects yet.  Rounds
-with other pivots connect most of them; then all pairs of different components that may be similar by
-size and by place of the shared token are searched.  So components are exact, and a group of
+pair of similar classes must share a token among the first tokens of each, in one order for all: by
+how often a token occurs, as a sketch of fixed size estimates it.  So common tokens come last, and lists of
+documents by first token stay short, also for passages that recur in a fixed share of all documents.  The
+sketch only orders tokens; it decides no result.
+
+Pairs are searched in two steps, each a T-occurrence query of a hub against its partners: the hub's tokens are
+inverted lists of partners, the short ones are merged, and the partners that may still reach the
+required number are looked up in the long ones by binary search (DivideSkip).  The first step
+searches first tokens only and needs the overlap that similar sets must have there; the second searches whole sets.
+
+In a short list all pairs are searched that size and place of the token allow.  In a long list every row meets the
+pivot of its size, the row with the fewest rarer tokens: the original in a list of edited copies.
+That leaves pairs within long lists that no link connects yet.  All of those that
+size and place allow are searched last, in blocks.  So components are exact, and a group of
 copies costs rows in proportion to its size.
 
-A token is common if tasks see it often; the `MOST_COMMON` most frequent of those are sent to all tasks.
-That list only orders tokens; it decides no result.
-
 Defined results: a null, empty or blank text has an empty set and links with nothing; a text of fewer words
-than a shingle is one shingle; rows without doc_id take part, but name no component; repeated rows are
-rows of one class; classes and shingles are told apart by 64-bit hashes; an empty table has no rows;
+than a shingle is one shingle; very long texts are handled whole, in parts of 512 KB; rows without doc_id take
+part, but name no component; repeated rows are rows of one class; ties do not occur, as links alone count; classes and
+shingles are told apart by 64-bit hashes; an empty table has no rows;
 extra columns are ignored by `components_of`, kept by `one_of_each`.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +40,13 @@ from .words import hashes, mixed
 
 #: Shingle length in words, and least similarity in hundredths, unless a contract says otherwise.
 WORDS, PERCENT = 5, 80
-MOST_COMMON = 1 << 20
-#: A task reports tokens that so many of its documents share, a token is common from so many in all.
-SEEN_TOGETHER, COMMON = 4, 24
+#: Counters of the sketch, the blocks they move in, and steps of a counter's logarithm.
+COUNTERS, PARTS, STEPS = 1 << 22, 64, 8
 #: Lists up to this length are searched pair by pair; longer ones from pivots first.
 SHORT = 4
-SALTS = 16
-#: Rows of a list that are compared in one task.
+#: Rows of a list that meet in one task: longer lists are salted, and compared in blocks.
 BLOCK = 500_000
-ROUNDS = 3
+SALTED = 50_000
 #: Bits of the filter that is sent to all tasks, to skip most of the sets that are not wanted early.
 FILTER_BITS = 1 << 27
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -92,81 +95,94 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def read_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Rows (doc_id, f, n), and the common tokens with their frequencies."""
+def read_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """Rows (doc_id, f, n), and the sketch: the logarithm of each counter, in steps."""
 
     def run(batches):
-        held, size = [], 0
-
-        def common():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            often = n >= SEEN_TOGETHER
-            return pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), pa.int64()), pa.array(_signed(tokens[often])), pa.array(n[often].astype(np.int64)), pa.array(np.ones(int(often.sum()), bool))], names=["doc_id", "f", "n", "token"])
-
+        counters = np.zeros(COUNTERS, np.int64)
+        seen: set[int] = set()
         for b in batches:
-            f, n = [], []
+            f, n, fresh = [], [], []
             for s in shingle_sets(b.column(1), words):
                 f.append(set_hash(s))
                 n.append(len(s))
-                held.append(s)
-                size += len(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(f)), pa.array(n, pa.int64()), pa.array(np.zeros(len(n), bool))], names=["doc_id", "f", "n", "token"])
-            if size > 4_000_000:
-                yield common()
-                held, size = [], 0
-        yield common()
-
-    made = stash(_texts(docs).mapInArrow(run, "doc_id long, f long, n long, token boolean"))
-    tokens = made.where("token").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    tokens = stash(tokens)
-    # The least frequency of those that are sent, from its histogram.
-    cut, kept = 1 << 62, 0
-    for r in sorted(tokens.groupBy(F.floor(F.log2("n") * 8).alias("bin")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect(), key=lambda r: -r.least):
-        if kept + r.k > MOST_COMMON:
-            break
-        kept, cut = kept + r.k, r.least
-    got = tokens.where(F.col("n") >= cut).toArrow()
-    h, n = got["f"].to_numpy().view(np.uint64), got["n"].to_numpy()
-    order = np.argsort(h)
-    return made.where("not token").select("doc_id", "f", "n"), h[order], n[order]
-
-
-def prefixes(docs: DataFrame, words: int, percent: int, common: np.ndarray, often: np.ndarray) -> DataFrame:
-    """f, n, light, tokens of every class once: its first tokens, of which the first `light` are rare."""
-    known = docs.sparkSession.sparkContext.broadcast((common, often))
+                if f[-1] not in seen:
+                    fresh.append(s)
+                    if len(seen) < 1_000_000:
+                        seen.add(f[-1])
+            if fresh:
+                np.add.at(counters, _slots(np.concatenate(fresh)), 1)
+            k = len(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed(f)), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=NAMES)
+        if seen:
+            yield _packed(counters, TaskContext.get().partitionId())
+
+    def add_up(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                more = np.frombuffer(zlib.decompress(counts), np.int64)
+                sums[part] = sums[part] + more if part in sums else more
+        for part, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["part", "counts"])
+
+    made = stash(_texts(docs).mapInArrow(run, "doc_id long, f long, n long, part int, salt int, counts binary"))
+    some = made.where("part is not null").repartition("part", "salt").select("part", "counts").mapInArrow(add_up, "part int, counts binary")
+    sums = some.repartition("part").mapInArrow(add_up, "part int, counts binary").collect()  # one row a part
+    counters = np.zeros(COUNTERS, np.int64)
+    for r in sums:
+        counters[r.part * (COUNTERS // PARTS) : (r.part + 1) * (COUNTERS // PARTS)] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+    return made.where("part is null").select("doc_id", "f", "n"), np.minimum(np.log2(counters + 1) * STEPS, 255).astype(np.uint8)
+
+
+NAMES = ["doc_id", "f", "n", "part", "salt", "counts"]
+
+
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
+
+
+def _packed(counters: np.ndarray, salt: int) -> pa.RecordBatch:
+    counts = [zlib.compress(x.tobytes(), 1) for x in np.split(counters, PARTS)]
+    blank = pa.nulls(PARTS, pa.int64())
+    return pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(range(PARTS), pa.int32()), pa.array([salt % 64] * PARTS, pa.int32()), pa.array(counts, pa.binary())], names=NAMES)
+
+
+def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> DataFrame:
+    """f, n, tokens, light, salts of every class once: its first tokens; those from place `light` on are so common that their lists are dealt over `salts` tasks."""
+    known = docs.sparkSession.sparkContext.broadcast((sketch, float(2 ** (np.median(sketch) / STEPS))))
 
     def run(batches):
-        h, times = known.value
+        levels, noise = known.value
+        deals = np.ceil(np.maximum(2 ** ((np.arange(256) + 1) / STEPS) - 2 * noise, 1) / SALTED).astype(np.int64)
         seen: set[int] = set()
         for b in batches:
-            fs, ns, lights, tokens = [], [], [], []
+            fs, ns, lights, tokens, salts = [], [], [], [], []
             for s in shingle_sets(b.column(1), words):
                 f = set_hash(s)
                 if not len(s) or f in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(f)
-                p = prefix_size(len(s), percent)
-                heavy = np.zeros(len(s), np.int64)
-                if len(h):
-                    at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-                    heavy = np.where(h[at] == s, times[at], 0)
-                light = np.flatnonzero(heavy == 0)[:p]
-                rest = np.flatnonzero(heavy > 0)
-                rest = rest[np.lexsort((s[rest], heavy[rest]))][: p - len(light)]
+                level = levels[_slots(s)]
+                first = np.argsort(level, kind="stable")[: prefix_size(len(s), percent)]
+                dealt = deals[level[first]]
+                light = int((dealt == 1).sum())
                 fs.append(f)
                 ns.append(len(s))
-                lights.append(len(light))
-                tokens.append(np.concatenate([s[light], s[rest]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(fs)), pa.array(ns, pa.int32()), pa.array(lights, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["f", "n", "light", "tokens"])
+                lights.append(light)
+                tokens.append(s[first].view(np.int64))
+                salts.append(dealt[light:])
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(fs)), pa.array(ns, pa.int32()), pa.array(lights, pa.int32()), pa.array(tokens, lists), pa.array(salts, lists)], names=["f", "n", "light", "tokens", "salts"])
 
-    return stash(_texts(docs).mapInArrow(run, "f long, n int, light int, tokens array<long>").dropDuplicates(["f"]))
+    return stash(_texts(docs).mapInArrow(run, "f long, n int, light int, tokens array<long>, salts array<long>").dropDuplicates(["f"]))
 
 
 def postings(firsts: DataFrame) -> DataFrame:
     """token, salt, f, n, place: one row for each first token of a class; common tokens' rows are salted."""
-    rows = firsts.select("f", "n", "light", F.posexplode("tokens").alias("place", "token"))
-    salt = F.when(F.col("place") < F.col("light"), 0).otherwise(1 + F.pmod(F.col("f"), F.lit(SALTS))).cast("int")
+    rows = firsts.select("f", "n", "light", "salts", F.posexplode("tokens").alias("place", "token"))
+    salt = F.when(F.col("place") < F.col("light"), 0).otherwise(1 + F.pmod(F.xxhash64("f"), F.get("salts", F.col("place") - F.col("light")))).cast("int")
     return rows.select("token", salt.alias("salt"), "f", "n", "place")
 
 
@@ -176,97 +192,147 @@ def _may(n, i, m, j, percent: int):
     return size & (np.minimum(n - i, m - j) >= needed(n, m, percent))
 
 
-def _runs(batches, keys: int, most: int | None = 1_000_000):
-    """Rows sorted by their first `keys` columns, as lists of column arrays that hold whole runs; runs of over `most` rows come in pieces, each longer than a short list."""
-    held = None
+def _runs(batches, keys: int):
+    """Rows sorted by their first `keys` columns, as lists of column arrays that hold whole runs."""
+    held: list[list[np.ndarray]] = []
     for b in batches:
         part = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if held is not None:
-            part = [np.concatenate(x) for x in zip(held, part)]
         if not len(part[0]):
             continue
+        last = [c[-1] for c in part[:keys]]
         same = np.ones(len(part[0]), bool)
-        for c in part[:keys]:
-            same &= c == c[-1]
+        for c, x in zip(part, last):
+            same &= c == x
         start = 0 if same.all() else int(len(same) - np.argmin(same[::-1]))
-        if most is not None and len(same) - start > most:
-            start = len(same) - SHORT - 1
-        if start:
+        if held and (start or any(c[-1] != x for c, x in zip(held[-1], last))):
+            # The run that is held ends in this batch, or before it.
+            yield [np.concatenate(c) for c in zip(*held, [c[:start] for c in part])]
+            held = []
+        elif start:
             yield [c[:start] for c in part]
-        held = [c[start:] for c in part]
-    if held is not None and len(held[0]):
-        yield held
+        held.append([c[start:] for c in part])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before in one of the keys."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = False
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def stars(group: np.ndarray, n: np.ndarray, f: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pivots (rows), one for each size of each group, and pairs of rows: each row with its pivot, and pivots of neighbouring sizes."""
+    size = np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64) if percent < 100 else n.astype(np.int64)
+    order = np.lexsort((mixed(f.view(np.uint64)), place, size, group))
+    heads = _heads(group[order], size[order])
+    pivots = order[heads]
+    a, b = pivots[np.cumsum(heads) - 1], order
+    near = np.flatnonzero((group[pivots][1:] == group[pivots][:-1]) & (size[pivots][1:] == size[pivots][:-1] + 1))
+    a, b = np.concatenate([a, pivots[near]]), np.concatenate([b, pivots[near + 1]])
+    fits = (a != b) & _may(n[a], place[a], n[b], place[b], percent)
+    return pivots, a[fits], b[fits]
 
 
 def list_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Rows hub, f: pairs to search; rows with a token: postings of long lists; with pivot: the pivots of salted lists."""
+    """Rows hub, f: pairs to search; rows with a token: postings of long or salted lists; with pivot: the pivots of salted lists."""
 
     def run(batches):
         for token, salt, n, f, place in _runs(batches, 2):
-            fresh = np.ones(len(f), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (f[1:] != f[:-1])
-            token, salt, n, f, place = token[fresh], salt[fresh], n[fresh], f[fresh], place[fresh]
-            head = np.ones(len(f), bool)
-            head[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-            starts = np.flatnonzero(head)
-            sizes = np.diff(np.append(starts, len(f)))
+            head = _heads(token, salt)
+            group = np.cumsum(head) - 1
+            sizes = np.diff(np.append(np.flatnonzero(head), len(f)))
+            brief = sizes[group] <= SHORT
             hub, own = [], []
-            # Short lists: each row with each of the next rows of its list.
-            run_of = np.repeat(np.arange(len(starts)), sizes)
-            brief = sizes[run_of] <= SHORT
             for step in range(1, SHORT):
-                a = np.flatnonzero(brief[:-step] & (run_of[:-step] == run_of[step:]))
+                a = np.flatnonzero(brief[:-step] & (group[:-step] == group[step:]))
                 a = a[_may(n[a], place[a], n[a + step], place[a + step], percent)]
-                hub.append(f[a])
-                own.append(f[a + step])
-            # Long lists: each row with the pivot, the middle one of the rows that size allows.
-            long_rows = np.flatnonzero(~brief)
-            pivots = []
-            for r in np.flatnonzero(sizes > SHORT):
-                at, end = starts[r], starts[r] + sizes[r]
-                while at < end:
-                    upto = at + int(np.searchsorted(n[at:end], 100 * int(n[at]) // percent, "right"))
-                    middle = (at + upto) // 2
-                    hub.append(np.full(upto - at, f[middle]))
-                    own.append(f[at:upto])
-                    pivots.append(middle)
-                    at = upto
-            pivots = np.array([p for p in pivots if salt[p]] + [s for s, k in zip(starts, sizes) if k <= SHORT and salt[s]], np.int64)
-            salted_brief = np.flatnonzero(brief & (salt > 0))
-            kept = np.concatenate([long_rows, salted_brief])
+                hub.append(np.minimum(f[a], f[a + step]))
+                own.append(np.maximum(f[a], f[a + step]))
+            rows = np.flatnonzero(~brief | (salt > 0))
+            pivots, a, b = stars(group[rows], n[rows], f[rows], place[rows], percent)
+            hub.append(f[rows[a]])
+            own.append(f[rows[b]])
+            pivots = rows[pivots][salt[rows[pivots]] > 0]
             hub, own = np.concatenate(hub), np.concatenate(own)
-            hub, own = hub[hub != own], own[hub != own]
-            k, p = len(kept), len(pivots)
-            blank = lambda x: pa.nulls(x, pa.int64())
+            told = np.concatenate([rows, pivots])
+            k = len(told)
+            zeros = np.zeros(len(hub), np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(hub), blank(k + p)]), pa.array(np.concatenate([own, f[kept], f[pivots]])), pa.concat_arrays([blank(len(hub)), pa.array(token[kept]), pa.array(token[pivots])]),
-                    pa.array(np.concatenate([np.zeros(len(hub)), n[kept], n[pivots]]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(hub)), place[kept], place[pivots]]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(hub) + k, bool), np.ones(p, bool)])),
+                    pa.concat_arrays([pa.array(hub), pa.nulls(k, pa.int64())]), pa.array(np.concatenate([own, f[told]])), pa.concat_arrays([pa.nulls(len(hub), pa.int64()), pa.array(token[told])]),
+                    pa.array(np.concatenate([zeros, n[told]])), pa.array(np.concatenate([zeros, place[told]])), pa.array(np.arange(len(hub) + k) >= len(hub) + len(rows)),
                 ],
                 names=["hub", "f", "token", "n", "place", "pivot"],
             )
 
-    sorted_lists = lists.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "f").select("token", "salt", "n", "f", "place")
+    sorted_lists = lists.repartition("token", "salt").sortWithinPartitions("token", "salt").select("token", "salt", "n", "f", "place")
     return stash(sorted_lists.mapInArrow(run, "hub long, f long, token long, n int, place int, pivot boolean"))
 
 
 def pivot_pairs(pivots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a token's pivots of different salts: each with the least that its size allows."""
+    """Pairs of a token's pivots of different salts."""
 
     def run(batches):
-        for token, n, f, _ in _runs(batches, 1):
-            hub, own = [], []
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            for start, end in zip(starts, np.append(starts[1:], len(token))):
-                at = start
-                while at < end:
-                    upto = at + int(np.searchsorted(n[at:end], 100 * int(n[at]) // percent, "right"))
-                    hub.append(np.full(upto - at - 1, f[at]))
-                    own.append(f[at + 1 : upto])
-                    at = upto
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hub)), pa.array(np.concatenate(own))], names=["hub", "f"])
+        for token, n, f, place in _runs(batches, 1):
+            _, a, b = stars(np.cumsum(_heads(token)), n, f, place, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(f[a]), pa.array(f[b])], names=["hub", "f"])
+
+    return pivots.select("token", "n", "f", "place").repartition("token").sortWithinPartitions("token").mapInArrow(run, "hub long, f long")
+
+
+def search(hub: np.ndarray, partners: list[np.ndarray], required: np.ndarray) -> np.ndarray:
+    """T-occurrence query: which partners hold at least `required` (one number each) of the hub's tokens; all are sorted sets."""
+    tokens, who = np.concatenate(partners), np.repeat(np.arange(len(partners)), [len(p) for p in partners])
+    at = np.minimum(np.searchsorted(hub, tokens), len(hub) - 1)
+    hit = hub[at] == tokens
+    at, who = at[hit], who[hit]
+    # The inverted list of each of the hub's tokens: the partners that hold it, in order.
+    order = np.lexsort((who, at))
+    lists, ends = who[order], np.cumsum(np.bincount(at, minlength=len(hub)))
+    length = np.diff(ends, prepend=0)
+    # Long lists, fewer than any partner must reach, are set aside; the others are merged, and runs of one partner counted.
+    most = min(int(required.min()) - 1, int((length > len(partners) / 2).sum()))
+    aside = np.argsort(-length, kind="stable")[: max(0, most)]
+    short = np.ones(len(hub), bool)
+    short[aside] = False
+    merged = np.sort(lists[np.repeat(short, length)], kind="stable")
+    count = np.bincount(merged, minlength=len(partners))
+    open_ = np.flatnonzero((count < required) & (count + len(aside) >= required))
+    for t in aside:
+        own = lists[ends[t] - length[t] : ends[t]]
+        count[open_] += own[np.minimum(np.searchsorted(own, open_), len(own) - 1)] == open_
+    return count >= required
+
+
+def _searched(batch: pa.RecordBatch, required) -> np.ndarray:
+    """Which rows (hub, f, n, m, own tokens, hub's tokens, as lists or as sorted bytes) pass, hub by hub."""
+    hubs, n, m = (batch.column(i).to_numpy() for i in (0, 2, 3))
+    plain = pa.types.is_binary(batch.column(4).type)
+    read = lambda x: np.frombuffer(x.as_buffer(), np.uint64) if plain else np.sort(x.values.to_numpy().view(np.uint64))
+    keep = np.zeros(len(hubs), bool)
+    order = np.argsort(hubs, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(hubs[order])) + 1):
+        if len(group):
+            hub, partners = read(batch.column(5)[int(group[0])]), [read(batch.column(4)[int(i)]) for i in group]
+            keep[group] = search(hub, partners, required(n[group], m[group], len(hub), np.array([len(p) for p in partners])))
+    return keep
+
 
-    return pivots.select("token", "n", "f", "place").repartition("token").sortWithinPartitions("token", "n", "f").mapInArrow(run, "hub long, f long").where("hub <> f")
+def matching(pairs: DataFrame, sets: DataFrame, required) -> DataFrame:
+    """The pairs (hub, f) whose sets (f, n, tokens) share as many tokens as `required` says of sizes n, m and of the numbers of tokens given."""
+
+    def run(batches):
+        for b in batches:
+            keep = pa.array(_searched(b, required))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["hub", "f"])
+
+    side = pairs.join(sets, "f")
+    both = side.join(sets.select(F.col("f").alias("hub"), F.col("n").alias("m"), F.col("tokens").alias("others")), "hub")
+    return stash(both.select("hub", "f", "n", "m", "tokens", "others").mapInArrow(run, "hub long, f long"))
 
 
 def likely(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
@@ -275,22 +341,12 @@ def likely(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     Of two sets, let a's first tokens end first in the common order.  Common tokens up to that place are
     first tokens of both, and beyond it a has n - p tokens only.  So similar sets share at least the
     needed number less n - p among first tokens; the larger n - p of both is safe."""
+    return matching(pairs.distinct(), firsts, lambda n, m, k, ks: np.maximum(needed(n, m, percent) - np.maximum(n - ks, m - k), 1))
 
-    def run(batches):
-        for b in batches:
-            hub, f, n, m = (b.column(i).to_numpy() for i in range(4))
-            own, other = b.column(4), b.column(5)
-            keep = np.zeros(len(f), bool)
-            for i in range(len(f)):
-                x, y = own[i].values.to_numpy(), other[i].values.to_numpy()
-                beyond = max(int(n[i]) - len(x), int(m[i]) - len(y))
-                keep[i] = len(np.intersect1d(x, y, assume_unique=True)) >= needed(int(n[i]), int(m[i]), percent) - beyond
-            yield pa.RecordBatch.from_arrays([pa.array(hub[keep]), pa.array(f[keep])], names=["hub", "f"])
-
-    side = pairs.distinct().join(firsts.select("f", "n", "tokens"), "f")
-    both = side.join(firsts.select(F.col("f").alias("hub"), F.col("n").alias("m"), F.col("tokens").alias("others")), "hub")
-    both = both.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    return stash(both.select("hub", "f", "n", "m", "tokens", "others").mapInArrow(run, "hub long, f long"))
+
+def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs (hub, f) that are similar."""
+    return matching(pairs, sets, lambda n, m, k, ks: needed(n, m, percent)).select(F.col("hub").alias("a"), F.col("f").alias("b"))
 
 
 def filter_of(wanted: DataFrame) -> np.ndarray:
@@ -308,7 +364,7 @@ def may_hold(words: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 
 def read_again(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """f and tokens (sorted, as bytes) of the classes in `wanted`, each once."""
+    """f, n and tokens (sorted, as bytes) of the classes in `wanted`, each once."""
     known = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
 
     def run(batches):
@@ -318,62 +374,18 @@ def read_again(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
             f, sets = [], []
             for s in shingle_sets(b.column(1), words):
                 own = int(_signed([set_hash(s)])[0])
-                if not len(s) or own in seen:
-                    continue
-                if not may_hold(held, np.array([own]))[0]:
+                if not len(s) or own in seen or not may_hold(held, np.array([own]))[0]:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(own)
                 f.append(own)
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["f", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array([len(s) // 8 for s in sets], pa.int32()), pa.array(sets, pa.binary())], names=["f", "n", "tokens"])
 
-    sets = _texts(docs).mapInArrow(run, "f long, tokens binary")
+    sets = _texts(docs).mapInArrow(run, "f long, n int, tokens binary")
     return stash(sets.join(wanted, "f", "left_semi").dropDuplicates(["f"]))
 
 
-def search(hub: np.ndarray, partners: list[np.ndarray], percent: int) -> np.ndarray:
-    """T-occurrence query: which partners share enough of the hub's tokens."""
-    sizes = np.array([len(p) for p in partners])
-    required = needed(len(hub), sizes, percent)
-    tokens, who = np.concatenate(partners), np.repeat(np.arange(len(partners)), sizes)
-    at = np.minimum(np.searchsorted(hub, tokens), len(hub) - 1)
-    hit = hub[at] == tokens
-    at, who = at[hit], who[hit]
-    lists = np.bincount(at, minlength=len(hub))
-    # The longest lists, fewer than any partner must reach, are set aside.
-    aside = np.zeros(len(hub), bool)
-    aside[np.argsort(-lists, kind="stable")[: max(0, min(int(required.min()) - 1, int((lists > len(partners) / 2).sum())))]] = True
-    count = np.bincount(who[~aside[at]], minlength=len(partners))
-    probes = hub[aside]
-    for i in np.flatnonzero(count + len(probes) >= required):
-        if len(probes):
-            p = partners[i]
-            place = np.minimum(np.searchsorted(p, probes), len(p) - 1)
-            count[i] += int((p[place] == probes).sum())
-    return count >= required
-
-
-def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs (hub, f) that are similar."""
-
-    def run(batches):
-        for b in batches:
-            hubs, own = b.column(0).to_numpy(), b.column(1).to_numpy()
-            keep = np.zeros(len(hubs), bool)
-            order = np.argsort(hubs, kind="stable")
-            cuts = np.flatnonzero(np.diff(hubs[order])) + 1
-            for group in np.split(order, cuts):
-                if len(group):
-                    partners = [np.frombuffer(b.column(3)[int(i)].as_buffer(), np.uint64) for i in group]
-                    keep[group] = search(np.frombuffer(b.column(2)[int(group[0])].as_buffer(), np.uint64), partners, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(hubs[keep]), pa.array(own[keep])], names=["a", "b"])
-
-    right = pairs.join(sets.withColumnRenamed("tokens", "own"), "f")
-    both = right.join(sets.select(F.col("f").alias("hub"), "tokens"), "hub").select("hub", "f", "tokens", "own")
-    return stash(both.mapInArrow(run, "a long, b long"))
-
-
 def open_lists(long_lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings, with components, of lists that hold more than one component."""
     told = long_lists.join(labels.select(F.col("id").alias("f"), "component"), "f", "left").withColumn("component", F.coalesce("component", "f"))
@@ -381,13 +393,6 @@ def open_lists(long_lists: DataFrame, labels: DataFrame) -> DataFrame:
     return stash(told.join(mixed_up, "token"))
 
 
-def round_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Each row with a pivot of its list, chosen by hash, where their components differ."""
-    order = F.struct(F.xxhash64(F.col("f"), F.lit(seed)).alias("h"), F.col("f").alias("hub"), F.col("component").alias("other"), F.col("n").alias("m"))
-    pivots = lists.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.*")
-    return lists.join(pivots, "token").where("component <> other").select("hub", "f", "n", "m")
-
-
 def blocks(lists: DataFrame) -> DataFrame:
     """The rows of lists with `block`, and `low` and `high`: the two blocks of its list that a row is compared in.
 
@@ -404,7 +409,7 @@ def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that lie in different components and may be similar."""
 
     def run(batches):
-        for token, low, high, n, f, place, component, block in _runs(batches, 3, None):
+        for token, low, high, n, f, place, component, block in _runs(batches, 3):
             starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
             for start, end in zip(starts, np.append(starts[1:], len(token))):
                 within = low[start] == high[start]
@@ -422,28 +427,28 @@ def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "hub long, f long")
 
 
+def found_links(docs: DataFrame, words: int, percent: int, pairs: DataFrame, firsts: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) among pairs and those known before, and the components that they make."""
+    pairs = likely(pairs, firsts, percent)
+    wanted = pairs.select("f").unionByName(pairs.select(F.col("hub").alias("f"))).distinct()
+    found = links(pairs, read_again(docs, words, wanted), percent)
+    if known is not None:
+        found = known.unionByName(found)
+    return found, stash(components(found))
+
+
 def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`."""
     prepare(docs.sparkSession)
-    rows, common, often = read_sets(docs, words)
-    firsts = prefixes(docs, words, percent, common, often)
+    rows, sketch = read_sets(docs, words)
+    firsts = prefixes(docs, words, percent, sketch)
     found = list_pairs(postings(firsts), percent)
     long_lists = found.where("token is not null and not pivot").select("token", "f", "n", "place")
     pairs = found.where("hub is not null").select("hub", "f").unionByName(pivot_pairs(found.where("pivot"), percent))
-    known, labels = None, None
-    for seed in range(ROUNDS + 1):
-        if seed:
-            lists = open_lists(long_lists, labels)
-            if not lists.limit(1).count():
-                break
-            pairs = round_pairs(lists, seed).select("hub", "f") if seed < ROUNDS else crossing_pairs(lists, percent)
-        pairs = likely(pairs, firsts, percent)
-        if seed and not pairs.limit(1).count():
-            continue
-        wanted = pairs.select("f").unionByName(pairs.select(F.col("hub").alias("f"))).distinct()
-        added = links(pairs, read_again(docs, words, wanted), percent)
-        known = added if known is None else known.unionByName(added)
-        labels = stash(components(known))
+    known, labels = found_links(docs, words, percent, pairs, firsts, None)
+    lists = open_lists(long_lists, labels)
+    if lists.limit(1).count():
+        _, labels = found_links(docs, words, percent, crossing_pairs(lists, percent), firsts, known)
     classes = rows.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
     told = classes.join(labels.select(F.col("id").alias("f"), "component"), "f", "left")
     alone = told.where("component is null and k > 1").select("f", F.col("least").alias("component_id"))

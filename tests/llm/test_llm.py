@@ -321,10 +321,11 @@ def near_copies():
 
 
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80), (2, 60)])
-@pytest.mark.parametrize("common", [2, 24])
-def test_jaccard_components(spark, monkeypatch, size, percent, common):
-    monkeypatch.setattr(jaccard, "COMMON", common)
-    monkeypatch.setattr(jaccard, "SEEN_TOGETHER", 2)
+@pytest.mark.parametrize("most", [3, 50_000])
+def test_jaccard_components(spark, monkeypatch, size, percent, most):
+    """Also where nearly every list is salted and compared in blocks."""
+    monkeypatch.setattr(jaccard, "SALTED", most)
+    monkeypatch.setattr(jaccard, "BLOCK", 2 * most)
     texts = near_copies()
     docs = documents(spark, texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(docs, size, percent).collect()}
