@@ -448,7 +448,7 @@ def test_nearest(spark):
 
 
 def test_near_duplicate_vectors(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "LONG", 64)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(500, 16))
     for i in range(200, 400):
