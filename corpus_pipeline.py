@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huskline.llm import jaccard, packing, pii, quality
-from huskline.llm.common import stash, table
+from huskline.llm.common import discard, stash, table
 from huskline.llm.queries import vocabulary
 
 
@@ -46,6 +46,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each stage's rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
+    before = []
     for _, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stash
+from .common import discard, prepare, stash
 from .components import components
 from .words import hashes, mixed
 
@@ -431,7 +431,9 @@ def found_links(docs: DataFrame, words: int, percent: int, pairs: DataFrame, fir
     """Links (a, b) among pairs and those known before, and the components that they make."""
     pairs = likely(pairs, firsts, percent)
     wanted = pairs.select("f").unionByName(pairs.select(F.col("hub").alias("f"))).distinct()
-    found = links(pairs, read_again(docs, words, wanted), percent)
+    sets = read_again(docs, words, wanted)
+    found = links(pairs, sets, percent)
+    discard(pairs, sets)
     if known is not None:
         found = known.unionByName(found)
     return found, stash(components(found))
@@ -449,6 +451,7 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     lists = open_lists(long_lists, labels)
     if lists.limit(1).count():
         _, labels = found_links(docs, words, percent, crossing_pairs(lists, percent), firsts, known)
+    discard(firsts, found, lists)
     classes = rows.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
     told = classes.join(labels.select(F.col("id").alias("f"), "component"), "f", "left")
     alone = told.where("component is null and k > 1").select("f", F.col("least").alias("component_id"))
