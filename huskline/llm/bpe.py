@@ -6,8 +6,9 @@ with its predecessor is compatible, that is, whose boundary no earlier merge wou
 none fits it steps back and marks the position dead.  A prefix has one valid encoding at most, so no
 position is tried twice: linear time, and the tokens are those that rank-ordered merging gives.
 
-Defined results: null and empty texts have no tokens and decode to the empty string; every row gives
-one row, repeated rows give repeated rows; extra columns are ignored.
+Defined results: null and empty texts have no tokens and decode to the empty string; a very long text is
+encoded whole, word by word; every row gives one row, repeated rows give repeated rows, an empty table none;
+there are no ties, as an encoding is unique; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +31,29 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: Blank for Python's split() only.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
+#: Letters and numbers that Unicode assigned after version 16, which the library has as marks (fixed values).
+MARKS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 "
+    "18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 "
+    "1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+#: Capitals of Unicode 16 and 17 with their small letters, which Python does not know (fixed values); ranges run in step.
+SMALL = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70-10D85 16EA0-16EB8:16EBB-16ED3"
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 END = "</w>"
 
 
+def _points(ranges: str) -> list[int]:
+    """Code points of hexadecimal ranges."""
+    ends = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return [p for e in ends for p in range(e[0], e[-1] + 1)]
+
+
+#: The small letters by capital.
+LOWER = {a: b for pair in SMALL.split() for a, b in zip(*map(_points, pair.split(":")))}
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -87,6 +107,8 @@ class Encoder:
         self.blob = np.frombuffer(b"".join(texts), np.uint8)
         self.words = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.as_marks = {c: "☃" for c in _points(MARKS)}
+        self.late = frozenset(map(chr, self.as_marks))
         self.blank = regex.compile(f"[{WHITE}]+")
         self.cache: Recent = Recent(self.entry)
 
@@ -191,12 +213,15 @@ class Encoder:
             lower = text.lower()
         else:
             text = unicodedata.normalize("NFC", text)
-            lower = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+            lower = ("".join(map(str.lower, text)) if "Σ" in text else text.lower()).translate(LOWER)
         if lower.isalpha():
             return self.known[lower]
         if lower[-1] in ".,;:!?" and lower[:-1].isalpha():
             return self.known[lower[:-1]] + self.known[lower[-1]]
-        return [i for word in self.words.findall(lower) for i in self.known[word]]
+        words = self.words.findall(lower)
+        if not (lower.isascii() or self.late.isdisjoint(lower)):
+            words = [lower[m.start() : m.end()] for m in self.words.finditer(lower.translate(self.as_marks))]
+        return [i for word in words for i in self.known[word]]
 
     def entry(self, text: str) -> tuple[bytes, str]:
         """Ids of a text without white space: as 32-bit integers, and as decimal text."""

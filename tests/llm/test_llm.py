@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -56,6 +57,18 @@ def test_bpe_equals_library(spark):
     assert [r.ids for r in bpe.encode_ids(documents(spark, ["the the"]), WORD).collect()] == [k.encode("the the", add_special_tokens=False).ids]
 
 
+def test_bpe_every_code_point():
+    """Alone and among letters and marks: all that Unicode assigns, and some that it does not."""
+    e, k = bpe.Encoder(WORD), tokenizers.Tokenizer.from_file(WORD)
+    points = [p for p in (*range(0xD800), *range(0xE000, 0x110000)) if p in e.as_marks or p in bpe.LOWER or p % 64 == 0 or (unicodedata.category(chr(p)) not in ("Cn", "Co", "Lo"))]
+    for at in range(0, len(points), 4096):
+        chars = list(map(chr, points[at : at + 4096]))
+        for form in ("{}", "a{}1{}!"):
+            texts = [form.replace("{}", c) for c in chars]
+            wrong = [t for t, got in zip(texts, k.encode_batch(texts, add_special_tokens=False)) if e.encode(t) != got.ids]
+            assert not wrong, (len(wrong), wrong[:5], at)
+
+
 def test_bpe_search_equals_merging():
     e = bpe.Encoder(WORD)
     k = tokenizers.Tokenizer.from_file(WORD)
