@@ -44,6 +44,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: A token that may be an identifier: has a digit, no blank, 6 to 40 characters.
 CANDIDATE = r"(?<![A-Za-z0-9._%+@:/-])(?=[A-Za-z._%+@:/-]{0,38}[0-9])[A-Za-z0-9+][A-Za-z0-9._%+@:/-]{4,38}[A-Za-z0-9](?![A-Za-z0-9._%+@:/-]*[A-Za-z0-9])"
+#: Patterns that are sent to all tasks at most.
+SENT = 100_000
 SIGN, PLAIN = "\u0001", "\u0003"
 ROUNDS = 3
 #: A pattern is trusted with this confidence, from at least so many different instances.
@@ -152,12 +154,16 @@ def extract(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def pattern_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, uses: how often the words of each of `patterns` stand in the texts, whatever comes before or after them."""
-    words = F.filter(F.transform(F.split(F.lower(F.col("text").cast("string")), r"\s+"), _words), lambda w: F.length(w) > 0)
-    pairs = lambda w: F.transform(w, lambda x, i: F.when(i > 0, F.concat_ws(" ", F.get(w, i - 1), x)))
-    terms = docs.where("text is not null").select(F.explode(bind(words, lambda w: F.concat(w, pairs(w)))).alias("term")).where("term is not null")
-    wanted = patterns.select("pattern", F.trim(F.regexp_replace("pattern", "^_ | _$", "")).alias("term")).distinct()
-    return terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("uses")).join(wanted, "term").select("pattern", "uses")
+    """pattern, uses: how often the words of each of `patterns` (the two next to the span) stand in the texts, whatever is beside them.
+
+    Words meet the patterns before any shuffle where these are at most `SENT`, which is counted first."""
+    front, words = F.col("pattern").endswith(" _"), F.split(F.regexp_replace("pattern", "^_ | _$", ""), " ")
+    wanted = patterns.select("pattern").distinct().select("pattern", F.when(front, F.element_at(words, -1)).otherwise(F.element_at(words, 1)).alias("word"), F.when(front & (F.size(words) > 1), F.element_at(words, -2)).alias("ahead"))
+    if wanted.limit(SENT + 1).count() <= SENT:
+        wanted = F.broadcast(wanted)
+    plain = F.split(F.trim(F.regexp_replace(F.lower(F.col("text").cast("string")), r"[^\p{L}\p{N}]+", " ")), " ")
+    said = docs.where("text is not null").select(F.explode(bind(plain, lambda w: F.transform(w, lambda x, i: F.struct(x.alias("word"), F.when(i > 0, F.get(w, i - 1)).alias("before"))))).alias("x")).select("x.*")
+    return said.join(wanted, "word").where("ahead is null or ahead = before").groupBy("pattern").agg(F.count("*").alias("uses"))
 
 
 def confidences(edges: DataFrame, uses: DataFrame | None) -> DataFrame:
@@ -177,16 +183,15 @@ def trusted_patterns(docs: DataFrame, rows: DataFrame, rounds: int = ROUNDS) ->
     edges = stash(edges.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).withColumn("seed", F.col("kind").isNotNull()))
     trusted, uses = None, None
     for _ in range(rounds):
+        # Uses are counted of those patterns only that would be trusted without them.
+        likely = confidences(edges, uses).select("pattern")
+        fresh = stash(likely if uses is None else likely.join(uses, "pattern", "left_anti"))
+        if fresh.limit(1).count():
+            counted = stash(pattern_uses(docs, fresh))
+            uses = counted if uses is None else uses.unionByName(counted)
         good = stash(confidences(edges, uses))
         if not good.limit(1).count():
             break
-        # Any pattern that introduces a candidate may be trusted in a later round.
-        if uses is None:
-            shared = edges.groupBy("pattern").agg(F.count_if(~F.col("seed")).alias("open"), F.count("*").alias("k")).where(F.col("open") > 0).where(F.col("k") > SUPPORT)
-            uses = stash(pattern_uses(docs, shared))
-            good = stash(confidences(edges, uses))
-            if not good.limit(1).count():
-                break
         trusted = good
         best = edges.where("not seed").select("pattern", "instance").join(good, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("best"))
         edges = stash(edges.where("seed").unionByName(edges.where("not seed").join(best, "instance", "left").select("pattern", "instance", F.coalesce("best.kind", "kind").alias("kind"), "n", F.coalesce("best.confidence", "score").alias("score"), "seed")))
