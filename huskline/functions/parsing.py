@@ -40,6 +40,12 @@ def compiles(text: pd.Series) -> pd.Series:
     return text.map(lambda t: _tree(t, "compile") is not None).astype(bool)
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def each_compiles(texts: pd.Series) -> pd.Series:
+    """Of every text of an array: does it compile?  A null does not."""
+    return texts.map(lambda all_: [_tree(t, "compile") is not None for t in all_])
+
+
 def _preorder(tree: ast.AST) -> list[str]:
     out, todo = [], [tree]
     while todo:
@@ -64,18 +70,29 @@ def node_types(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"preorder": trees.map(lambda t: _preorder(t) if t else None), "breadth_first": trees.map(lambda t: _breadth_first(t) if t else None)})
 
 
+def _comment_rows(text: str | None) -> list[int]:
+    found: list[int] = []
+    try:
+        for token in tokenize.generate_tokens(io.StringIO(text or "").readline):
+            if token.type == tokenize.COMMENT and token.line.lstrip().startswith("#"):
+                found.append(token.start[0])
+    except (tokenize.TokenError, SyntaxError, ValueError):
+        pass
+    return found
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def comment_rows(code: pd.Series) -> pd.Series:
     """Numbers of lines that are nothing but a comment; what lies inside strings is none.  Ends where the text stops being Python."""
+    return code.map(_comment_rows)
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def comment_flags(code: pd.Series) -> pd.Series:
+    """The same as one flag a line, up to the last comment."""
 
-    def one(text: str | None) -> list[int]:
-        found: list[int] = []
-        try:
-            for token in tokenize.generate_tokens(io.StringIO(text or "").readline):
-                if token.type == tokenize.COMMENT and token.line.lstrip().startswith("#"):
-                    found.append(token.start[0])
-        except (tokenize.TokenError, SyntaxError, ValueError):
-            pass
-        return found
+    def one(text: str | None) -> list[bool]:
+        rows = set(_comment_rows(text))
+        return [i in rows for i in range(1, max(rows, default=0) + 1)]
 
     return code.map(one)

@@ -100,16 +100,20 @@ def token_ids(tokens: Column, vocabulary: list[str], layout: str = "plain") -> C
     listed = F.array(*map(F.lit, vocabulary))
 
     def one(t: Column) -> Column:
-        place = F.array_position(listed, t["tok"])
-        known = F.when(t["kind"].isin("NAME", "OP") & (place > 0), place - 1 + ids["first"])
         out = F.lit(ids["ERROR"])
         for kind in ("NAME", "OP", "NUMBER", "STRING", "COMMENT"):
             out = F.when(t["kind"] == kind, ids[kind]).otherwise(out)
-        return F.coalesce(known, out).cast("int")
+        known = F.when(t["kind"].isin("NAME", "OP"), F.nullif(F.array_position(listed, t["tok"]), F.lit(0)))
+        return F.coalesce(known + (ids["first"] - 1), out).cast("int")
 
     return F.transform(tokens, one)
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)`, with the value worked out once however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def char_ids(line: Column, alphabet: str = ALPHABET, first: int = 2, unknown: int = 1) -> Column:
     """Id of each character: its place in the alphabet, counted from `first`."""
     letters = F.filter(F.split(line, ""), lambda c: F.length(c) > 0)
@@ -118,9 +122,13 @@ def char_ids(line: Column, alphabet: str = ALPHABET, first: int = 2, unknown: in
 
 def pad(ids: Column, width: int, padding: str = "post", truncating: str = "pre") -> Column:
     """Exactly `width` ids: zeros at the end (or start), and the last (or first) ids of a longer array."""
-    kept = F.slice(ids, F.greatest(F.size(ids) - width + 1, F.lit(1)), width) if truncating == "pre" else F.slice(ids, 1, width)
-    zeros = F.array_repeat(F.lit(PAD), F.greatest(F.lit(width) - F.size(ids), F.lit(0)))
-    return F.concat(kept, zeros) if padding == "post" else F.concat(zeros, kept)
+
+    def fixed(x: Column) -> Column:
+        kept = F.slice(x, F.greatest(F.size(x) - width + 1, F.lit(1)), width) if truncating == "pre" else F.slice(x, 1, width)
+        zeros = F.array_repeat(F.lit(PAD), F.greatest(F.lit(width) - F.size(x), F.lit(0)))
+        return F.concat(kept, zeros) if padding == "post" else F.concat(zeros, kept)
+
+    return bind(ids, fixed)
 
 
 def adjacent_names(tokens: Column, keywords: list[str] = KEYWORDS) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.parsing import compiles, parses
+from ..functions.parsing import comment_flags, compiles, each_compiles, parses
 
 
 def triaged(comments: DataFrame) -> DataFrame:
@@ -80,14 +80,22 @@ def era_verdict(lines: DataFrame, aggressive: bool = True, whitelist: tuple[str,
     return rows.withColumn("is_code", F.col("stage").isin(*rules.CODE_STAGES) | compiles(F.when(F.col("stage") == "needs_compile", text)))
 
 
-def marked_lines(files: DataFrame, aggressive: bool = True) -> Column:
-    """array<struct<line, marked>> of a file row with `lines` and `labels` by the scanner: comment lines of code outside of strings that the rules call code."""
-    return F.transform("lines", lambda x: F.struct(x.alias("line"), rules.stage(x, aggressive).isin(*rules.CODE_STAGES).alias("marked")))
+def marked_lines(files: DataFrame, aggressive: bool = True) -> DataFrame:
+    """The files with `marked`, one flag a line: is it a comment of code?
+
+    Comments are told by Python's own tokens, so what lies inside of strings is none; a comment is code by
+    the rules, or where only the parser can tell by compiling.  All of a file stays in one row: no shuffle."""
+    rows = files.withColumn("_comment", comment_flags(F.array_join("lines", "\n")))
+    staged = rows.withColumn("_stage", F.transform("lines", lambda x, i: F.when(F.get("_comment", i), rules.stage(x, aggressive))))
+    text = lambda x: rules.without_print(rules.bare_comment(x))
+    told = staged.withColumn("_fine", each_compiles(F.transform("lines", lambda x, i: F.when(F.get("_stage", i) == "needs_compile", text(x)))))
+    marked = F.transform("_stage", lambda x, i: F.coalesce(x.isin(*rules.CODE_STAGES), F.lit(False)) | F.get("_fine", i))
+    return told.withColumn("marked", marked).drop("_comment", "_stage", "_fine")
 
 
 def removal(files: DataFrame, aggressive: bool = True) -> DataFrame:
-    """The files with `parts`: array<struct<line, marked, gone>>; a marked line stays if the line before ends in a backslash."""
-    marked = files.withColumn("marked", marked_lines(files, aggressive))
-    previous = lambda i: F.coalesce(F.get("marked", i - 1)["line"], F.lit(""))
-    gone = lambda x, i: x["marked"] & ~F.rtrim(previous(i), F.lit(" \t\n\r\x0b\x0c")).endswith("\\")
-    return marked.withColumn("parts", F.transform("marked", lambda x, i: F.struct((i + 1).alias("lineno"), x["line"].alias("line"), x["marked"].alias("marked"), gone(x, i).alias("gone")))).drop("marked")
+    """The files with `parts`: array<struct<lineno, line, marked, gone>>; a marked line stays if the line before ends in a backslash."""
+    previous = lambda i: F.coalesce(F.get("lines", i - 1), F.lit(""))
+    gone = lambda i: F.get("marked", i) & ~F.rtrim(previous(i), F.lit(" \t\n\r\x0b\x0c")).endswith("\\")
+    parts = F.transform("lines", lambda x, i: F.struct((i + 1).alias("lineno"), x.alias("line"), F.get("marked", i).alias("marked"), gone(i).alias("gone")))
+    return marked_lines(files, aggressive).withColumn("parts", parts).drop("marked")

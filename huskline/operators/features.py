@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CLS, KEYWORD_VOCABULARY, LAYOUTS, SEP, lex, pad, preclean, split_names, token_ids
+from ..functions.text import CLS, KEYWORD_VOCABULARY, LAYOUTS, SEP, bind, lex, pad, preclean, split_names, token_ids
+from .labels import file_context, label_files
 
 #: Least ids of a usable row, and widths of rows.
 LEAST, WIDTH = 3, 30
@@ -34,6 +35,32 @@ def context_features(rows: DataFrame, order: str, width: int, vocabulary: list[s
     return rows.withColumn("ids", pad(F.concat(*parts), width))
 
 
+def window_features(files: DataFrame, order: str, width: int, vocabulary: list[str] = KEYWORD_VOCABULARY) -> DataFrame:
+    """As context_features of lines with one neighbour on each side, but each line is lexed once: doc_id, idx, label, ids."""
+    known = label_files(files).withColumn("line_ids", F.transform("text_lines", lambda x: ids_of_text(x, vocabulary)))
+    steps = {"before": -1, "text": 0, "after": 1}
+
+    def row(label: Column, i: Column) -> Column:
+        parts = [F.array(F.lit(CLS))]
+        for name in ORDERS[order]:
+            parts += [F.coalesce(F.get("line_ids", i + steps[name]), F.array().cast("array<int>")), F.array(F.lit(SEP))]
+        return F.struct((i + 1).cast("long").alias("idx"), label.alias("label"), pad(F.concat(*parts), width).alias("ids"))
+
+    return known.select("doc_id", F.inline(F.transform("labels", row))).where("label is not null")
+
+
+def file_features(lines: DataFrame, files: DataFrame, order: str, width: int, vocabulary: list[str] = KEYWORD_VOCABULARY) -> DataFrame:
+    """Lines (column `line`) with `ids` of their whole file and the line, padded to `width`, of which the last ids count.
+
+    A file is lexed once and whole; only its last `width` ids, all that can be used, meet the lines."""
+    last = lambda text: bind(ids_of_text(text, vocabulary), lambda x: F.slice(x, F.greatest(F.size(x) - width + 1, F.lit(1)), width))
+    rows = file_context(lines, files, last).withColumn("text", ids_of_text(F.col("line"), vocabulary))
+    parts = [F.array(F.lit(CLS))]
+    for name in ORDERS[order]:
+        parts += [F.col(name), F.array(F.lit(SEP))]
+    return rows.withColumn("ids", pad(F.concat(*parts), width))
+
+
 def ids_of_text(text: Column, vocabulary: list[str] = KEYWORD_VOCABULARY) -> Column:
     """Ids of a text of several lines, pre-cleaned as a whole."""
     lines = F.split(preclean(text), "\n")

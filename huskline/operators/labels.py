@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: State of the scanner, in one letter: code, or inside of a block of single or double quotes.
-#: What a line is in the state `code`, tried in this order: letter, pattern, label, next state.
+#: The scanner's state is one letter: code (c), or inside of a block of single (s) or double quotes (d).
+#: Fixed values.  What a line is in the state `code`, tried in this order: letter, pattern, label, next state.
 IN_CODE = (
     ("h", r"^ *#|^\s*'''.*'''\s*\z|^\s*\"\"\".*\"\"\"\s*\z", 1, "c"),
     ("s", r"^\s*'''", 1, "s"),
@@ -77,11 +77,11 @@ def merged(context: DataFrame) -> DataFrame:
     return context.withColumn("before", F.array_join("before", "\n")).withColumn("after", F.array_join("after", "\n"))
 
 
-#: Characters of a file that serve as context.
-CONTEXT_CHARS = 1500
+def file_text(files: DataFrame) -> Column:
+    """A file's lines that are not empty, as one text."""
+    return F.array_join(F.filter("lines", lambda x: F.length(x) > 0), "\n")
 
 
-def file_context(lines: DataFrame, files: DataFrame, chars: int = CONTEXT_CHARS) -> DataFrame:
-    """Lines with the (cut) text of their file as `context`; the text is cut before the join on doc_id, so no row carries a whole file."""
-    context = files.select("doc_id", F.substring(F.array_join("lines", "\n"), 1, chars).alias("context"))
-    return lines.join(context, "doc_id")
+def file_context(lines: DataFrame, files: DataFrame, of=F.md5) -> DataFrame:
+    """Lines with `context`: what `of` makes of the whole text of their file, once a file and before the join on doc_id, so no line carries a whole file."""
+    return lines.join(files.select("doc_id", of(file_text(files)).alias("context")), "doc_id")

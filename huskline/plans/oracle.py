@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import rules
 from ..functions import text as tx
-from ..operators.labels import CONTEXT_CHARS, IN_CODE
+from ..operators.labels import IN_CODE
 from ..operators.metrics import THRESHOLDS
 from ..sources.code_view import SPLIT, TEMPLATE
 
@@ -142,7 +142,8 @@ def _around(before: int, after: int, sep: str) -> str:
 
 SQL["context_lists"] = LABELLED + _around(2, 2, "'|'") + "SELECT doc_id, idx, len(b) AS n_before, before, text, len(a) AS n_after, after, label FROM cx"
 SQL["context_merged"] = LABELLED + _around(1, 1, "chr(10)") + "SELECT doc_id, idx, before, text, after, label FROM cx"
-SQL["context_file"] = LABELLED + f"SELECT lab.doc_id, idx, label, md5(concat(left(code, {CONTEXT_CHARS}), chr(10), line)) AS context_md5 FROM lab JOIN fl ON fl.doc_id = lab.doc_id"
+_whole = ", wf AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY lineno) AS code FROM ne GROUP BY doc_id)"
+SQL["context_file"] = LABELLED + _whole + " SELECT lab.doc_id, idx, label, md5(concat(md5(code), chr(10), line)) AS context_md5 FROM lab JOIN wf ON wf.doc_id = lab.doc_id"
 SQL["label_counts"] = LABELLED + "SELECT label, count(*) AS n FROM lab GROUP BY label"
 
 # Tokens, ids and features
@@ -184,8 +185,8 @@ for _order, _cols in (("bta", ("before", "text", "after")), ("bat", ("before", "
 for _order, _cols in (("ct", ("context", "text")), ("tc", ("text", "context"))):
     _all = "[1]"
     for _c in _cols:
-        _all = f"list_concat(list_concat({_all}, {_text_ids(_c)}), [2])"
-    SQL[f"context_features_{_order}"] = LABELLED + f", cf AS (SELECT lab.doc_id, idx, label, line AS text, left(code, 200) AS context FROM lab JOIN fl ON fl.doc_id = lab.doc_id), f AS (SELECT doc_id, idx, label, {_all} AS i FROM cf) SELECT doc_id, idx, label, {text(pad('i', 60))} AS ids FROM f"
+        _all = f"list_concat(list_concat({_all}, {'context' if _c == 'context' else _text_ids(_c)}), [2])"
+    SQL[f"context_features_{_order}"] = LABELLED + _whole + f", fi AS (SELECT doc_id, {_text_ids('code')} AS context FROM wf), cf AS (SELECT lab.doc_id, idx, label, line AS text, context FROM lab JOIN fi ON fi.doc_id = lab.doc_id), f AS (SELECT doc_id, idx, label, {_all} AS i FROM cf) SELECT doc_id, idx, label, {text(pad('i', 60))} AS ids FROM f"
 _named = "CASE i " + " ".join(f"WHEN {v} THEN '<{k}>'" for k, v in _n.items() if k != "first") + f" ELSE {array(tx.KEYWORD_VOCABULARY)}[i - {_n['first']} + 1] END"
 SQL["decode_ids"] = VIEW + _id + f"SELECT doc_id, lineno, {text(f'list_transform(list_filter({pad("i", 30)}, lambda z: z > 0), lambda i: {_named})')} AS text FROM id"
 SQL["token_length_hist"] = LABELLED + _around(1, 1, "chr(10)") + "SELECT part, length, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS part, len({_text_ids(p)}) AS length FROM cx" for p in ("before", "text", "after")) + ") GROUP BY ALL"
@@ -217,7 +218,7 @@ _triage = (
 )
 _tr = f", tr AS (SELECT *, {_triage} AS rule FROM cm) "
 SQL["rule_triage"] = VIEW + _tr + "SELECT file_path, lineno, content, rule FROM tr"
-SQL["scan_summary"] = VIEW + _tr + "SELECT file_path, count(*) AS comments, " + ", ".join(f'count(*) FILTER (rule = \'{r}\') AS "{r}"' for r in ("drop", "candidate", "main_guard", "undecided")) + ", count(*) FILTER (rule IN ('candidate', 'main_guard')) AS findings FROM tr GROUP BY file_path"
+SQL["scan_rules"] = VIEW + _tr + "SELECT file_path, count(*) AS comments, " + ", ".join(f'count(*) FILTER (rule = \'{r}\') AS "{r}"' for r in ("drop", "candidate", "main_guard", "undecided")) + ", count(*) FILTER (rule IN ('candidate', 'main_guard')) AS findings FROM tr GROUP BY file_path"
 _tok = "CASE WHEN t.kind IN ('NAME', 'OP') THEN t.tok ELSE concat('<', t.kind, '>') END"
 
 
@@ -242,11 +243,11 @@ _voted = (
     + f", v0 AS (SELECT *, {lex('content')} AS t, length(regexp_replace(content, '[A-Za-z0-9\\s]', '', 'g')) AS marks FROM sc), v AS (SELECT *, len(t) >= 3 AND NOT ({_adjacent}) AND score <= 0.5 AS by_token, round(1 - least(1.0, 8 * marks / greatest(length(content), 1)), 6) <= 0.5 AS by_char, rule IN ('candidate', 'main_guard') AS by_rule FROM v0) "
 )
 SQL["model_votes"] = _voted + "SELECT file_path, lineno, score, by_token, by_char FROM v"
-SQL["combine_votes"] = _voted + "SELECT file_path, lineno, content FROM v WHERE by_rule OR (rule <> 'drop' AND by_char)"
-SQL["combine_votes_aggressive"] = _voted + "SELECT file_path, lineno, content FROM v WHERE by_rule OR (rule <> 'drop' AND (by_char OR by_token))"
+SQL["combine_votes_rules"] = _voted + "SELECT file_path, lineno, content FROM v WHERE by_rule OR (rule <> 'drop' AND by_char)"
+SQL["combine_votes_aggressive_rules"] = _voted + "SELECT file_path, lineno, content FROM v WHERE by_rule OR (rule <> 'drop' AND (by_char OR by_token))"
 _one = "{'file_path': file_path, 'lineno': lineno, 'content': content, 'offset': 0, 'length': 0, 'module': '', 'problem_class': {'name': '8_2', 'severity': '', 'inspection_name': '8_2', 'attribute_key': ''}, 'entry_point': {'TYPE': '', 'FQNAME': ''}, 'description': 'Do not use comment lines to make the code invalid.'}"
-SQL["findings_json"] = VIEW + _tr + f"SELECT file_path, CAST(to_json({{'problems': list({_one} ORDER BY lineno)}}) AS VARCHAR) AS document FROM tr WHERE rule IN ('candidate', 'main_guard') GROUP BY file_path"
-SQL["findings_flat"] = VIEW + _tr + "SELECT file_path, lineno, content FROM tr WHERE rule IN ('candidate', 'main_guard')"
+SQL["findings_json_rules"] = VIEW + _tr + f"SELECT file_path, CAST(to_json({{'problems': list({_one} ORDER BY lineno)}}) AS VARCHAR) AS document FROM tr WHERE rule IN ('candidate', 'main_guard') GROUP BY file_path"
+SQL["findings_flat_rules"] = VIEW + _tr + "SELECT file_path, lineno, content FROM tr WHERE rule IN ('candidate', 'main_guard')"
 
 
 def _multiline(t: str, hard: bool) -> str:
@@ -278,10 +279,6 @@ _bm = f", bm AS (SELECT *, {_bare('line')} AS b FROM cm) "
 SQL["era_multiline"] = VIEW + _bm + f"SELECT doc_id, lineno, {_multiline('b', True)} AS hard, {_multiline('b', False)} AS mild FROM bm"
 SQL["era_whitelist"] = VIEW + _bm + f"SELECT doc_id, lineno, regexp_matches(b, {q('(?i)' + '|'.join((*rules.WHITELIST, 'return')))}) AS extended, regexp_matches(b, '(?i)import') AS replaced FROM bm"
 _code = "('multiline', 'block', 'partial_dict')"
-_rm = _bl + f", mk AS (SELECT doc_id, lineno, line, {_stage(True)} IN {_code} AS marked, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY lineno), '') AS previous FROM bl), gn AS (SELECT *, marked AND NOT ends_with(rtrim(previous, {chars(tx.BLANKS)}), chr(92)) AS gone FROM mk) "
-SQL["era_filtered"] = VIEW + _rm + "SELECT doc_id, lineno, line FROM gn WHERE NOT gone"
-SQL["era_identified"] = VIEW + _rm + "SELECT doc_id, lineno, line FROM gn WHERE gone"
-SQL["era_changes"] = VIEW + _rm + "SELECT doc_id, bool_or(gone) AS changed, count(*) FILTER (gone) AS removed, md5(coalesce(string_agg(line, chr(10) ORDER BY lineno) FILTER (NOT gone), '')) AS text_md5, coalesce(string_agg(concat('-', line), chr(10) ORDER BY lineno) FILTER (gone), '') AS diff FROM gn GROUP BY doc_id"
 
 # Samples and training
 _bucket = "CAST(concat('0x', substring(md5(concat(CAST(doc_id AS VARCHAR), '-42')), 1, 8)) AS BIGINT) % 10000"
@@ -321,5 +318,6 @@ SQL["threshold_sweep"] = _vs + _rates("truth", "score > threshold", "vs, (SELECT
 SQL["metrics_by_language"] = _held + _rates("label = 1", "score > 0.6", "sc", "lang, ", "GROUP BY ROLLUP (lang)")
 SQL["language_share"] = VIEW + "SELECT lang, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM cl GROUP BY lang"
 SQL["code_share_by_language"] = LABELLED + "SELECT lang, label, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY lang), 2) AS percent FROM lab GROUP BY lang, label"
+SQL["confirmed_comments"] = _held + "SELECT doc_id, idx, line, label, score FROM sc WHERE (label = 1 AND score > 0.6) OR (label = 0 AND score <= 0.6)"
 SQL["suspect_comments"] = _held + "SELECT doc_id, idx, line, score FROM sc WHERE label = 0 AND score > 0.6"
 SQL["detector_compare"] = VIEW + f", dc AS (SELECT {_triage} IN ('candidate', 'main_guard') AS by_triage, {_stage(True)} IN {_code} AS by_era FROM (SELECT *, {_bare('line')} AS b FROM cm)) SELECT by_triage, by_era, count(*) AS n FROM dc GROUP BY CUBE (by_triage, by_era)"

@@ -206,11 +206,8 @@ def _(s, d):
 def _context(order):
     @query(f"context_features_{order}")
     def _(s, d):
-        if order in ("ct", "tc"):
-            rows = labels.file_context(labelled(s, d), files(s, d), 200).withColumnRenamed("line", "text")
-        else:
-            rows = labels.merged(labels.context_lines(files(s, d), 1, 1))
-        return features.context_features(rows, order, 60 if order in ("ct", "tc") else 90).select("doc_id", "idx", "label", tx.joined(F.col("ids")).alias("ids"))
+        rows = features.file_features(labelled(s, d), files(s, d), order, 60) if order in ("ct", "tc") else features.window_features(files(s, d), order, 90)
+        return rows.select("doc_id", "idx", "label", tx.joined(F.col("ids")).alias("ids"))
 
 
 for _order in features.ORDERS:
@@ -268,11 +265,23 @@ def _(s, d):
     return detect.confirmed(comments(s, d)).select("file_path", "lineno", "content", "rule")
 
 
+def _summary(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("file_path").agg(F.count("*").alias("comments"), *(F.count_if(F.col("rule") == r).alias(r) for r in ("drop", "candidate", "main_guard", "undecided")), F.count_if(detect.is_rule_code(F.col("rule"))).alias("findings"))
+
+
+@query("scan_rules")
+def _(s, d):
+    """Comments by file and what each rule says, before any parser."""
+    return _summary(detect.triaged(comments(s, d)))
+
+
 @query("scan_summary")
 def _(s, d):
-    """The flagship scan: comments by file and what each rule says."""
-    rows = detect.triaged(comments(s, d))
-    return rows.groupBy("file_path").agg(F.count("*").alias("comments"), *(F.count_if(F.col("rule") == r).alias(r) for r in ("drop", "candidate", "main_guard", "undecided")), F.count_if(detect.is_rule_code(F.col("rule"))).alias("findings"))
+    """The flagship scan: comments by file, what each rule says (a candidate must parse), what each model says of the rest, and all that is code."""
+    rows = flagged(s, d).withColumn("open", F.col("rule") == "undecided")
+    counts = [F.count_if(F.col("rule") == r).alias(r) for r in ("drop", "candidate", "main_guard", "undecided")]
+    votes = [F.count_if(F.col("open") & F.col(v)).alias(v) for v in ("by_token", "by_char")]
+    return rows.groupBy("file_path").agg(F.count("*").alias("comments"), *counts, *votes, F.count_if("is_code").alias("findings"))
 
 
 def scored(s, d) -> DataFrame:
@@ -283,7 +292,7 @@ def scored(s, d) -> DataFrame:
     return held.join(bayes.score(held, trained, ["doc_id", "idx"]), ["doc_id", "idx"])
 
 
-def voted(s, d, triage: Callable[[DataFrame], DataFrame] = detect.triaged) -> DataFrame:
+def voted(s, d, triage: Callable[[DataFrame], DataFrame] = detect.confirmed) -> DataFrame:
     """Comments with the rule's vote, and two models' votes: the Bayes model, and the share of marks among characters."""
     rows = triage(comments(s, d))
     trained = bayes.model(bayes.counts(labelled(s, d).where("split = 'train'")))
@@ -296,38 +305,43 @@ def voted(s, d, triage: Callable[[DataFrame], DataFrame] = detect.triaged) -> Da
     return rows.withColumn("by_rule", detect.is_rule_code(F.col("rule")))
 
 
+def flagged(s, d, triage: Callable[[DataFrame], DataFrame] = detect.confirmed, hard: bool = True) -> DataFrame:
+    """Comments with `is_code`: does the rule or one of the models call it code?  Dropped comments get no model's vote."""
+    said = detect.combined(F.col("by_rule"), F.col("by_char"), F.col("by_token"), aggressive=hard)
+    return voted(s, d, triage).withColumn("is_code", said & (F.col("rule") != "drop"))
+
+
 @query("model_votes")
 def _(s, d):
-    return voted(s, d).select("file_path", "lineno", "score", "by_token", "by_char")
+    return voted(s, d, detect.triaged).select("file_path", "lineno", "score", "by_token", "by_char")
 
 
 @query("code_flags")
 def _(s, d):
-    """Of every comment: does the rule (a candidate must parse) or one of the models call it code?  Dropped comments get no model's vote."""
-    rows = voted(s, d, detect.confirmed)
-    said = detect.combined(F.col("by_rule"), F.col("by_char"), F.col("by_token"), aggressive=True)
-    return rows.select("file_path", "lineno", "rule", (said & (F.col("rule") != "drop")).alias("is_code"))
+    return flagged(s, d).select("file_path", "lineno", "rule", "is_code")
 
 
-for _hard, _name in ((False, "combine_votes"), (True, "combine_votes_aggressive")):
+#: With a parser a candidate must parse, else the models decide; by rules alone every candidate is code.
+for _triage, _suffix in ((detect.confirmed, ""), (detect.triaged, "_rules")):
+    for _hard, _name in ((False, "combine_votes"), (True, "combine_votes_aggressive")):
 
-    @query(_name)
-    def _(s, d, hard=_hard):
-        # As in a scan, dropped comments get no model's vote.
-        open_ = F.col("rule") != "drop"
-        rows = voted(s, d)
-        said = detect.combined(F.col("by_rule"), open_ & F.col("by_char"), open_ & F.col("by_token"), hard)
-        return rows.where(said).select("file_path", "lineno", "content")
+        @query(_name + _suffix)
+        def _(s, d, triage=_triage, hard=_hard):
+            return flagged(s, d, triage, hard).where("is_code").select("file_path", "lineno", "content")
 
+    @query("findings_json" + _suffix)
+    def _(s, d, triage=_triage):
+        return detect.findings(triage(comments(s, d)).where(detect.is_rule_code(F.col("rule"))))
 
-@query("findings_json")
-def _(s, d):
-    return detect.findings(detect.triaged(comments(s, d)).where(detect.is_rule_code(F.col("rule"))))
+    @query("findings_flat" + _suffix)
+    def _(s, d, triage=_triage):
+        return detect.flat_findings(detect.findings(triage(comments(s, d)).where(detect.is_rule_code(F.col("rule")))))
 
 
-@query("findings_flat")
+@query("scan_findings")
 def _(s, d):
-    return detect.flat_findings(detect.findings(detect.triaged(comments(s, d)).where(detect.is_rule_code(F.col("rule")))))
+    """A whole scan: all that rules, parser or models call code, as one findings document a file."""
+    return detect.findings(flagged(s, d).where("is_code"))
 
 
 @query("era_stage")
@@ -388,6 +402,13 @@ def _(s, d):
     return _removed(s, d).select("doc_id", F.exists("parts", lambda p: p["gone"]).alias("changed"), F.size(F.filter("parts", lambda p: p["gone"])).cast("long").alias("removed"), F.md5(left).alias("text_md5"), diff.alias("diff"))
 
 
+@query("ast_sequences_files")
+def _(s, d):
+    """Of whole files that parse."""
+    rows = with_code(files(s, d)).select("doc_id", parsing.node_types(F.col("code")).alias("t"))
+    return rows.where("t.preorder is not null").select("doc_id", tx.joined(F.col("t.preorder")).alias("preorder"), tx.joined(F.col("t.breadth_first")).alias("breadth_first"))
+
+
 @query("ast_sequences")
 def _(s, d):
     """Of comments that parse."""
@@ -536,6 +557,12 @@ def _(s, d):
     return scored(s, d).where((F.col("label") == 0) & (F.col("score") > 0.6)).select("doc_id", "idx", "line", "score")
 
 
+@query("confirmed_comments")
+def _(s, d):
+    """Lines that the scanner and the model see alike."""
+    return scored(s, d).where(((F.col("label") == 1) & (F.col("score") > 0.6)) | ((F.col("label") == 0) & (F.col("score") <= 0.6))).select("doc_id", "idx", "line", "label", "score")
+
+
 @query("detector_compare")
 def _(s, d):
     """Two detectors' verdicts on the same comments, as an agreement matrix with totals."""
