@@ -132,7 +132,9 @@ def read_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     counters = np.zeros(COUNTERS, np.int64)
     for r in sums:
         counters[r.part * (COUNTERS // PARTS) : (r.part + 1) * (COUNTERS // PARTS)] = np.frombuffer(zlib.decompress(r.counts), np.int64)
-    return made.where("part is null").select("doc_id", "f", "n"), np.minimum(np.log2(counters + 1) * STEPS, 255).astype(np.uint8)
+    rows = made.where("part is null").select("doc_id", "f", "n")
+    rows.stash_path = made.stash_path
+    return rows, np.minimum(np.log2(counters + 1) * STEPS, 255).astype(np.uint8)
 
 
 NAMES = ["doc_id", "f", "n", "part", "salt", "counts"]
@@ -457,12 +459,16 @@ def components_of(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     alone = told.where("component is null and k > 1").select("f", F.col("least").alias("component_id"))
     linked = told.where("component is not null").select("f", "least", "component")
     linked = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("f", "component_id")
-    return rows.join(alone.unionByName(linked), "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.join(alone.unionByName(linked), "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out.reads = (rows, labels)
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs` whose id is their component's least, each id once; rows without id stay."""
-    judged = stash(components_of(docs, words, percent))
+    told = components_of(docs, words, percent)
+    judged = stash(told)
+    discard(*told.reads)
     gone = judged.where("doc_id <> component_id").select("doc_id").distinct()
     often = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)

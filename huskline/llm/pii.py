@@ -31,7 +31,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -144,13 +144,12 @@ def candidates(text: Column, base: Column) -> Column:
     return bind(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))), apart)
 
 
-def extract(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """row, doc_id, base and cand spans, and columns to keep (as a struct `kept`); written to the shared folder."""
+def extract(docs: DataFrame) -> DataFrame:
+    """row, doc_id, mark (hash of the text), base and cand spans, without the text; written to the shared folder."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = (F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept"),) if keep else ()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *own).withColumn("base", base_spans(F.col("text")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
     rows = rows.withColumn("cand", candidates(F.col("text"), F.col("base")))
-    return stash(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "cand", *(["kept"] if keep else [])))
+    return stash(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("mark"), "base", "cand"))
 
 
 def pattern_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -248,9 +247,17 @@ def _cut(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with personal data replaced by the name of its kind; other columns stay."""
-    rows = extract(docs, tuple(docs.columns))
-    every = with_spans(rows, trusted_patterns(docs, rows))
-    text = F.col("kept.text").cast("string")
-    changed = F.when(F.size("every") > 0, _cut(text, F.col("every"))).otherwise(text)
-    return every.select(*(changed.alias(c) if c == "text" else F.col(f"kept.`{c}`") for c in docs.columns))
+    """The rows of `docs` with personal data replaced by the name of its kind; other columns stay.
+
+    Spans depend on the text alone, so they meet the rows by id and text hash; those of at most `SENT` rows with as many spans, which are counted first, go to all tasks."""
+    rows = extract(docs)
+    spans = with_spans(rows, trusted_patterns(docs, rows)).where(F.size("every") > 0).dropDuplicates(["doc_id", "mark"])
+    spans = stash(spans.select(F.col("doc_id").alias("_husk_id"), F.col("mark").alias("_husk_mark"), F.col("every").alias("_husk_spans")))
+    discard(rows)
+    size = spans.agg(F.count("*").alias("rows"), F.sum(F.size("_husk_spans")).alias("spans")).first()
+    if max(size.rows, size.spans or 0) <= SENT:
+        spans = F.broadcast(spans)
+    text = F.col("text").cast("string")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_husk_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_husk_mark"))
+    changed = F.when(F.col("_husk_spans").isNotNull(), _cut(text, F.col("_husk_spans"))).otherwise(text)
+    return docs.join(spans, same, "left").select(*(changed.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
