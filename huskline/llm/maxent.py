@@ -68,7 +68,7 @@ class Model:
         mass = np.cumsum(counts[by] + ADD)
         self.klass = np.zeros(len(words), np.int64)
         self.klass[by] = np.minimum((mass - (counts[by] + ADD) / 2) / max(mass[-1] if len(mass) else 1, 1) * (CLASSES - 1), CLASSES - 2).astype(np.int64)
-        masses = np.bincount(self.klass, counts + ADD, CLASSES)
+        masses = np.bincount(self.klass, counts + ADD, CLASSES).astype(np.float64)
         masses[-1] = max(self.whole - masses.sum(), ADD)
         self.base = np.log10((counts + ADD) / self.whole)
         self.inner = np.log10((counts + ADD) / masses[self.klass])
