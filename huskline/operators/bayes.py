@@ -34,9 +34,19 @@ def model(counted: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(total)).select("token", "code", "doc", odds.alias("odds"))
 
 
+#: Shares that the rows of one token are dealt over, so that the commonest token is not one task's.
+SALTS = 16
+
+
+def on_token(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """`rows` (key columns, token) joined to `table` by token; a token's rows are dealt over `SALTS` shares by key."""
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(salted, ["token", "_salt"], how).drop("_salt")
+
+
 def score(lines: DataFrame, trained: DataFrame, key: list[str]) -> DataFrame:
     """key columns, score: probability of documentation, at equal prior; lines without a known token get 0.5."""
     # Equal tokens of a line are one row before the join.
-    used = line_tokens(lines, key).groupBy(*key, "token").agg(F.count("*").alias("times")).join(trained.select("token", "odds"), "token")
+    used = on_token(line_tokens(lines, key).groupBy(*key, "token").agg(F.count("*").alias("times")), trained.select("token", "odds"), key)
     summed = used.groupBy(*key).agg(F.sum(F.col("times") * F.col("odds")).alias("sum"))
     return lines.select(*key).join(summed, key, "left").select(*key, F.round(1 / (1 + F.exp(-F.greatest(F.least(F.coalesce("sum", F.lit(0.0)), F.lit(500.0)), F.lit(-500.0)))), 6).alias("score"))

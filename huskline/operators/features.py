@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CLS, KEYWORD_VOCABULARY, LAYOUTS, SEP, bind, lex, pad, preclean, split_names, token_ids
+from .bayes import on_token
 from .labels import file_context, label_files
 
 #: Least ids of a usable row, and widths of rows.
@@ -86,7 +87,7 @@ def ids_by_join(lines: DataFrame, vocabulary: DataFrame, key: list[str], layout:
     """As ids_of for a vocabulary table (rank, token) of any size: one row a key with `ids`.  Shuffles once by token and once by line, unless the vocabulary is small enough that Spark sends it out."""
     names = LAYOUTS[layout]
     tokens = lines.select(*key, F.posexplode(lex(F.col("line"))).alias("pos", "t")).select(*key, "pos", "t.kind", F.col("t.tok").alias("token"))
-    known = tokens.join(vocabulary.select("token", "rank"), "token", "left")
+    known = on_token(tokens, vocabulary.select("token", "rank"), key, "left")
     other = F.lit(names["ERROR"])
     for kind in ("NAME", "OP", "NUMBER", "STRING", "COMMENT"):
         other = F.when(F.col("kind") == kind, names[kind]).otherwise(other)
