@@ -39,7 +39,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: No SQL: a trained classifier and a tokenizer take part.  tests/llm holds each stage against brute force.
+#: No SQL: a trained classifier and a tokenizer take part.  tests/llm holds the operators of the stages against brute force, and runs the stages.
 ORACLE_SQL = None
 
 
