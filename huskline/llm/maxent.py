@@ -1,10 +1,12 @@
 """Operator 9: hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).  The first factor is a softmax over `CLASSES`
-whose scores are sums of weights of hashed history features: the word before (bigram), the word
-before that (skip) and both (trigram).  The second has the unigram feature only, for which the maximum
-entropy solution is the smoothed share of the class' counts.  Classes are bins of equal mass over the
-frequent words, by frequency, and one for all others, seen or not, so all words' probabilities add to 1.
+P(word | history) = P(class | history) * P(part | class, history) * P(word | class, part).  The first two
+factors are softmaxes over `CLASSES` classes and over the `PARTS` parts of a class, whose scores are sums of weights of
+hashed history features: the word before (bigram), the word before that (skip) and both (trigram); in
+the second factor each of them is joined with the class.  The third has the unigram feature only, for which the maximum
+entropy solution is the smoothed share of the part's counts.  Classes are bins of equal mass over the
+frequent words, by frequency, and one for all others, seen or not; parts are bins of equal mass in a class, so a
+frequent word has a part of its own.  All words' probabilities add to 1.
 
 Counts are over all training tokens: each task adds up hashes of words, Spark sums by hash.  Weights are
 trained by distributed gradient updates: each task makes gradient steps over its texts from common
@@ -32,6 +34,7 @@ from .words import hashes, mixed
 FOLDS = 10
 FREQUENT = 1 << 19
 CLASSES, SLOTS = 32, 1 << 14
+PARTS, PART_SLOTS = 32, 1 << 15
 #: Weights move between tasks in blocks of slots.
 BLOCK = 256
 ROUNDS, STEP, RATE = 1, 4096, 0.4
@@ -48,75 +51,115 @@ def token_parts(batch: pa.Array):
 
 
 def history(tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Slots of the history features of every token: three rows."""
+    """Hashes of the history features of every token: three rows."""
     first = np.cumsum(n) - n
     one = np.empty_like(tokens)
     one[1:], one[first] = tokens[:-1], START
     two = np.empty_like(tokens)
     two[1:], two[first] = one[:-1], START
-    return np.stack([x % np.uint64(SLOTS) for x in (mixed(one), mixed(two ^ START), mixed(one * np.uint64(3) + mixed(two)))]).astype(np.int64)
+    return np.stack([mixed(one), mixed(two ^ START), mixed(one * np.uint64(3) + mixed(two))])
 
 
-class Model:
-    """Counts of frequent words and their classes; weights of the class softmax."""
+def class_slots(features: np.ndarray) -> np.ndarray:
+    return (features % np.uint64(SLOTS)).astype(np.int64)
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, types: int):
-        order = np.argsort(words)
-        self.words, counts = words[order], counts[order].astype(np.float64)
-        self.total, self.whole = total, total + ADD * (types + 1)
-        by = np.argsort(-counts, kind="stable")
-        mass = np.cumsum(counts[by] + ADD)
-        self.klass = np.zeros(len(words), np.int64)
-        self.klass[by] = np.minimum((mass - (counts[by] + ADD) / 2) / max(mass[-1] if len(mass) else 1, 1) * (CLASSES - 1), CLASSES - 2).astype(np.int64)
-        masses = np.bincount(self.klass, counts + ADD, CLASSES).astype(np.float64)
-        masses[-1] = max(self.whole - masses.sum(), ADD)
-        self.base = np.log10((counts + ADD) / self.whole)
-        self.inner = np.log10((counts + ADD) / masses[self.klass])
-        self.rest = masses[-1]
-        self.bias = np.log(np.maximum(masses, 1e-9) / masses.sum()).astype(np.float32)
-        self.weights = np.zeros((SLOTS, CLASSES), np.float32)
 
-    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of tokens among the frequent words, and which are there."""
-        if not len(self.words):
-            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return at, self.words[at] == tokens
+def part_slots(features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return (mixed(features + (classes + 1).astype(np.uint64) * END) % np.uint64(PART_SLOTS)).astype(np.int64)
+
+
+def equal_bins(mass: np.ndarray, bins: int) -> np.ndarray:
+    """Bin of each word: `bins` of about equal mass, in the given order."""
+    middle = np.cumsum(mass) - mass / 2
+    return np.minimum(middle / max(mass.sum(), 1e-9) * bins, bins - 1).astype(np.int64)
 
-    def classes(self, tokens: np.ndarray) -> np.ndarray:
-        at, there = self.find(tokens)
-        return np.where(there, self.klass[at] if len(self.words) else 0, CLASSES - 1)
 
-    def logits(self, slots: np.ndarray) -> np.ndarray:
+class Factor:
+    """A softmax whose scores are a row of `bias` and the weights of three slots; outcomes without mass have no probability."""
+
+    def __init__(self, slots: int, masses: np.ndarray):
+        share = masses / np.maximum(masses.sum(1, keepdims=True), 1e-9)
+        self.bias = np.where(share > 0, np.log(np.where(share > 0, share, 1)), -1e9).astype(np.float32)
+        self.weights = np.zeros((slots, masses.shape[1]), np.float32)
+
+    def logits(self, slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
         w = self.weights
-        return w[slots[0]] + w[slots[1]] + w[slots[2]] + self.bias
+        return w[slots[0]] + w[slots[1]] + w[slots[2]] + self.bias[rows]
 
-    def learn(self, slots: np.ndarray, classes: np.ndarray, used: np.ndarray) -> None:
+    def learn(self, slots: np.ndarray, rows: np.ndarray, outcomes: np.ndarray, used: np.ndarray) -> None:
         """One gradient step; each slot moves by the mean gradient of its uses."""
-        p = self.logits(slots)
+        if not len(outcomes):
+            return
+        p = self.logits(slots, rows)
         p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
-        p[np.arange(len(classes)), classes] -= 1
+        p[np.arange(len(outcomes)), outcomes] -= 1
         flat = slots.ravel()
         order = np.argsort(flat, kind="stable")
         own = flat[order]
         starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         n = np.diff(np.append(starts, len(own)))
-        sums = np.add.reduceat(p[order % len(classes)], starts)
+        sums = np.add.reduceat(p[order % len(outcomes)], starts)
         touched = own[starts]
         # Later uses of a slot move it less; a slot used often in one step moves by more than one use would.
         pace = RATE * np.sqrt(n) / np.sqrt(1 + used[touched] / 8)
         self.weights[touched] -= (np.minimum(pace, n) / n)[:, None].astype(np.float32) * sums
         used[touched] += n
 
-    def log10_classes(self, slots: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        z = self.logits(slots)
-        top = z.max(1)
-        own = z[np.arange(len(classes)), classes]
+    def log10(self, slots: np.ndarray, rows: np.ndarray, outcomes: np.ndarray) -> np.ndarray:
+        z = self.logits(slots, rows)
+        top = z.max(1) if len(z) else z[:, 0]
+        own = z[np.arange(len(outcomes)), outcomes]
         return ((own - top).astype(np.float64) - np.log(np.exp(z - top[:, None]).sum(1, dtype=np.float64))) / np.log(10)
 
 
+class Model:
+    """Counts of frequent words, their classes and parts; the two softmaxes."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, types: int):
+        order = np.argsort(words)
+        self.words, mass = words[order], counts[order].astype(np.float64) + ADD
+        self.total, self.whole = total, total + ADD * (types + 1)
+        by = np.argsort(-mass, kind="stable")
+        self.klass, self.part = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        self.klass[by] = equal_bins(mass[by], CLASSES - 1)
+        for k in range(CLASSES - 1):
+            own = by[self.klass[by] == k]
+            self.part[own] = equal_bins(mass[own], PARTS)
+        masses = np.bincount(self.klass, mass, CLASSES).astype(np.float64)
+        masses[-1] = self.rest = max(self.whole - masses.sum(), ADD)
+        parts = np.bincount(self.klass * PARTS + self.part, mass, CLASSES * PARTS).astype(np.float64).reshape(CLASSES, PARTS)
+        self.base = np.log10(mass / self.whole)
+        self.inner = np.log10(mass / parts[self.klass, self.part])
+        self.factors = Factor(SLOTS, masses[None]), Factor(PART_SLOTS, parts)
+
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of tokens among the frequent words, and which are there."""
+        if not len(self.words):
+            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+        return at, self.words[at] == tokens
+
+    def outcomes(self, at: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and part of tokens found by `find`; all other words are the last class, which has no parts."""
+        if not len(self.words):
+            return np.full(len(at), CLASSES - 1), np.zeros(len(at), np.int64)
+        return np.where(there, self.klass[at], CLASSES - 1), self.part[at]
+
+    def learn(self, features: np.ndarray, classes: np.ndarray, parts: np.ndarray, used: list[np.ndarray]) -> None:
+        self.factors[0].learn(class_slots(features), np.zeros_like(classes), classes, used[0])
+        own = np.flatnonzero(classes < CLASSES - 1)
+        self.factors[1].learn(part_slots(features[:, own], classes[own]), classes[own], parts[own], used[1])
+
+    def log10_outcomes(self, features: np.ndarray, classes: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """log10 of P(class | history) * P(part | class, history)."""
+        out = self.factors[0].log10(class_slots(features), np.zeros_like(classes), classes)
+        own = np.flatnonzero(classes < CLASSES - 1)
+        out[own] += self.factors[1].log10(part_slots(features[:, own], classes[own]), classes[own], parts[own])
+        return out
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """h, n: how often each token, by hash, stands in `docs`."""
 
@@ -160,25 +203,27 @@ def train(docs: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 
         def steps(batches):
             m = known.value
-            m.weights, start, used = m.weights.copy(), m.weights, np.zeros(SLOTS)
+            starts, used = [f.weights for f in m.factors], [np.zeros(len(f.weights)) for f in m.factors]
+            for f in m.factors:
+                f.weights = f.weights.copy()
             for b in batches:
                 for _, tokens, n in token_parts(b.column(0)):
-                    slots, classes = history(tokens, n), m.classes(tokens)
+                    features, (classes, parts) = history(tokens, n), m.outcomes(*m.find(tokens))
                     for at in range(0, len(tokens), STEP):
-                        m.learn(slots[:, at : at + STEP], classes[at : at + STEP], used)
-            moved = (m.weights - start) * used[:, None].astype(np.float32)
-            m.weights = start
-            picked = [i for i in range(0, SLOTS, BLOCK) if used[i : i + BLOCK].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK for i in picked], pa.int32()), pa.array([moved[i : i + BLOCK].tobytes() for i in picked], pa.binary()), pa.array([used[i : i + BLOCK].tobytes() for i in picked], pa.binary())], names=["block", "moved", "used"])
-
-        def average(key, parts):
-            moved = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(parts["moved"].to_pylist())).reshape(BLOCK, -1)
-            used = sum(np.frombuffer(x) for x in sorted(parts["used"].to_pylist()))
-            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "change": pa.array([(moved / np.maximum(used, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())})
-
-        changes = docs.select("text").mapInArrow(steps, "block int, moved binary, used binary").groupBy("block").applyInArrow(average, "block int, change binary").collect()
+                        m.learn(features[:, at : at + STEP], classes[at : at + STEP], parts[at : at + STEP], used)
+            for k, f in enumerate(m.factors):
+                moved, f.weights = (f.weights - starts[k]) * used[k][:, None].astype(np.float32), starts[k]
+                picked = [i for i in range(0, len(moved), BLOCK) if used[k][i : i + BLOCK].any()]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(picked), pa.int32()), pa.array([i // BLOCK for i in picked], pa.int32()), pa.array([moved[i : i + BLOCK].tobytes() for i in picked], pa.binary()), pa.array([used[k][i : i + BLOCK].tobytes() for i in picked], pa.binary())], names=["factor", "block", "moved", "used"])
+
+        def average(key, rows):
+            moved = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in sorted(rows["moved"].to_pylist())).reshape(BLOCK, -1)
+            used = sum(np.frombuffer(x) for x in sorted(rows["used"].to_pylist()))
+            return pa.table({"factor": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "change": pa.array([(moved / np.maximum(used, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())})
+
+        changes = docs.select("text").mapInArrow(steps, "factor int, block int, moved binary, used binary").groupBy("factor", "block").applyInArrow(average, "factor int, block int, change binary").collect()
         for r in changes:
-            model.weights[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.change, np.float32).reshape(BLOCK, -1)
+            model.factors[r.factor].weights[r.block * BLOCK : (r.block + 1) * BLOCK] += np.frombuffer(r.change, np.float32).reshape(BLOCK, -1)
     return model
 
 
@@ -201,9 +246,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum(n)
                 row = np.repeat(np.arange(len(n)), n)
                 at, there = m.find(tokens)
-                classes = np.where(there, m.klass[at] if len(m.words) else 0, CLASSES - 1)
-                slots = history(tokens, n)
-                got = np.concatenate([m.log10_classes(slots[:, i : i + STEP], classes[i : i + STEP]) for i in range(0, len(tokens), STEP)])
+                features, (classes, parts) = history(tokens, n), m.outcomes(at, there)
+                got = np.concatenate([m.log10_outcomes(features[:, i : i + STEP], classes[i : i + STEP], parts[i : i + STEP]) for i in range(0, len(tokens), STEP)])
                 base = np.where(there, m.base[at] if len(m.words) else 0, 0.0)
                 got += np.where(there, m.inner[at] if len(m.words) else 0, 0.0)
                 rare, where = tokens[~there].view(np.int64), np.cumsum(np.bincount(row[~there], minlength=len(n)))

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -525,15 +526,53 @@ def test_probabilities_add_to_one():
     vocabulary = rng.integers(1, 1 << 62, 500).astype(np.uint64)
     counts = rng.integers(1, 90, 500)
     m = maxent.Model(vocabulary[:300], counts[:300], int(counts.sum()), 500)
-    m.weights[:] = rng.normal(size=m.weights.shape)
-    past = np.array([vocabulary[0], vocabulary[1]])
-    total = 0.0
-    for k in range(maxent.CLASSES):
-        slots = maxent.history(np.array([*past, vocabulary[2]]), np.array([3]))[:, 2:]
-        p = 10 ** m.log10_classes(slots, np.array([k]))[0]
-        inner = (10 ** m.inner[m.klass == k]).sum() if k < maxent.CLASSES - 1 else ((counts[300:] + 0.1).sum() + 0.1) / m.rest
-        total += p * inner
+    for f in m.factors:
+        f.weights[:] = rng.normal(size=f.weights.shape)
+    features = maxent.history(vocabulary[:3], np.array([3]))[:, 2:]
+    total = ((counts[300:] + 0.1).sum() + 0.1) / m.rest * 10 ** m.log10_outcomes(features, np.array([maxent.CLASSES - 1]), np.array([0]))[0]
+    for i in range(300):
+        total += 10 ** (m.log10_outcomes(features, m.klass[i : i + 1], m.part[i : i + 1])[0] + m.inner[i])
     assert total == pytest.approx(1, abs=1e-5)
+    empty = maxent.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0)
+    classes, parts = empty.outcomes(*empty.find(vocabulary[:3]))
+    assert np.allclose(empty.log10_outcomes(maxent.history(vocabulary[:3], np.array([3])), classes, parts), 0)
+
+
+def test_scores_equal_plain_sums(spark, monkeypatch):
+    """Every score against loops over tokens and outcomes with the trained weights."""
+    monkeypatch.setattr(maxent, "FREQUENT", 300)
+    kept, train = [], maxent.train
+    monkeypatch.setattr(maxent, "train", lambda *a: kept.append(train(*a)) or kept[0])
+    texts = [None, "", "rare once", "A b A b"] + [f"a b {prose(25, i)} a b" for i in range(40)]
+    docs = documents(spark, texts, first=100)
+    got = {r.doc_id: r.score for r in maxent.score_documents(docs).collect()}
+    m = kept[0]
+    assert all(f.weights.any() for f in m.factors)
+    coded = {i + 100: [int(h) for _, h, _ in maxent.token_parts(pa.array([t or ""])) for h in h] for i, t in enumerate(texts)}
+    counts = collections.Counter(h for i, t in coded.items() if zlib.crc32(str(i).encode()) % 10 for h in t)
+    place = {int(h): i for i, h in enumerate(m.words)}
+    assert 0 < len(place) < len(counts)
+
+    def chance(f, slots, row, outcome):
+        z = [float(f.bias[row, k]) + sum(float(f.weights[s, k]) for s in slots) for k in range(f.weights.shape[1])]
+        return math.exp(z[outcome] - max(z)) / sum(math.exp(x - max(z)) for x in z)
+
+    for i, tokens in coded.items():
+        total = 0.0
+        for at, h in enumerate(tokens):
+            past = [tokens[at - k] if at >= k else int(maxent.START) for k in (1, 2)]
+            one, two = (np.array([x], np.uint64) for x in past)
+            features = [words.mixed(one), words.mixed(two ^ maxent.START), words.mixed(one * np.uint64(3) + words.mixed(two))]
+            k = m.klass[place[h]] if h in place else maxent.CLASSES - 1
+            p = chance(m.factors[0], [int(x[0]) % maxent.SLOTS for x in features], 0, k)
+            if h in place:
+                joined = [int(words.mixed(x + np.uint64((int(maxent.END) * (int(k) + 1)) % 2**64))[0]) % maxent.PART_SLOTS for x in features]
+                own = [c for j, c in ((j, counts[int(m.words[j])]) for j in range(len(place))) if (m.klass[j], m.part[j]) == (k, m.part[place[h]])]
+                p *= chance(m.factors[1], joined, k, m.part[place[h]]) * (counts[h] + 0.1) / sum(c + 0.1 for c in own)
+            else:
+                p *= (counts[h] + 0.1) / m.rest
+            total += math.log10(p)
+        assert got[i] == pytest.approx(total, abs=1e-4)
 
 
 LISTED = "token long, n int, f long, place int, component long"
