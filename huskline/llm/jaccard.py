@@ -343,7 +343,10 @@ def likely(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     Of two sets, let a's first tokens end first in the common order.  Common tokens up to that place are
     first tokens of both, and beyond it a has n - p tokens only.  So similar sets share at least the
     needed number less n - p among first tokens; the larger n - p of both is safe."""
-    return matching(pairs.distinct(), firsts, lambda n, m, k, ks: np.maximum(needed(n, m, percent) - np.maximum(n - ks, m - k), 1))
+    pairs = stash(pairs.distinct())
+    out = matching(pairs, asked_for(firsts, pairs), lambda n, m, k, ks: np.maximum(needed(n, m, percent) - np.maximum(n - ks, m - k), 1))
+    discard(pairs)
+    return out
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -365,6 +368,21 @@ def may_hold(words: np.ndarray, f: np.ndarray) -> np.ndarray:
     return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
+def both_sides(pairs: DataFrame) -> DataFrame:
+    return pairs.select("f").unionByName(pairs.select(F.col("hub").alias("f")))
+
+
+def asked_for(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets without most of those that stand in no pair, so that these are not shuffled."""
+    known = sets.sparkSession.sparkContext.broadcast(filter_of(both_sides(pairs)))
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(may_hold(known.value, b.column(0).to_numpy())))
+
+    return sets.select("f", "n", "tokens").mapInArrow(run, "f long, n int, tokens array<long>")
+
+
 def read_again(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     """f, n and tokens (sorted, as bytes) of the classes in `wanted`, each once."""
     known = docs.sparkSession.sparkContext.broadcast(filter_of(wanted))
@@ -432,7 +450,7 @@ def crossing_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def found_links(docs: DataFrame, words: int, percent: int, pairs: DataFrame, firsts: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) among pairs and those known before, and the components that they make."""
     pairs = likely(pairs, firsts, percent)
-    wanted = pairs.select("f").unionByName(pairs.select(F.col("hub").alias("f"))).distinct()
+    wanted = both_sides(pairs).distinct()
     sets = read_again(docs, words, wanted)
     found = links(pairs, sets, percent)
     discard(pairs, sets)
