@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from . import chat, hosts, neardup
+from . import chat, hosts, manifest, neardup
 
 SQL: dict[str, str] = {}
 
@@ -65,3 +65,33 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc
 SQL["op10_neardup"] = f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS r FROM v),
 ln AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a, u b WHERE a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.r * b.r) >= {neardup.COSINE}), {_reach}
 SELECT vec_id, coalesce(k, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept FROM u LEFT JOIN (SELECT x, count(*) AS k FROM ln GROUP BY x) a ON a.x = vec_id LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) g ON g.x = vec_id"""
+
+# Merkle manifest: nodes level by level, then each leaf's steps to the root
+_fan = manifest.FANOUT
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', {c}) END" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+def _above(nodes: str, keys: str) -> str:
+    return f"SELECT {keys}lvl + 1, idx // {_fan}, (any_value(n) + {_fan - 1}) // {_fan}, sha256(string_agg(h, '' ORDER BY idx)) FROM {nodes} WHERE n > 1 GROUP BY {keys}lvl, idx // {_fan}"
+
+
+def _beside(nodes: str, keys: str, same: str) -> str:
+    side = "coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx {} a.idx), '')"
+    return f"SELECT {keys}a.lvl, a.idx, {side.format('<')} AS lt, {side.format('>')} AS rt FROM {nodes} a JOIN {nodes} b ON {same}a.lvl = b.lvl AND a.idx // {_fan} = b.idx // {_fan} WHERE a.n > 1 GROUP BY ALL"
+
+
+_crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)), lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295::BIGINT)"
+SQL["op13_manifest"] = f"""WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda a, i: xor(a >> 1, 3988292384::BIGINT * (a & 1)))) AS t),
+d AS (SELECT doc_id, lang, coalesce(concat('=', lang), '') AS tree, {_leaf("text")} AS leaf, CASE WHEN {_crc} % {manifest.TAMPERED} = 0 THEN {_leaf(_lower("text"))} ELSE {_leaf("text")} END AS start FROM documents, tb),
+l AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d),
+nd AS (SELECT tree, 0::BIGINT AS lvl, idx, n, leaf AS h FROM l UNION ALL {_above("nd", "tree, ")}),
+sub AS (SELECT tree, 0::BIGINT AS lvl, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, h FROM nd WHERE n = 1),
+rt AS (SELECT lvl, idx, n, h FROM sub UNION ALL {_above("rt", "")}),
+sb AS ({_beside("nd", "a.tree, ", "a.tree = b.tree AND ")}), rs AS ({_beside("rt", "", "")}),
+st AS (SELECT rid, 0 AS part, sb.lvl, lt, rt FROM l JOIN sb ON sb.tree = l.tree AND sb.idx = l.idx // CAST(pow({_fan}, sb.lvl) AS BIGINT) UNION ALL SELECT rid, 1, rs.lvl, lt, rt FROM l JOIN sub ON sub.tree = l.tree JOIN rs ON rs.idx = sub.idx // CAST(pow({_fan}, rs.lvl) AS BIGINT)),
+pf AS (SELECT rid, string_agg(concat(lt, rt), '' ORDER BY part, lvl) AS proof, list(concat(lt, ',', rt) ORDER BY part, lvl) AS steps FROM st GROUP BY rid),
+f AS (SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM rt WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, list_reduce(list_prepend(start, coalesce(steps, [])), lambda a, s: sha256(concat(split_part(s, ',', 1), a, split_part(s, ',', 2)))) AS folded_root FROM l JOIN sub ON sub.tree = l.tree LEFT JOIN pf USING (rid))
+SELECT *, folded_root = root AS verified FROM f"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, forest, hosts, jaccard, maxent, neardup, packing, pii, quality
+from . import bestfit, bpe, chat, forest, hosts, jaccard, manifest, maxent, neardup, packing, pii, quality, whitening
 from .common import table
 from .oracle import SQL
 
@@ -66,6 +66,18 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_hosts": op2_hosts,
@@ -77,4 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_forest": op8_forest,
     "op9_maxent": op9_maxent,
     "op10_neardup": op10_neardup,
+    "op11_whitening": op11_whitening,
+    "op12_bestfit": op12_bestfit,
+    "op13_manifest": op13_manifest,
 }

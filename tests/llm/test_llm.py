@@ -627,7 +627,7 @@ def test_jaccard_collects_no_fingerprints(spark, monkeypatch):
     assert jaccard.may_hold(words_, f).all() and jaccard.may_hold(words_, f + 1).mean() < 0.1
 
 
-@pytest.mark.parametrize("name", ["op2_hosts", "op3_chat", "op5_jaccard", "op10_neardup"])
+@pytest.mark.parametrize("name", ["op2_hosts", "op3_chat", "op5_jaccard", "op10_neardup", "op13_manifest"])
 def test_matches_sql(spark, name):
     import duckdb
     from conftest import TABLES
