@@ -39,7 +39,10 @@ CHUNK, ISLANDS, POPULATION, SPELLS, CROSSOVERS = 8192, 3, 4, 4, 12
 #: Share of a chunk's pieces that may go on to the next level, and fill up to which a bin may.
 LOOSE, LOOSE_FILL = 16, LENGTH * 63 // 64
 #: Texts tokenised at once, unseen words kept, and the longest of these.
-TEXTS, WORDS, WORD_CHARS = 64, 400_000, 48
+TEXTS, WORDS, WORD_CHARS = 64, 300_000, 48
+#: Signs that are a pre-token of their own behind a word.
+MARKS = frozenset(".,;:!?")
+CLOSED = np.array([CLOSING], "<u4").tobytes()
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
 
@@ -55,23 +58,57 @@ class Tokens:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.blank = regex.compile(f"[{WHITE}]+")
+        self.marks = {m: self.encoded([m])[m] for m in MARKS}
+        #: Ids of words as they stand in texts, and of plain words; each with those of an older half.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.older_plain: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         return list(filter(None, self.blank.split(text))) if any(c in text for c in NOT_WHITE) else text.split()
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, in one call: a token belongs to the word in which it starts."""
-        if not words:
-            return {}
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of any words, in one call: a token belongs to the word in which it starts."""
         found = self.library.encode(" ".join(words), add_special_tokens=False)
         starts = np.cumsum([0, *[len(w) + 1 for w in words]])
-        begun = np.array([o[0] for o in found.offsets], np.int64)
-        ends = np.searchsorted(begun, starts)
-        ids = np.array(found.ids, "<u4")
-        return {w: ids[a:b].tobytes() for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist())}
+        ends = np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts)
+        return self.cut(words, np.array(found.ids, "<u4"), ends.tolist())
+
+    def encoded_plain(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of the letters a-z: each is one pre-token, which one token ends."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return self.cut(words, ids, [0, *ends.tolist()]) if len(ends) == len(words) else self.encoded(words)
+
+    @staticmethod
+    def cut(words: list[str], ids: np.ndarray, ends: list[int]) -> dict[str, bytes]:
+        raw = ids.tobytes()
+        return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, ends, ends[1:])}
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of unseen words; a plain word is looked up without capitals and without a mark behind it."""
+        parts, others = {}, []
+        for w in words:
+            stem = w[:-1] if w[-1] in MARKS else w
+            if stem.isascii() and stem.isalpha():
+                parts[w] = (stem.lower(), w[len(stem) :])
+            else:
+                others.append(w)
+        plain, older = self.plain, self.older_plain
+        stems = {s for s, _ in parts.values()}.difference(plain)
+        plain.update((s, older[s]) for s in stems if s in older)
+        if new := list(stems.difference(older)):
+            plain.update(self.encoded_plain(new))
+        made = self.encoded(others) if others else {}
+        made.update((w, plain[s] + self.marks[m] if m else plain[s]) for w, (s, m) in parts.items())
+        if len(plain) > WORDS:
+            self.plain, self.older_plain = {}, {s: x for s, x in plain.items() if len(s) <= WORD_CHARS}
+        return made
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the closing one."""
@@ -79,18 +116,17 @@ class Tokens:
         if len(self.known) > WORDS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        unseen = []
-        for w in {w for ws in words if ws for w in ws if w not in known}:
-            if (old := older.get(w)) is None:
-                unseen.append(w)
-            else:
-                known[w] = old
-        made = self.learn(unseen)
+        unseen = set().union(*filter(None, words)).difference(known)
+        known.update((w, older[w]) for w in unseen if w in older)
+        made = self.learn(list(unseen.difference(older)))
         known.update(made)
         out = []
         for text, ws in zip(texts, words):
-            body = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4") if ws is None else np.frombuffer(b"".join(map(known.__getitem__, ws)), "<u4")
-            out.append(np.append(body, np.array([CLOSING], "<u4")))
+            if ws is None:
+                body = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                body = b"".join(map(known.__getitem__, ws))
+            out.append(np.frombuffer(body + CLOSED, "<u4"))
         for w in made:
             if len(w) > WORD_CHARS:
                 del known[w]
