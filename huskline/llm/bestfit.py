@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from functools import lru_cache
 
@@ -40,8 +41,8 @@ CHUNK, ISLANDS, POPULATION, SPELLS, CROSSOVERS = 8192, 3, 4, 4, 12
 LOOSE, LOOSE_FILL = 16, LENGTH * 63 // 64
 #: Texts tokenised at once, unseen words kept, and the longest of these.
 TEXTS, WORDS, WORD_CHARS = 64, 300_000, 48
-#: Signs that are a pre-token of their own behind a word.
-MARKS = frozenset(".,;:!?")
+#: Letters that stand alike in every normal form and have one small letter, and the signs behind them, which are a pre-token of their own.
+PARTS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)").fullmatch
 CLOSED = np.array([CLOSING], "<u4").tobytes()
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
@@ -62,11 +63,10 @@ class Tokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.blank = regex.compile(f"[{WHITE}]+")
-        self.marks = {m: self.encoded([m])[m] for m in MARKS}
         #: Ids of words as they stand in texts, and of plain words; each with those of an older half.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {"": b""}
         self.older_plain: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -80,7 +80,7 @@ class Tokens:
         return self.cut(words, np.array(found.ids, "<u4"), ends.tolist())
 
     def encoded_plain(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of the letters a-z: each is one pre-token, which one token ends."""
+        """Ids of words of small letters: each is one pre-token, which one token ends."""
         ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         return self.cut(words, ids, [0, *ends.tolist()]) if len(ends) == len(words) else self.encoded(words)
@@ -91,23 +91,19 @@ class Tokens:
         return {w: raw[4 * a : 4 * b] for w, a, b in zip(words, ends, ends[1:])}
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of unseen words; a plain word is looked up without capitals and without a mark behind it."""
-        parts, others = {}, []
-        for w in words:
-            stem = w[:-1] if w[-1] in MARKS else w
-            if stem.isascii() and stem.isalpha():
-                parts[w] = (stem.lower(), w[len(stem) :])
-            else:
-                others.append(w)
+        """Ids of unseen words; a plain word is looked up without capitals and apart from the signs behind it."""
+        parts = {w: m.groups() for w in words if (m := PARTS(w))}
+        others = [w for w in words if w not in parts]
         plain, older = self.plain, self.older_plain
-        stems = {s for s, _ in parts.values()}.difference(plain)
-        plain.update((s, older[s]) for s in stems if s in older)
-        if new := list(stems.difference(older)):
+        stems, tails = {s.lower() for s, _ in parts.values()}.difference(plain), {x for _, x in parts.values()}.difference(plain)
+        plain.update((s, older[s]) for s in (*stems, *tails) if s in older)
+        if new := [s for s in stems if s not in older]:
             plain.update(self.encoded_plain(new))
-        made = self.encoded(others) if others else {}
-        made.update((w, plain[s] + self.marks[m] if m else plain[s]) for w, (s, m) in parts.items())
+        made = self.encoded([*others, *(x for x in tails if x not in older)])
+        plain.update((x, made[x]) for x in tails if x in made)
+        made.update((w, plain[s.lower()] + plain[x]) for w, (s, x) in parts.items())
         if len(plain) > WORDS:
-            self.plain, self.older_plain = {}, {s: x for s, x in plain.items() if len(s) <= WORD_CHARS}
+            self.plain, self.older_plain = {"": b""}, {s: x for s, x in plain.items() if len(s) <= WORD_CHARS}
         return made
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -118,8 +114,9 @@ class Tokens:
         known, older = self.known, self.older
         unseen = set().union(*filter(None, words)).difference(known)
         known.update((w, older[w]) for w in unseen if w in older)
-        made = self.learn(list(unseen.difference(older)))
-        known.update(made)
+        new = [w for w in unseen if w not in older]
+        made = self.learn(new)
+        known.update((w, made[w]) for w in new)
         out = []
         for text, ws in zip(texts, words):
             if ws is None:
@@ -127,7 +124,7 @@ class Tokens:
             else:
                 body = b"".join(map(known.__getitem__, ws))
             out.append(np.frombuffer(body + CLOSED, "<u4"))
-        for w in made:
+        for w in new:
             if len(w) > WORD_CHARS:
                 del known[w]
         return out
