@@ -59,6 +59,9 @@ class Tokens:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        #: The same model without what plain words do not need: normal forms, small letters, and the search for pre-tokens.
+        self.bare = tokenizers.Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = tokenizers.pre_tokenizers.Sequence([tokenizers.pre_tokenizers.CharDelimiterSplit(" "), tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -81,7 +84,7 @@ class Tokens:
 
     def encoded_plain(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words of small letters: each is one pre-token, which one token ends."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         return self.cut(words, ids, [0, *ends.tolist()]) if len(ends) == len(words) else self.encoded(words)
 
