@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lex, preclean
 
 
+def token_array(line: Column) -> Column:
+    """What is counted of a line: names and operators by themselves, other tokens by kind."""
+    return F.transform(lex(preclean(line)), lambda t: F.when(t["kind"].isin("NAME", "OP"), t["tok"]).otherwise(F.concat(F.lit("<"), t["kind"], F.lit(">"))))
+
+
 def line_tokens(lines: DataFrame, key: list[str]) -> DataFrame:
-    """key columns, token: names, operators by themselves, other tokens by kind."""
-    t = F.explode(lex(preclean(F.col("line")))).alias("t")
-    return lines.select(*key, t).select(*key, F.when(F.col("t.kind").isin("NAME", "OP"), F.col("t.tok")).otherwise(F.concat(F.lit("<"), F.col("t.kind"), F.lit(">"))).alias("token"))
+    """key columns, token: one row a token."""
+    return lines.select(*key, F.explode(token_array(F.col("line"))).alias("token"))
 
 
 def counts(lines: DataFrame) -> DataFrame:
@@ -44,9 +49,61 @@ def on_token(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inne
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(salted, ["token", "_salt"], how).drop("_salt")
 
 
-def score(lines: DataFrame, trained: DataFrame, key: list[str]) -> DataFrame:
-    """key columns, score: probability of documentation, at equal prior; lines without a known token get 0.5."""
+def joined_score(lines: DataFrame, trained: DataFrame, key: list[str]) -> DataFrame:
+    """key columns, score, by a join on the tokens: for models of any size."""
     # Equal tokens of a line are one row before the join.
     used = on_token(line_tokens(lines, key).groupBy(*key, "token").agg(F.count("*").alias("times")), trained.select("token", "odds"), key)
     summed = used.groupBy(*key).agg(F.sum(F.col("times") * F.col("odds")).alias("sum"))
-    return lines.select(*key).join(summed, key, "left").select(*key, F.round(1 / (1 + F.exp(-F.greatest(F.least(F.coalesce("sum", F.lit(0.0)), F.lit(500.0)), F.lit(-500.0)))), 6).alias("score"))
+    return lines.select(*key).join(summed, key, "left").select(*key, probability(F.coalesce("sum", F.lit(0.0))).alias("score"))
+
+
+def probability(odds: Column) -> Column:
+    return F.round(1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0)))), 6)
+
+
+#: Tokens of a model up to which its weights go to every task, and the slots that they are hashed to.
+MOST_SENT, SLOTS = 200_000, 1 << 14
+
+
+def _slot(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
+
+
+def sent_weights(trained: DataFrame) -> DataFrame | None:
+    """The model as one row of one array, of the tokens and odds of each slot; None if it has too many tokens to be sent."""
+    spark = trained.sparkSession
+    known = trained.select(_slot(F.col("token")).alias("slot"), "token", "odds").limit(MOST_SENT + 1).toArrow()
+    if known.num_rows > MOST_SENT:
+        return None
+    slots: list[list[dict]] = [[] for _ in range(SLOTS)]
+    for row in known.to_pylist():
+        slots[row["slot"]].append({"token": row["token"], "odds": row["odds"]})
+    kind = pa.list_(pa.list_(pa.struct([("token", pa.string()), ("odds", pa.float64())])))
+    return spark.createDataFrame(pa.table({"slots": pa.array([slots], kind)}))
+
+
+def sum_of_odds(tokens: Column, slots: Column) -> Column:
+    """Odds of a token array, added within the row; a token is looked for in its slot only."""
+
+    def step(a: Column, token: Column) -> Column:
+        found = F.filter(F.get(a["slots"], _slot(token)), lambda e: e["token"] == token)
+        return F.struct((a["sum"] + F.coalesce(F.get(found, F.lit(0))["odds"], F.lit(0.0))).alias("sum"), a["slots"].alias("slots"))
+
+    return F.aggregate(tokens, F.struct(F.lit(0.0).alias("sum"), slots.alias("slots")), step, lambda a: a["sum"])
+
+
+def scored(lines: DataFrame, trained: DataFrame, key: list[str], text: str = "line") -> DataFrame:
+    """`lines` with score: probability of documentation of `text`, at equal prior; lines without a known token get 0.5.
+
+    No shuffle, as the weights go to the rows; a model of more than `MOST_SENT` tokens is joined instead, by key."""
+    weights = sent_weights(trained)
+    if weights is None:
+        return lines.join(joined_score(lines.withColumn("line", F.col(text)), trained, key), key)
+    # The optimiser puts both steps together again; a subquery may not be written within the sum.
+    rows = lines.withColumn("_slots", weights.scalar())
+    return rows.withColumn("score", probability(sum_of_odds(token_array(F.col(text)), F.col("_slots")))).drop("_slots")
+
+
+def score(lines: DataFrame, trained: DataFrame, key: list[str]) -> DataFrame:
+    """key columns, score of `line`."""
+    return scored(lines, trained, key).select(*key, "score")

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import comments as native
 from ..functions import rules
 from ..functions.parsing import comment_flags, compiles, each_compiles, parses
+from ..functions.text import bind
 
 
 def triaged(comments: DataFrame) -> DataFrame:
@@ -80,11 +82,16 @@ def era_verdict(lines: DataFrame, aggressive: bool = True, whitelist: tuple[str,
     return rows.withColumn("is_code", F.col("stage").isin(*rules.CODE_STAGES) | compiles(F.when(F.col("stage") == "needs_compile", text)))
 
 
-def marked_lines(files: DataFrame, aggressive: bool = True) -> DataFrame:
+def marked_lines(files: DataFrame, aggressive: bool = True, parser: bool = True) -> DataFrame:
     """The files with `marked`, one flag a line: is it a comment of code?
 
-    Comments are told by Python's own tokens, so what lies inside of strings is none; a comment is code by
-    the rules, or where only the parser can tell by compiling.  All of a file stays in one row: no shuffle."""
+    With a parser, comments are told by Python's own tokens, and a comment is code by the rules, or where only the parser can tell
+    by compiling.  Without, comments are told by the lexical automaton and judged by rules alone, and no Python runs.  What lies
+    inside of strings is no comment either way.  All of a file stays in one row: no shuffle."""
+    if not parser:
+        # Bound as one value, as an array that a lambda names from outside would be made again for each line.
+        code = lambda x, flag: flag & rules.stage(x, aggressive).isin(*rules.CODE_STAGES)
+        return files.withColumn("marked", bind(F.col("lines"), lambda lines: F.zip_with(lines, native.comment_flags(lines), code)))
     rows = files.withColumn("_comment", comment_flags(F.array_join("lines", "\n")))
     staged = rows.withColumn("_stage", F.transform("lines", lambda x, i: F.when(F.get("_comment", i), rules.stage(x, aggressive))))
     text = lambda x: rules.without_print(rules.bare_comment(x))
@@ -93,9 +100,42 @@ def marked_lines(files: DataFrame, aggressive: bool = True) -> DataFrame:
     return told.withColumn("marked", marked).drop("_comment", "_stage", "_fine")
 
 
-def removal(files: DataFrame, aggressive: bool = True) -> DataFrame:
+def removal(files: DataFrame, aggressive: bool = True, parser: bool = True) -> DataFrame:
     """The files with `parts`: array<struct<lineno, line, marked, gone>>; a marked line stays if the line before ends in a backslash."""
-    previous = lambda i: F.coalesce(F.get("lines", i - 1), F.lit(""))
-    gone = lambda i: F.get("marked", i) & ~F.rtrim(previous(i), F.lit(" \t\n\r\x0b\x0c")).endswith("\\")
-    parts = F.transform("lines", lambda x, i: F.struct((i + 1).alias("lineno"), x.alias("line"), F.get("marked", i).alias("marked"), gone(i).alias("gone")))
-    return marked_lines(files, aggressive).withColumn("parts", parts).drop("marked")
+
+    def told(x: Column, i: Column) -> Column:
+        gone = x["marked"] & ~F.rtrim(x["before"], F.lit(" \t\n\r\x0b\x0c")).endswith("\\")
+        return F.struct((i + 1).alias("lineno"), x["line"].alias("line"), x["marked"].alias("marked"), gone.alias("gone"))
+
+    before = F.concat(F.array(F.lit("")), F.col("lines"))
+    parts = F.transform(F.arrays_zip(F.col("lines").alias("line"), F.col("marked"), F.slice(before, 1, F.size("lines")).alias("before")), told)
+    return marked_lines(files, aggressive, parser).withColumn("parts", parts).drop("marked")
+
+
+#: Lines that a hunk of a diff shows before and behind its changes.
+AROUND = 3
+
+
+def unified_diff(parts: Column, name: Column, around: int = AROUND) -> Column:
+    """The unified diff of a file and what removal leaves of it, without a final line end; empty where nothing is gone.
+
+    Only deletions occur, so a hunk is a run of gone lines with at most twice `around` kept ones between neighbours, and the
+    lines around.  All by arrays of the file's own row."""
+
+    def whole(gone: Column) -> Column:
+        # Where in `gone` a hunk begins.
+        heads = F.filter(F.sequence(F.lit(0), F.greatest(F.size(gone), F.lit(1)) - 1), lambda i: (i == 0) | (F.get(gone, i) - F.get(gone, i - 1) > 2 * around + 1))
+        return bind(heads, lambda h: F.transform(h, lambda first, k: hunk(gone, first, F.coalesce(F.get(h, k + 1), F.size(gone)))))
+
+    def hunk(gone: Column, first: Column, behind: Column) -> Column:
+        start, end = F.greatest(F.get(gone, first) - around, F.lit(0)), F.least(F.get(gone, behind - 1) + around + 1, F.size(parts))
+        told = F.transform(F.slice(parts, start + 1, end - start), lambda p: F.concat(F.when(p["gone"], "-").otherwise(" "), p["line"]))
+        return F.concat(F.lit("@@ -"), span(start, end - start), F.lit(" +"), span(start - first, end - start - (behind - first)), F.lit(" @@\n"), F.array_join(told, "\n"))
+
+    def span(start: Column, length: Column) -> Column:
+        """As diffs write a range: its first line unless it is empty, and its length unless that is one."""
+        return F.when(length == 1, (start + 1).cast("string")).otherwise(F.concat(F.when(length == 0, start).otherwise(start + 1).cast("string"), F.lit(","), length.cast("string")))
+
+    gone = F.transform(F.filter(parts, lambda p: p["gone"]), lambda p: (p["lineno"] - 1).cast("int"))
+    head = F.concat(F.lit("--- before/"), name, F.lit("\n+++ after/"), name, F.lit("\n"))
+    return bind(gone, lambda g: F.when(F.size(g) == 0, "").otherwise(F.concat(head, F.array_join(whole(g), "\n"))))

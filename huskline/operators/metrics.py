@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import summed_before
+
 
 def confusion(truth: Column, said: Column) -> list[Column]:
     return [F.count_if(truth & said).alias("tp"), F.count_if(~truth & said).alias("fp"), F.count_if(truth & ~said).alias("fn"), F.count_if(~truth & ~said).alias("tn")]
@@ -47,6 +49,21 @@ def auc(curve: DataFrame) -> DataFrame:
     return steps.agg(F.round(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), 6).alias("auc"))
 
 
+def exact_curve(rows: DataFrame, truth: Column, score: Column) -> DataFrame:
+    """score, p and n (true and false rows of that score), before_p and before_n (those of higher scores), all_p, all_n: a ROC curve of all distinct scores, none cut.
+
+    Sums over ranges of scores, so no task holds the curve.  Rows whose score or truth is null, and scores that are not numbers, are left out."""
+    told = rows.select(score.cast("double").alias("score"), truth.alias("truth")).where("score IS NOT NULL AND NOT isnan(score) AND truth IS NOT NULL")
+    counts = told.groupBy("score").agg(F.count_if("truth").alias("p"), F.count_if(~F.col("truth")).alias("n"))
+    return summed_before(counts, {"_down": -F.col("score")}, "p", "n")
+
+
+def exact_auc(rows: DataFrame, truth: Column, score: Column) -> DataFrame:
+    """auc: the share of pairs of a true and a false row that the score orders rightly; ties count half."""
+    curve = exact_curve(rows, truth, score)
+    return curve.agg(F.round(F.try_divide(F.sum(F.col("n") * (F.col("before_p") + F.col("p") / 2)), F.max("all_p").cast("double") * F.max("all_n")), 6).alias("auc"))
+
+
 THRESHOLDS = (0.2, 0.4, 0.5, 0.6, 0.8)
 
 
@@ -62,3 +79,26 @@ def shares(rows: DataFrame, *by: str, within: str | None = None) -> DataFrame:
     whole = Window.partitionBy(within) if within else Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     counted = rows.groupBy(*by).agg(F.count("*").alias("n"))
     return counted.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(whole), 2))
+
+
+def paired(rows: DataFrame, truth: Column, **said: Column) -> DataFrame:
+    """Two detectors against the truth, from one pass: detector, its counts and rates, n_only_right (rows that it alone has right), n_both_right, and chi_squared of their disagreement (with continuity correction; null where they never disagree)."""
+    (one, first), (two, second) = said.items()
+    counted = rows.groupBy(truth.alias("t"), first.alias("a"), second.alias("b")).agg(F.count("*").alias("k"))
+    add = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
+    t, a, b = F.col("t"), F.col("a"), F.col("b")
+    alone = {"a": add((a == t) & (b != t)), "b": add((b == t) & (a != t))}
+    counts = [c.alias(f"{n}_{name}") for name, x in (("a", a), ("b", b)) for n, c in (("tp", add(t & x)), ("fp", add(~t & x)), ("fn", add(t & ~x)), ("tn", add(~t & ~x)), ("n_only_right", alone[name]))]
+    whole = counted.agg(*counts, add((a == t) & (b == t)).alias("n_both_right"))
+    gap = F.greatest(F.abs(F.col("n_only_right_a") - F.col("n_only_right_b")) - 1, F.lit(0))
+    told = whole.withColumn("chi_squared", F.round(F.try_divide(gap * gap, F.col("n_only_right_a") + F.col("n_only_right_b")), 6))
+    each = F.array(*[F.struct(F.lit(name).alias("detector"), *[F.col(f"{n}_{x}").alias(n) for n in ("tp", "fp", "fn", "tn", "n_only_right")]) for x, name in (("a", one), ("b", two))])
+    return rates(told.select(F.inline(each), "n_both_right", "chi_squared"))
+
+
+def percentiles(histogram: DataFrame, by: str, value: str, count: str, shares: tuple[float, ...]) -> DataFrame:
+    """by, share, value: the least value up to which that share of the rows lies, out of a histogram."""
+    upto = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    told = histogram.withColumn("_upto", F.sum(count).over(upto)).withColumn("_all", F.sum(count).over(Window.partitionBy(by)))
+    least = [F.min(F.when(F.col("_upto") >= F.ceil(F.col("_all") * s), F.col(value))).alias(f"_{i}") for i, s in enumerate(shares)]
+    return told.groupBy(by).agg(*least).select(by, F.inline(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.col(f"_{i}").alias(value)) for i, s in enumerate(shares)])))

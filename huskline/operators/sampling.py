@@ -21,10 +21,22 @@ def draw(rows: DataFrame, key: Column, n: int, seed: int = 42) -> DataFrame:
 
 
 def draws(rows: DataFrame, key: Column, n: int, times: int) -> DataFrame:
-    """`times` draws of n rows each, numbered by `draw`."""
-    copies = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    order = F.md5(F.concat(key.cast("string"), F.lit("-"), F.col("draw").cast("string")))
-    return copies.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy(order, key))).where(F.col("place") <= n).drop("place")
+    """`times` draws of n rows each, numbered by `draw`: the n least by hash.
+
+    Copies are made only of rows whose hash lies below a bound that a little more than n rows are expected to pass; should a draw
+    have fewer, the bound is doubled.  So no draw is sorted as a whole, and the rows are those of a full sort."""
+    total = rows.count()
+    order = lambda i: F.md5(F.concat(key.cast("string"), F.lit("-"), i.cast("string")))
+    share = (n + 6 * n**0.5 + 20) / max(1, total)
+    while True:
+        # Hashes are texts of hexadecimal digits, so their order is that of the numbers.
+        bound = F.lit(f"{min(int(share * 16**8), 16**8 - 1):08x}")
+        passed = F.filter(F.sequence(F.lit(1), F.lit(times)), lambda i: F.substring(order(i), 1, 8) <= bound)
+        copies = rows.withColumn("draw", F.explode(passed))
+        if share >= 1 or (held := [r["count"] for r in copies.groupBy("draw").count().collect()]) and len(held) == times and min(held) >= n:
+            break
+        share *= 2
+    return copies.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy(order(F.col("draw")), key))).where(F.col("place") <= n).drop("place")
 
 
 #: Parts of a label that rank their rows apart, so that no task holds a label.
@@ -61,3 +73,15 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("_all"), F.count("*").alias("_k"))
     return counts.join(F.broadcast(total)).select(label, "n", F.round(F.col("_all") / (F.col("_k") * F.col("n")), 6).alias("weight"))
+
+
+def interleaved(rows: DataFrame, key: Column, label: str = "label", seed: int = 42) -> DataFrame:
+    """Rows with `position`, from 0: labels take turns, and each label's rows come in seeded order, again and again, until the largest label is through.
+
+    So every run of as many rows as there are labels has one of each.  No task holds a label; the rows are at most the labels times the largest of them."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    one = Window.orderBy(label)  # a row a label
+    turns = counts.select(label, "_n", (F.row_number().over(one) - 1).alias("_turn"), F.max("_n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_most"), F.count("*").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_k"))
+    placed = ranked(rows, key, label, seed).join(F.broadcast(turns), label)
+    again = placed.withColumn("_round", F.explode(F.sequence(F.col("place") - 1, F.col("_most") - 1, F.col("_n"))))
+    return again.withColumn("position", F.col("_round") * F.col("_k") + F.col("_turn")).drop("place", "_n", "_turn", "_most", "_k", "_round")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import KEYWORDS, lex, preclean, split_names
+from .ranges import numbered
 
 MODES = ("split_keyword", "nosplit_keyword", "only_keyword", "split_simple", "name_op")
 
@@ -25,10 +26,11 @@ def tokens(lines: DataFrame, mode: str) -> DataFrame:
 def vocabulary(lines: DataFrame, mode: str, limit: int = -1) -> DataFrame:
     """rank (from 1), token, cnt; ties by token; limit -1 keeps all.
 
-    Ranks over all tokens take one task, as any total order does; a limit is a top-k before it."""
+    A limit is a top-k, and its few rows are ranked in one task; ranks over all tokens are taken within ranges and moved by the sizes of the ranges before."""
     counts = tokens(lines, mode).groupBy("token").agg(F.count("*").alias("cnt"))
-    if limit >= 0:
-        counts = counts.orderBy(F.desc("cnt"), "token").limit(limit)
+    if limit < 0:
+        return numbered(counts, {"_down": -F.col("cnt"), "_name": F.col("token")}).select(F.col("place").cast("int").alias("rank"), "token", "cnt")
+    counts = counts.orderBy(F.desc("cnt"), "token").limit(limit)
     return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "token"))).select("rank", "token", "cnt")
 
 

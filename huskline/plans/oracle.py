@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..functions import rules
 from ..functions import text as tx
+from ..functions.comments import BACKSLASH, INSIDE, LETTERS, MARKS
+from ..operators.charmodel import MOST_ROWS, RATE, SCALE, SLOTS, STEPS
 from ..operators.labels import IN_CODE
 from ..operators.metrics import THRESHOLDS
 from ..sources.code_view import SPLIT, TEMPLATE
@@ -236,11 +238,49 @@ def _score(rows: str, keys: str, line: str) -> str:
     )
 
 
+def _grams(line: str) -> str:
+    c = f"list_transform(list_filter(string_split({line}, ''), lambda y: length(y) > 0), lambda y: CAST(unicode(y) AS BIGINT))"
+    two, three = "list_transform(range(1, len(c)), lambda i: (c[i] * 131 + c[i + 1] * 31 + 2) % {s})", "list_transform(range(1, len(c) - 1), lambda i: (c[i] * 17161 + c[i + 1] * 131 + c[i + 2] * 31 + 3) % {s})"
+    return f"list_transform([{c}], lambda c: list_concat(list_concat(list_transform(c, lambda y: (y * 31 + 1) % {SLOTS}), {two.format(s=SLOTS)}), {three.format(s=SLOTS)}))[1]"
+
+
+def _char_model() -> str:
+    """cw: the weights after all steps."""
+    out = (
+        f", ct AS MATERIALIZED (SELECT key, CAST(label AS DOUBLE) AS y, {_grams(preclean('line'))} AS s FROM lab WHERE split = 'train' AND CAST(concat('0x', substring(md5(concat(key, '-42')), 1, 8)) AS BIGINT) % 10000 < floor(10000 * least(1.0, {MOST_ROWS} / (SELECT count(*) FROM lab WHERE split = 'train')))), "
+        f"cg AS MATERIALIZED (SELECT key, any_value(y) AS y, slot, count(*) * {SCALE} / any_value(n) AS x, count(*) AS k FROM (SELECT key, y, len(s) AS n, unnest(s) AS slot FROM ct) GROUP BY key, slot UNION ALL SELECT key, y, {SLOTS}, 1.0, 0 FROM ct WHERE len(s) > 0), "
+        f"cs AS (SELECT slot, sum(k * y) AS doc, sum(k * (1 - y)) AS code FROM cg WHERE slot < {SLOTS} GROUP BY slot), "
+        f"c0 AS MATERIALIZED (SELECT i AS slot, CASE WHEN i = {SLOTS} THEN 0.0 ELSE ln((coalesce(doc, 0) + 1) / ((SELECT sum(doc) FROM cs) + {SLOTS})) - ln((coalesce(code, 0) + 1) / ((SELECT sum(code) FROM cs) + {SLOTS})) END AS w FROM range({SLOTS} + 1) t(i) LEFT JOIN cs ON cs.slot = i)"
+    )
+    for k in range(STEPS):
+        out += (
+            f", e{k} AS (SELECT key, 1 / (1 + exp(-sum(x * w))) - any_value(y) AS e FROM cg JOIN c{k} USING (slot) GROUP BY key), "
+            f"c{k + 1} AS MATERIALIZED (SELECT c.slot, any_value(w) - {RATE} * coalesce(sum(e * x), 0) / (SELECT count(*) FROM e{k}) AS w FROM c{k} c LEFT JOIN (SELECT slot, x, e FROM cg JOIN e{k} USING (key)) d ON d.slot = c.slot GROUP BY c.slot)"
+        )
+    return out + f", cw AS (SELECT list(w ORDER BY slot) AS w FROM c{STEPS})"
+
+
+def _char_score(line: str) -> str:
+    z = f"list_transform([{_grams(preclean(line))}], lambda s: CASE WHEN len(s) > 0 THEN {SCALE} * list_sum(list_transform(s, lambda i: w[i + 1])) / len(s) ELSE 0 END + w[{SLOTS} + 1])[1]"
+    return f"round(1 / (1 + exp(-({z}))), 6)"
+
+
+SQL["char_weights"] = LABELLED + _char_model() + f" SELECT CAST(slot AS INT) AS slot, round(w, 6) AS weight FROM c{STEPS}"
+_char_held = LABELLED + _char_model() + f", cd AS (SELECT doc_id, idx, label, {_char_score('line')} AS score FROM lab, cw WHERE split <> 'train') "
+SQL["char_score"] = _char_held + "SELECT * FROM cd"
+
+
+def exact_auc(rows: str, truth: str) -> str:
+    """Of all pairs of a true and a false row, how many are in order; a tie counts half."""
+    return f"SELECT round(sum(n * (above + p / 2)) / nullif(max(all_p) * max(all_n), 0), 6) AS auc FROM (SELECT *, coalesce(sum(p) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(p) OVER () AS all_p, sum(n) OVER () AS all_n FROM (SELECT score, count(*) FILTER ({truth}) AS p, count(*) FILTER (NOT ({truth})) AS n FROM {rows} GROUP BY score))"
+
+
+SQL["char_auc"] = _char_held + exact_auc("cd", "label = 1")
 _held = LABELLED + _bayes("split = 'train'") + ", held AS (SELECT * FROM lab WHERE split <> 'train')" + _score("held", "doc_id, idx", "line")
 _adjacent = f"len(list_filter(range(1, len(t)), lambda i: t[i].kind = 'NAME' AND t[i + 1].kind = 'NAME' AND NOT list_contains({array(tx.KEYWORDS)}, t[i].tok) AND NOT list_contains({array(tx.KEYWORDS)}, t[i + 1].tok))) > 0"
 _voted = (
-    LABELLED + _tr + _bayes("split = 'train'") + _score("tr", "doc_id, lineno", "content")
-    + f", v0 AS (SELECT *, {lex('content')} AS t, length(regexp_replace(content, '[A-Za-z0-9\\s]', '', 'g')) AS marks FROM sc), v AS (SELECT *, len(t) >= 3 AND NOT ({_adjacent}) AND score <= 0.5 AS by_token, round(1 - least(1.0, 8 * marks / greatest(length(content), 1)), 6) <= 0.5 AS by_char, rule IN ('candidate', 'main_guard') AS by_rule FROM v0) "
+    LABELLED + _tr + _bayes("split = 'train'") + _score("tr", "doc_id, lineno", "content") + _char_model()
+    + f", v0 AS (SELECT sc.*, {lex('content')} AS t, {_char_score('content')} AS chars FROM sc, cw), v AS (SELECT *, len(t) >= 3 AND NOT ({_adjacent}) AND score <= 0.5 AS by_token, chars <= 0.5 AS by_char, rule IN ('candidate', 'main_guard') AS by_rule FROM v0) "
 )
 SQL["model_votes"] = _voted + "SELECT file_path, lineno, score, by_token, by_char FROM v"
 SQL["combine_votes_rules"] = _voted + "SELECT file_path, lineno, content FROM v WHERE by_rule OR (rule <> 'drop' AND by_char)"
@@ -280,6 +320,56 @@ SQL["era_multiline"] = VIEW + _bm + f"SELECT doc_id, lineno, {_multiline('b', Tr
 SQL["era_whitelist"] = VIEW + _bm + f"SELECT doc_id, lineno, regexp_matches(b, {q('(?i)' + '|'.join((*rules.WHITELIST, 'return')))}) AS extended, regexp_matches(b, '(?i)import') AS replaced FROM bm"
 _code = "('multiline', 'block', 'partial_dict')"
 
+# Comment tokens: what a line does from each state in which it can begin, then line by line
+_BLANK = "[ \\t\\x0c]"
+
+
+def _does(rest: str) -> str:
+    marks = f"regexp_extract_all({rest}, {q(MARKS)})"
+    state = "CASE " + " ".join(f"WHEN starts_with(z, {q(k)}) THEN CASE WHEN regexp_matches(z, {q(chr(94) + k + p + '$')}) THEN 'c' ELSE {q(LETTERS[k])} END" for k, p in INSIDE.items()) + " ELSE 'c' END"
+    told = f"list_transform([coalesce(m[-1], '')], lambda z: {{'depth': len(list_filter(m, lambda y: y IN ('(', '[', '{{'))) - len(list_filter(m, lambda y: y IN (')', ']', '}}'))), 'state': {state}, 'goes_on': starts_with(z, chr(92)), 'comment': starts_with(z, '#')}})[1]"
+    return f"list_transform([{marks}], lambda m: {told})[1]"
+
+
+def _in_string(quotes: str) -> str:
+    letter = q(LETTERS[quotes])
+    stays = letter if len(quotes) == 3 else f"CASE WHEN regexp_matches(line, {q(BACKSLASH)}) THEN {letter} ELSE 'c' END"
+    head = f"regexp_extract(line, {q(chr(94) + INSIDE[quotes])}, 0)"
+    return f"CASE WHEN length({head}) > 0 THEN {_does(f'substring(line, length({head}) + 1)')} ELSE {{'depth': 0, 'state': {stays}, 'goes_on': false, 'comment': false}} END"
+
+
+_indent = f"regexp_extract(line, '^{_BLANK}*', 0)"
+_tokens = (
+    f", ln AS MATERIALIZED (SELECT doc_id, file_path, lineno, line, {_does('line')} AS c, " + ", ".join(f"{_in_string(k)} AS {v}" for k, v in LETTERS.items())
+    + f", starts_with(ltrim(line, {chars(tx.BLANKS)}), '#') AS hash, NOT regexp_matches(line, '^{_BLANK}*(#|\r?$)') AS begins, "
+    + f"list_reduce(list_prepend(0, list_transform(list_filter(string_split({_indent}, ''), lambda y: y <> ''), lambda y: ascii(y))), lambda w, y: CASE y WHEN 9 THEN (w // 8 + 1) * 8 WHEN 32 THEN w + 1 ELSE 0 END) AS col FROM cl), "
+    + "at0 AS (SELECT doc_id, CAST(1 AS BIGINT) AS lineno, 'c' AS state, CAST(0 AS BIGINT) AS depth, false AS goes_on, [CAST(0 AS BIGINT)] AS indents, false AS over, false AS flag, '' AS prev FROM (SELECT DISTINCT doc_id FROM cl)), "
+    + "au AS (SELECT * FROM at0 UNION ALL SELECT doc_id, lineno + 1, e.state, depth + e.depth, e.goes_on, CASE WHEN NOT st THEN indents WHEN deeper THEN list_append(indents, col) ELSE list_filter(indents, lambda i: i <= col) END, "
+    + "over OR (st AND NOT deeper AND NOT list_contains(indents, col)), NOT (over OR (st AND NOT deeper AND NOT list_contains(indents, col))) AND hash AND (state = 'c' OR e.comment), line FROM "
+    + "(SELECT au.*, ln.line, hash, CAST(col AS BIGINT) AS col, CASE au.state WHEN 'c' THEN c WHEN 't' THEN t WHEN 'u' THEN u WHEN 's' THEN s ELSE d END AS e, au.state = 'c' AND au.depth = 0 AND NOT au.goes_on AND begins AS st, CAST(col AS BIGINT) > au.indents[-1] AS deeper FROM au JOIN ln ON ln.doc_id = au.doc_id AND ln.lineno = au.lineno)), "
+    + f"fg AS (SELECT doc_id, lineno - 1 AS lineno, prev AS line, flag, lag(prev, 1, '') OVER (PARTITION BY doc_id ORDER BY lineno) AS before FROM au WHERE lineno > 1), mk AS (SELECT *, flag AND {_stage(True)} IN {_code} AS marked FROM (SELECT *, {_bare('line')} AS b FROM fg)), "
+    + f"rm AS (SELECT *, marked AND NOT ends_with(rtrim(before, {chars(tx.BLANKS)}), chr(92)) AS gone FROM mk)"
+)
+SQL["era_line_numbers_rules"] = VIEW + _tokens + " SELECT doc_id, lineno FROM rm WHERE marked"
+SQL["era_filtered_rules"] = VIEW + _tokens + " SELECT doc_id, lineno, line FROM rm WHERE NOT gone"
+SQL["era_identified_rules"] = VIEW + _tokens + " SELECT doc_id, lineno, line FROM rm WHERE gone"
+
+
+def _span(start: str, length: str) -> str:
+    return f"CASE WHEN {length} = 1 THEN CAST({start} AS VARCHAR) ELSE concat(CASE WHEN {length} = 0 THEN {start} - 1 ELSE {start} END, ',', {length}) END"
+
+
+SQL["era_changes_rules"] = VIEW + _tokens + (
+    ", g AS (SELECT doc_id, lineno, row_number() OVER w - 1 AS nth, coalesce(lineno - lag(lineno) OVER w > 7, true) AS head FROM rm WHERE gone WINDOW w AS (PARTITION BY doc_id ORDER BY lineno)), "
+    "h AS (SELECT doc_id, lineno, nth, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY lineno) AS hunk FROM g), "
+    "sz AS (SELECT doc_id, max(lineno) AS n FROM rm GROUP BY doc_id), r AS (SELECT doc_id, hunk, greatest(min(lineno) - 3, 1) AS a, least(max(lineno) + 3, any_value(n)) AS b, min(nth) AS before, count(*) AS k FROM h JOIN sz USING (doc_id) GROUP BY ALL), "
+    "hk AS (SELECT r.doc_id, hunk, string_agg(concat(CASE WHEN gone THEN '-' ELSE ' ' END, line), chr(10) ORDER BY lineno) AS body, any_value(r.a) AS a, any_value(r.b - r.a + 1) AS len, any_value(r.a - r.before) AS a2, any_value(r.b - r.a + 1 - k) AS len2 FROM r JOIN rm ON rm.doc_id = r.doc_id AND lineno BETWEEN r.a AND r.b GROUP BY ALL), "
+    f"df AS (SELECT doc_id, string_agg(concat('@@ -', {_span('a', 'len')}, ' +', {_span('a2', 'len2')}, ' @@', chr(10), body), chr(10) ORDER BY hunk) AS diff FROM hk GROUP BY doc_id), "
+    "ft AS (SELECT doc_id, any_value(file_path) AS file_path FROM cl GROUP BY doc_id), "
+    "s AS (SELECT doc_id, bool_or(gone) AS changed, count(*) FILTER (gone) AS removed, md5(coalesce(string_agg(line, chr(10) ORDER BY lineno) FILTER (NOT gone), '')) AS text_md5 FROM rm GROUP BY doc_id) "
+    "SELECT s.*, CASE WHEN diff IS NULL THEN '' ELSE concat('--- before/', file_path, chr(10), '+++ after/', file_path, chr(10), diff) END AS diff FROM s JOIN ft USING (doc_id) LEFT JOIN df USING (doc_id)"
+)
+
 # Samples and training
 _bucket = "CAST(concat('0x', substring(md5(concat(CAST(doc_id AS VARCHAR), '-42')), 1, 8)) AS BIGINT) % 10000"
 SQL["sample_frac"] = f"SELECT doc_id FROM documents WHERE {_bucket} < 2000"
@@ -321,3 +411,19 @@ SQL["code_share_by_language"] = LABELLED + "SELECT lang, label, count(*) AS n, r
 SQL["confirmed_comments"] = _held + "SELECT doc_id, idx, line, label, score FROM sc WHERE (label = 1 AND score > 0.6) OR (label = 0 AND score <= 0.6)"
 SQL["suspect_comments"] = _held + "SELECT doc_id, idx, line, score FROM sc WHERE label = 0 AND score > 0.6"
 SQL["detector_compare"] = VIEW + f", dc AS (SELECT {_triage} IN ('candidate', 'main_guard') AS by_triage, {_stage(True)} IN {_code} AS by_era FROM (SELECT *, {_bare('line')} AS b FROM cm)) SELECT by_triage, by_era, count(*) AS n FROM dc GROUP BY CUBE (by_triage, by_era)"
+SQL["roc_exact"] = _vs.split(", bn AS")[0] + ", c AS (SELECT score, count(*) FILTER (truth) AS p, count(*) FILTER (NOT truth) AS n FROM vs GROUP BY score) SELECT score, round(sum(p) OVER w / sum(p) OVER (), 6) AS tpr, round(sum(n) OVER w / sum(n) OVER (), 6) AS fpr FROM c WINDOW w AS (ORDER BY score DESC)"
+SQL["auc_exact"] = _vs.split(", bn AS")[0] + " " + exact_auc("vs", "truth")
+SQL["token_length_percentiles"] = (
+    f"WITH h AS ({SQL['token_length_hist']}), u AS (SELECT *, sum(n) OVER (PARTITION BY part ORDER BY length) AS upto, sum(n) OVER (PARTITION BY part) AS total FROM h) "
+    "SELECT part, share, min(length) FILTER (upto >= ceil(total * share)) AS length FROM u, (SELECT unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE, 1.0::DOUBLE]) AS share) GROUP BY ALL"
+)
+SQL["interleave_classes"] = LABELLED + (
+    f", pl AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {md5_order('key')}, key) - 1 AS place, count(*) OVER (PARTITION BY label) AS n, dense_rank() OVER (ORDER BY label) - 1 AS turn FROM lab WHERE split = 'train'), "
+    "m AS (SELECT max(n) AS most, count(DISTINCT label) AS k FROM pl) SELECT r * k + turn AS position, doc_id, idx, label FROM (SELECT pl.*, k, unnest(range(place, most, n)) AS r FROM pl, m)"
+)
+_eight = "count(*) FILTER (t AND {x}) AS tp, count(*) FILTER (NOT t AND {x}) AS fp, count(*) FILTER (t AND NOT {x}) AS fn, count(*) FILTER (NOT t AND NOT {x}) AS tn, count(*) FILTER ({x} = t AND {y} <> t) AS n_only_right, count(*) FILTER (a = t AND b = t) AS n_both_right, round(pow(greatest(abs(count(*) FILTER (a = t AND b <> t) - count(*) FILTER (b = t AND a <> t)) - 1, 0), 2) / nullif(count(*) FILTER ((a = t) <> (b = t)), 0), 6) AS chi_squared"
+_bare_era = _bare(f"ltrim(line, {q(' #')})")
+_lines_triage = _triage.replace("content", "line")
+_dm = f", dm AS (SELECT label = 0 AS t, {_stage(True, False)} IN {_code} AS a, rule IN ('candidate', 'main_guard') OR (rule = 'undecided' AND score <= 0.5) AS b FROM (SELECT lab.label, line, {_bare_era} AS b, {_lines_triage} AS rule, {_char_score('line')} AS score FROM lab, cw WHERE split <> 'train')) "
+_rate = "round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1"
+SQL["detector_metrics"] = LABELLED + _char_model() + _dm + " UNION ALL ".join(f"SELECT *, {_rate} FROM (SELECT '{name}' AS detector, {_eight.format(x=x, y=y)} FROM dm)" for name, x, y in (("removal", "a", "b"), ("votes", "b", "a")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing, rules
 from ..functions import text as tx
-from ..operators import bayes, detect, features, labels, lines, metrics, sampling, vocab
+from ..operators import bayes, charmodel, detect, features, labels, lines, metrics, sampling, vocab
 from ..sources.code_view import code_files, code_lines, with_code
 from .oracle import SQL
 
@@ -226,6 +226,12 @@ def _(s, d):
     return rows.select(F.inline(parts)).groupBy("part", "length").agg(F.count("*").alias("n"))
 
 
+@query("token_length_percentiles")
+def _(s, d):
+    """How long the parts of a context are, by share of lines."""
+    return metrics.percentiles(QUERIES["token_length_hist"](s, d), "part", "length", "n", (0.5, 0.9, 0.95, 0.99, 1.0))
+
+
 def _vocab(name, mode, limit):
     @query(name)
     def _(s, d):
@@ -288,20 +294,42 @@ def scored(s, d) -> DataFrame:
     """Lines outside of training with the Bayes model's score."""
     rows = labelled(s, d)
     trained = bayes.model(bayes.counts(rows.where("split = 'train'")))
-    held = rows.where("split <> 'train'")
-    return held.join(bayes.score(held, trained, ["doc_id", "idx"]), ["doc_id", "idx"])
+    return bayes.scored(rows.where("split <> 'train'"), trained, ["doc_id", "idx"])
+
+
+def char_weights(s, d) -> list[float]:
+    """The character model of the training lines."""
+    return charmodel.train(labelled(s, d).where("split = 'train'"), F.col("key"))
+
+
+def char_scored(s, d) -> DataFrame:
+    """Lines outside of training with the character model's score."""
+    return labelled(s, d).where("split <> 'train'").withColumn("score", charmodel.score(F.col("line"), char_weights(s, d)))
+
+
+@query("char_weights")
+def _(s, d):
+    return s.createDataFrame(list(enumerate(char_weights(s, d))), "slot int, weight double").select("slot", F.round("weight", 6).alias("weight"))
+
+
+@query("char_score")
+def _(s, d):
+    return char_scored(s, d).select("doc_id", "idx", "label", "score")
+
+
+@query("char_auc")
+def _(s, d):
+    """How well the character model orders lines that it was not trained on."""
+    return metrics.exact_auc(char_scored(s, d), F.col("label") == 1, F.col("score"))
 
 
 def voted(s, d, triage: Callable[[DataFrame], DataFrame] = detect.confirmed) -> DataFrame:
-    """Comments with the rule's vote, and two models' votes: the Bayes model, and the share of marks among characters."""
-    rows = triage(comments(s, d))
+    """Comments with the rule's vote, and two models' votes: the Bayes model of tokens, and the character model.  Within the row, so nothing is shuffled."""
     trained = bayes.model(bayes.counts(labelled(s, d).where("split = 'train'")))
-    told = bayes.score(rows.withColumn("line", F.col("content")), trained, ["doc_id", "lineno"])
-    rows = rows.join(told, ["doc_id", "lineno"])
-    tokens = tx.lex(F.col("content"))
-    rows = detect.vote(rows, F.col("score"), "by_token", (F.size(tokens) >= features.LEAST) & ~tx.adjacent_names(tokens))
-    marks = F.length(F.regexp_replace("content", r"[A-Za-z0-9\s]", ""))
-    rows = detect.vote(rows, F.round(1 - F.least(F.lit(1.0), 8 * marks / F.greatest(F.length("content"), F.lit(1))), 6), "by_char")
+    rows = bayes.scored(triage(comments(s, d)), trained, ["doc_id", "lineno"], "content")
+    usable = tx.bind(tx.lex(F.col("content")), lambda tokens: (F.size(tokens) >= features.LEAST) & ~tx.adjacent_names(tokens))
+    rows = detect.vote(rows, F.col("score"), "by_token", usable)
+    rows = detect.vote(rows, charmodel.score(F.col("content"), char_weights(s, d)), "by_char")
     return rows.withColumn("by_rule", detect.is_rule_code(F.col("rule")))
 
 
@@ -384,22 +412,26 @@ def _(s, d):
     return detect.era_verdict(found.select("doc_id", "lineno", F.get("lines", F.col("lineno") - 1).alias("line"))).where("is_code").select("doc_id", "lineno")
 
 
-def _removed(s, d) -> DataFrame:
-    return detect.removal(files(s, d))
-
+@query("era_line_numbers_rules")
+def _(s, d):
+    """Numbers of comment lines that the rules call code, without a parser."""
+    rows = detect.marked_lines(files(s, d), parser=False).select("doc_id", F.posexplode_outer("marked").alias("pos", "marked"))
+    return rows.where("marked").select("doc_id", (F.col("pos") + 1).cast("long").alias("lineno"))
 
-for _gone, _name in ((False, "era_filtered"), (True, "era_identified")):
 
-    @query(_name)
-    def _(s, d, gone=_gone):
-        return _removed(s, d).select("doc_id", F.inline("parts")).where(F.col("gone") == gone).select("doc_id", F.col("lineno").cast("long").alias("lineno"), "line")
+#: With a parser, or by rules and the lexical automaton alone.
+for _parser, _suffix in ((True, ""), (False, "_rules")):
+    for _gone, _name in ((False, "era_filtered"), (True, "era_identified")):
 
+        @query(_name + _suffix)
+        def _(s, d, gone=_gone, parser=_parser):
+            return detect.removal(files(s, d), parser=parser).select("doc_id", F.inline_outer("parts")).where(F.col("gone") == gone).select("doc_id", F.col("lineno").cast("long").alias("lineno"), "line")
 
-@query("era_changes")
-def _(s, d):
-    left = F.array_join(F.transform(F.filter("parts", lambda p: ~p["gone"]), lambda p: p["line"]), "\n")
-    diff = F.array_join(F.transform(F.filter("parts", lambda p: p["gone"]), lambda p: F.concat(F.lit("-"), p["line"])), "\n")
-    return _removed(s, d).select("doc_id", F.exists("parts", lambda p: p["gone"]).alias("changed"), F.size(F.filter("parts", lambda p: p["gone"])).cast("long").alias("removed"), F.md5(left).alias("text_md5"), diff.alias("diff"))
+    @query("era_changes" + _suffix)
+    def _(s, d, parser=_parser):
+        left = F.array_join(F.transform(F.filter("parts", lambda p: ~p["gone"]), lambda p: p["line"]), "\n")
+        rows = detect.removal(files(s, d), parser=parser)
+        return rows.select("doc_id", F.exists("parts", lambda p: p["gone"]).alias("changed"), F.size(F.filter("parts", lambda p: p["gone"])).cast("long").alias("removed"), F.md5(left).alias("text_md5"), detect.unified_diff(F.col("parts"), F.col("file_path")).alias("diff"))
 
 
 @query("ast_sequences_files")
@@ -458,6 +490,12 @@ def _(s, d):
     return sampling.class_weights(labelled(s, d))
 
 
+@query("interleave_classes")
+def _(s, d):
+    """Training lines with labels taking turns."""
+    return sampling.interleaved(labelled(s, d).where("split = 'train'"), F.col("key")).select("position", "doc_id", "idx", "label")
+
+
 @query("stratified_split")
 def _(s, d):
     return sampling.stratified(labelled(s, d), F.col("key"), 0.33).select("doc_id", "idx", "label", "part")
@@ -531,6 +569,19 @@ def _(s, d):
     return metrics.auc(metrics.roc(vector_scores(s, d), F.col("truth"), F.col("score")))
 
 
+@query("roc_exact")
+def _(s, d):
+    """All distinct scores, none cut."""
+    curve = metrics.exact_curve(vector_scores(s, d), F.col("truth"), F.col("score"))
+    rate = lambda c: F.round((F.col(c) + F.col(f"before_{c}")) / F.col(f"all_{c}"), 6)
+    return curve.select("score", rate("p").alias("tpr"), rate("n").alias("fpr"))
+
+
+@query("auc_exact")
+def _(s, d):
+    return metrics.exact_auc(vector_scores(s, d), F.col("truth"), F.col("score"))
+
+
 @query("threshold_sweep")
 def _(s, d):
     return metrics.sweep(vector_scores(s, d), F.col("truth"), F.col("score"))
@@ -569,3 +620,11 @@ def _(s, d):
     rows = comments(s, d).select(detect.is_rule_code(rules.triage(F.col("content"))).alias("by_triage"), rules.stage(F.col("line")).isin(*rules.CODE_STAGES).alias("by_era"))
     return rows.cube("by_triage", "by_era").agg(F.count("*").alias("n"))
 
+
+@query("detector_metrics")
+def _(s, d):
+    """Removal's rules, and triage with the character model, against the labels of lines that the model was not trained on."""
+    rule = rules.triage(F.col("line"))
+    by_era = rules.stage(F.col("line"), need_hash=False).isin(*rules.CODE_STAGES)
+    by_votes = detect.is_rule_code(rule) | ((rule == "undecided") & (F.col("score") <= 0.5))
+    return metrics.paired(char_scored(s, d), F.col("label") == 0, removal=by_era, votes=by_votes)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tokenize
 
 import pyarrow as pa
 from pyarrow import fs
@@ -52,11 +54,44 @@ def decode_utf8(files: DataFrame) -> DataFrame:
     return files.select("file_path", F.try_validate_utf8(F.col("content").cast("string")).alias("code"))
 
 
+def decoded(content: bytes | None) -> tuple[str | None, str | None, str | None]:
+    """What the first two lines declare, the codec that is used, and the text.
+
+    A declaration or a mark at the start names the codec, UTF-8 stands where there is none; Latin-1 is taken where the name is unknown,
+    contradicts the mark, or does not decode the whole file, and it decodes anything.  Line ends stay as they are."""
+    if content is None:
+        return None, None, None
+    lines = iter(content[: content.find(b"\n", content.find(b"\n") + 1) + 1 or len(content)].splitlines(keepends=True))
+    declared = None
+    for line in content.split(b"\n", 2)[:2]:
+        if found := DECLARED.match(line):
+            declared = found[1].decode()
+            break
+        if not BLANK_LINE.match(line):
+            break
+    try:
+        codec = tokenize.detect_encoding(lambda: next(lines, b""))[0]
+        return declared, codec, content.decode(codec)
+    except (SyntaxError, LookupError, ValueError):
+        return declared, "latin-1", content.decode("latin-1")
+
+
+#: How a source file declares its encoding, and what may stand before it (fixed values).
+DECLARED = re.compile(rb"^[ \t\f]*#.*?coding[:=][ \t]*([-\w.]+)", re.ASCII)
+BLANK_LINE = re.compile(rb"^[ \t\f]*(?:[#\r\n]|$)", re.ASCII)
+
+
 def decode_declared(files: DataFrame) -> DataFrame:
-    """file_path, encoding, code: UTF-8 where valid, else Latin-1; encoding is what the first two lines declare, if anything."""
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    head = F.regexp_extract(text, r"\A([^\n]*\n?[^\n]*)", 1)
-    return files.select("file_path", F.nullif(F.regexp_extract(head, r"(?m)^[ \t\f]*#.*?coding[:=][ \t]*([-_.a-zA-Z0-9]+)", 1), F.lit("")).alias("encoding"), text.alias("code"))
+    """file_path, encoding (as declared, null if not), codec (as used), code: every file as text, by the codec that it declares.
+
+    The codec is chosen file by file, in the tasks that hold the files; null content gives null."""
+
+    def run(batches):
+        for b in batches:
+            told = [decoded(c) for c in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([t[i] for t in told], pa.string()) for i in range(3))], names=["file_path", "encoding", "codec", "code"])
+
+    return files.select("file_path", "content").mapInArrow(run, "file_path string, encoding string, codec string, code string")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
