@@ -40,7 +40,7 @@ CHUNK, ISLANDS, POPULATION, SPELLS, CROSSOVERS = 8192, 3, 4, 4, 12
 #: Share of a chunk's pieces that may go on to the next level, and fill up to which a bin may.
 LOOSE, LOOSE_FILL = 16, LENGTH * 63 // 64
 #: Texts tokenised at once, unseen words kept, and the longest of these.
-TEXTS, WORDS, WORD_CHARS = 64, 300_000, 48
+TEXTS, WORDS, WORD_CHARS = 256, 600_000, 48
 #: Letters that stand alike in every normal form and have one small letter, and the signs behind them, which are a pre-token of their own.
 PARTS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)").fullmatch
 CLOSED = np.array([CLOSING], "<u4").tobytes()
