@@ -40,6 +40,11 @@ MARKS = (
 )
 #: Capitals of Unicode 16 and 17 with their small letters, which Python does not know (fixed values); ranges run in step.
 SMALL = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70-10D85 16EA0-16EB8:16EBB-16ED3"
+#: Marks of a combining class that Unicode assigned after version 9, which the library does not put in order; and the second half of a letter that it does not put together (fixed values).
+UNORDERED = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E "
+    "11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 END = "</w>"
 
@@ -109,6 +114,8 @@ class Encoder:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.as_marks = {c: "☃" for c in _points(MARKS)}
         self.late = frozenset(map(chr, self.as_marks))
+        self.unordered = frozenset(map(chr, _points(UNORDERED)))
+        self.at_unordered = regex.compile(f"([{''.join(sorted(self.unordered))}])")
         self.blank = regex.compile(f"[{WHITE}]+")
         self.cache: Recent = Recent(self.entry)
 
@@ -207,12 +214,18 @@ class Encoder:
         letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
         return self.symbols(letters[:-1] + self.last(letters[-1]))
 
+    def composed(self, text: str) -> str:
+        """The text's normal form as the library has it: nothing moves or joins across a mark that it does not know as one."""
+        if self.unordered.isdisjoint(text):
+            return unicodedata.normalize("NFC", text)
+        return "".join([unicodedata.normalize("NFC", part) for part in self.at_unordered.split(text)])
+
     def chunk(self, text: str) -> list[int]:
         """Token ids of a text without white space."""
         if text.isascii():
             lower = text.lower()
         else:
-            text = unicodedata.normalize("NFC", text)
+            text = self.composed(text)
             lower = ("".join(map(str.lower, text)) if "Σ" in text else text.lower()).translate(LOWER)
         if lower.isalpha():
             return self.known[lower]
