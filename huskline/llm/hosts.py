@@ -3,7 +3,8 @@
 Labelled page outcomes are counted by host, registered domain and suffix.  The share of bad pages of a
 suffix is shrunk towards the overall share, a domain's towards its suffix', a host's towards its
 domain's, each through a beta prior whose strength is fitted to the spread between siblings (moments of
-the beta-binomial).  A host is blocked if the lower bound of its posterior exceeds `MAX_BAD`.
+the beta-binomial).  A host is blocked if the lower bound of its posterior exceeds the
+overall share of bad pages (times `MAX_BAD`): if it is credibly worse than the web at large, whatever that share is.
 
 All of it is DataFrame work.  Counts are summed before they are shuffled; the host table joins the pages
 by broadcast where it has at most `BROADCAST_HOSTS` rows (counted first), else over salted keys, so that a
@@ -11,7 +12,7 @@ host with a third of all pages is spread.
 
 Defined results: a url that is null or has no `://` has empty host and path, and the method judges it as
 the empty host; a host without labels has its domain's posterior, and with no labels at all every
-page is allowed; null labels do not count; repeated rows are judged each; extra columns are ignored.
+page is allowed; null labels do not count; repeated rows are judged each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Block where the posterior's lower bound is above this share of bad pages.
-MAX_BAD = 0.25
+#: Block where the posterior's lower bound is above so many times the share of bad pages among all that are labelled.
+MAX_BAD = 1.0
 #: Standard deviations between the posterior's mean and its lower bound.
 BOUND = 1.645
 BROADCAST_HOSTS = 100_000
@@ -93,7 +94,7 @@ def prior_strength(children: DataFrame, mean: float) -> float:
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, mean and lower bound of its share of bad pages; for every host of `pages` (page_id, url).
+    """host, mean and lower bound of its share of bad pages, and the overall share; for every host of `pages` (page_id, url).
 
     outcomes: page_id, bad (0 or 1), one row for a page at most."""
     joined = pages.select("page_id", host_of(F.col("url")).alias("host")).join(outcomes, "page_id", "left")
@@ -110,7 +111,7 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     s = suffixes.select("suffix", shrunk(F.lit(mean), F.lit(k_suffix)).alias("suffix_mean"))
     d = domains.join(s, "suffix").select("domain", shrunk(F.col("suffix_mean"), F.lit(k_domain)).alias("domain_mean"))
     h = hosts.join(d, "domain").select("host", shrunk(F.col("domain_mean"), F.lit(k_host)).alias("bad_share"), (F.col("n") + k_host + 1).alias("weight"))
-    return h.select("host", "bad_share", (F.col("bad_share") - BOUND * F.sqrt(F.col("bad_share") * (1 - F.col("bad_share")) / F.col("weight"))).alias("bad_share_low"))
+    return h.select("host", "bad_share", F.lit(mean).alias("overall"), (F.col("bad_share") - BOUND * F.sqrt(F.col("bad_share") * (1 - F.col("bad_share")) / F.col("weight"))).alias("bad_share_low"))
 
 
 def judge_pages(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -127,4 +128,4 @@ def judge_pages(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] =
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         judged = parts.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     ruled = judged.withColumn("ruled", matched_rule(F.col("host"), F.col("path"), rules))
-    return ruled.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.when(F.col("bad_share_low") > MAX_BAD, "block").otherwise("allow")).alias("verdict"), "bad_share", "bad_share_low")
+    return ruled.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", F.when(F.col("bad_share_low") > MAX_BAD * F.col("overall"), "block").otherwise("allow")).alias("verdict"), "bad_share", "bad_share_low")

@@ -39,8 +39,8 @@ d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 mu AS (SELECT (sum(bad) + 0.5) / (sum(n) + 10.0) AS mean FROM s), k AS (SELECT {_strength("s")} AS ks, {_strength("d")} AS kd, {_strength("h")} AS kh),
 s2 AS (SELECT suffix, (bad + mean * ks) / (n + ks) AS m FROM s, mu, k), d2 AS (SELECT domain, (bad + m * kd) / (n + kd) AS m FROM d JOIN s2 USING (suffix), k),
 r AS (SELECT host, (bad + m * kh) / (n + kh) AS share, n + kh + 1 AS w FROM h JOIN d2 USING (domain), k),
-j AS (SELECT page_id, u.host, path, {_rule.replace("host", "u.host")} AS rule, share, share - {hosts.BOUND} * sqrt(share * (1 - share) / w) AS low FROM u JOIN r ON r.host = u.host)
-SELECT page_id, host, path, rule, CASE {_verdicts} WHEN low > {hosts.MAX_BAD} THEN 'block' ELSE 'allow' END AS verdict, round(share, 6) AS bad_share, round(low, 6) AS bad_share_low FROM j"""
+j AS (SELECT page_id, u.host, path, {_rule.replace("host", "u.host")} AS rule, share, share - {hosts.BOUND} * sqrt(share * (1 - share) / w) AS low, mean FROM u JOIN r ON r.host = u.host, mu)
+SELECT page_id, host, path, rule, CASE {_verdicts} WHEN low > {hosts.MAX_BAD} * mean THEN 'block' ELSE 'allow' END AS verdict, round(share, 6) AS bad_share, round(low, 6) AS bad_share_low FROM j"""
 
 # Conversations
 _said = "</s>[INST] ok [/INST]"
