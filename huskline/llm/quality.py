@@ -33,6 +33,8 @@ from .common import column, prepare
 SAMPLE_ROWS = 12_000
 WORD_SLOTS, RANK, BUCKETS = 1 << 14, 8, 24
 EPOCHS, BATCH, RATE = 8, 128, 0.08
+#: Steps at least: a few labels are gone through more often.
+LEAST_STEPS = 400
 THRESHOLD = 0.3
 #: A document with this remainder of crc32(doc_id as text) mod FOLDS is held out.
 FOLDS = 5
@@ -128,7 +130,7 @@ def fit(parts: list[tuple[np.ndarray, int]], labels: np.ndarray) -> Machine:
         m.factors[:] = 0
         return m
     seen_linear, seen_factors = np.full(SLOTS, 0.1, np.float32), np.full((SLOTS, RANK), 0.1, np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(parts)))):
         order = rng.permutation(len(parts))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]

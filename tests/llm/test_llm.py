@@ -70,6 +70,19 @@ def test_bpe_every_code_point():
             assert not wrong, (len(wrong), wrong[:5], at)
 
 
+def test_bpe_sequences_of_marks():
+    """Every late mark in pairs and triples with others, and random strings of letters and marks."""
+    e, k = bpe.Encoder(WORD), tokenizers.Tokenizer.from_file(WORD)
+    r = random.Random(6)
+    late = sorted(e.unordered)
+    marks = [chr(p) for p in range(0x300, 0x20000) if unicodedata.combining(chr(p))]
+    texts = [form.format(a, b) for a in late for b in ("\u0316", "\u0301", "\u0334", r.choice(late)) for form in ("a{0}{1}", "a{1}{0}", "e{0}\u0316{1}", "o{1}{0}\u0323", "{0}{1}")]
+    texts += ["\U00011935\U00011930", "\U00011935\u0301\U00011930", "\U00011938"]
+    texts += ["".join(r.choice(late) if r.random() < 0.2 else r.choice(marks) if r.random() < 0.6 else r.choice("aeoAEOç가ᄀ ᅡnsΣ1.") for _ in range(r.randint(2, 9))) for _ in range(20_000)]
+    wrong = [t for t, got in zip(texts, k.encode_batch(texts, add_special_tokens=False)) if e.encode(t) != got.ids]
+    assert not wrong, (len(wrong), [list(map(hex, map(ord, w))) for w in wrong[:3]])
+
+
 def test_bpe_search_equals_merging():
     e = bpe.Encoder(WORD)
     k = tokenizers.Tokenizer.from_file(WORD)
@@ -199,6 +212,17 @@ def test_quality_learns_held_out(spark):
     assert flat.select("score").distinct().count() == 1
 
 
+def test_quality_learns_from_few(spark):
+    """Three labels in four are good; the poor ones are told apart, and some are rejected.  Repeated rows get equal scores."""
+    texts = [prose(60, i) if i % 4 else prose(60, i).upper() + " !!! $$$" for i in range(150)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(150)], "doc_id long, quality int")
+    rows = quality.score_documents(docs.unionByName(docs), labels).collect()
+    held = [r for r in rows if r.held_out]
+    assert np.mean([r.predicted == int(r.doc_id % 4 > 0) for r in held]) > 0.95 and any(r.predicted == 0 for r in held)
+    assert len({(r.doc_id, r.score) for r in rows}) == 150 and len(rows) == 300
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.3, rng.normal(size=quality.SLOTS).astype(np.float32), rng.normal(size=(quality.SLOTS, quality.RANK)).astype(np.float32))
@@ -243,6 +267,14 @@ def test_reputation(spark, monkeypatch, broadcast):
     assert hosts.judge_pages(df.limit(0), outcomes).count() == 0
 
 
+def test_reputation_is_relative(spark):
+    """Where two pages of five are bad everywhere nothing is blocked but what is worse; repeated rows are judged each."""
+    pages = [(i, f"http://h{i % 30}.d{i % 10}.com/") for i in range(3000)] + [(0, "http://h0.d0.com/")]
+    outcomes = spark.createDataFrame([(i, int((i // 30) % 5 < (4 if i % 30 == 7 else 2))) for i in range(3000)], "page_id long, bad int")
+    rows = hosts.judge_pages(spark.createDataFrame(pages, "page_id long, url string"), outcomes).collect()
+    assert len(rows) == 3001 and {r.host for r in rows if r.verdict == "block"} == {"h7.d7.com"}
+
+
 # 3
 
 TURN = "conv_id long, turn long, role string, text string, node string, score int"
