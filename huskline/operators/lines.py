@@ -24,6 +24,11 @@ def explode_lines(files: DataFrame) -> DataFrame:
     return rows.select(*keys, (F.col("pos") + 1).cast("long").alias("lineno"), "line", (F.length("line") > MOST_CHARS).alias("too_long"))
 
 
+def within_limit(lines: DataFrame) -> DataFrame:
+    """The lines that patterns may be run on: those that explode_lines has not marked as too long."""
+    return lines.where(~F.col("too_long"))
+
+
 def comments(lines: DataFrame) -> DataFrame:
     """Lines that are comments, with their content: spaces and hashes off the left, all blanks off the right."""
     content = strip_right(strip_left(F.col("line"), " #"), BLANKS)

@@ -8,6 +8,7 @@ import tokenize
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,25 +18,37 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
+def _by_spark(spark: SparkSession, path: str, ending: str, hidden: bool) -> DataFrame:
+    """By Spark's own file source, for stores that only Spark opens; it passes over names that begin with a dot or an underscore."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = path.rstrip("/")
+    shown = F.col("path").endswith(ending) & (F.lit(True) if hidden else ~F.expr(f"substring(path, {len(root) + 1})").contains("/."))
+    return files.where(shown).select(F.col("path").alias("file_path"), "content")
+
+
 def scan_tree(spark: SparkSession, path: str, ending: str = ".py", hidden: bool = True) -> DataFrame:
     """file_path, content (binary) of every file below `path`, which may be one file; hidden=False leaves out dot-files and what lies in dot-folders.
 
-    Spark's own file sources pass over names that begin with a dot or an underscore, `__init__.py` among them.  So
-    only the first level is listed here; tasks list what is below and read the files."""
-    store, root = _opened(path)
+    Spark's own file sources pass over names that begin with a dot or an underscore, `__init__.py` among them, so they serve
+    only where no other reader knows the store.  Folders are listed level by level: those of one level are dealt over all
+    tasks, each is listed by one, and their subfolders are the next level.  The driver sees no name but `path`."""
+    try:
+        store, root = _opened(path)
+    except (pa.ArrowException, OSError, ValueError, TypeError):
+        return _by_spark(spark, path, ending, hidden)
     info = store.get_file_info(root)
     scheme = path.partition("://")[0] + "://" if "://" in path else ""
+    top = len(root.rstrip("/"))
 
     def shown(full: str) -> bool:
-        return full.endswith(ending) and (hidden or not any(p.startswith(".") for p in full[len(root) :].split("/")))
+        return hidden or not any(p.startswith(".") for p in full.removeprefix(scheme)[top:].split("/"))
 
     def listed(batches):
         for b in batches:
-            out = []
-            for name, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own, below = _opened(name)
-                out += [scheme + i.path for i in own.get_file_info(fs.FileSelector(below, recursive=True)) if i.is_file] if folder else [name]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f in out if shown(f.removeprefix(scheme))], pa.string())], names=["file_path"])
+            for name in b.column(0).to_pylist():
+                own, place = _opened(name)
+                below = [i for i in own.get_file_info(fs.FileSelector(place)) if shown(i.path) and (not i.is_file or i.path.endswith(ending))]
+                yield pa.RecordBatch.from_arrays([pa.array([scheme + i.path for i in below], pa.string()), pa.array([not i.is_file for i in below], pa.bool_())], names=["name", "folder"])
 
     def read(batches):
         for b in batches:
@@ -44,9 +57,13 @@ def scan_tree(spark: SparkSession, path: str, ending: str = ".py", hidden: bool
                 with own.open_input_stream(place) as f:
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f.read()], pa.binary())], names=["file_path", "content"])
 
-    top = [info] if info.is_file else store.get_file_info(fs.FileSelector(root))
-    first = spark.createDataFrame([(scheme + i.path, not i.is_file) for i in top], "name string, folder boolean")
-    return first.repartition("name").mapInArrow(listed, "file_path string").dropDuplicates(["file_path"]).mapInArrow(read, "file_path string, content binary")
+    level = spark.createDataFrame([(scheme + info.path, not info.is_file)], "name string, folder boolean")
+    files = level.where("not folder") if shown(info.path) and info.path.endswith(ending) else level.limit(0)
+    while level.where("folder").limit(1).count():
+        below = level.where("folder").select("name").repartition("name").mapInArrow(listed, "name string, folder boolean")
+        level = below.persist(StorageLevel.DISK_ONLY)  # names only; listed again where they are lost
+        files = files.unionByName(level.where("not folder"))
+    return files.select("name").dropDuplicates(["name"]).mapInArrow(read, "file_path string, content binary")
 
 
 def decode_utf8(files: DataFrame) -> DataFrame:

@@ -8,6 +8,6 @@ from ..operators import detect, lines
 
 
 def scan_stream(spark: SparkSession, path: str) -> DataFrame:
-    """file_path, lineno, content, rule of comments in tables of files (file_path, code) that are added to `path`."""
+    """file_path, lineno, content, rule of comments in tables of files (file_path, code) that are added to `path`; lines that are too long are passed over, so that no file holds up a stream."""
     files = spark.readStream.schema("file_path string, code string").parquet(path)
-    return detect.triaged(lines.comments(lines.explode_lines(files))).select("file_path", "lineno", "content", "rule")
+    return detect.triaged(lines.comments(lines.within_limit(lines.explode_lines(files)))).select("file_path", "lineno", "content", "rule")

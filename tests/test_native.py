@@ -263,3 +263,43 @@ def test_declared_encodings(spark):
     for name in ("against", "wide", "unknown", "untrue", "bytes"):
         assert got[name][1:] == ("latin-1", cases[name].decode("latin-1")), name
     assert got["unknown"][0] == "no-such-codec" and got["empty"][2] == "" and got["none"] == (None, None, None)
+
+
+def test_trees_are_listed_level_by_level(spark, tmp_path):
+    deep = tmp_path / "only" / "one" / "way"
+    names = []
+    for i in range(12):
+        place = deep / f"d{i}" / ("_x" if i % 2 else ".y") / "z"
+        place.mkdir(parents=True)
+        for name in ("__init__.py", ".dot.py", f"m{i}.py", "note.txt"):
+            (place / name).write_text(f"# {i}")
+            names.append(str(place / name))
+    want = {n for n in names if n.endswith(".py")}
+    rows = trees.scan_tree(spark, str(tmp_path)).collect()
+    assert {r.file_path for r in rows} == want and len(rows) == len(want) and all(bytes(r.content).startswith(b"# ") for r in rows)
+    plain = {n for n in want if "/." not in n}
+    assert {r.file_path for r in trees.scan_tree(spark, str(tmp_path), hidden=False).collect()} == plain
+    assert {r.file_path for r in trees.scan_tree(spark, f"file://{tmp_path}").collect()} == {"file://" + n for n in want}
+    assert trees.scan_tree(spark, str(deep / "d0")).count() == 3 and trees.scan_tree(spark, str(deep / "d0"), hidden=False).count() == 0
+    (tmp_path / "empty").mkdir()
+    assert trees.scan_tree(spark, str(tmp_path / "empty")).count() == 0
+    one = str(deep / "d1" / "_x" / "z" / "m1.py")
+    assert [r.file_path for r in trees.scan_tree(spark, one).collect()] == [one] and trees.scan_tree(spark, one, ".txt").count() == 0
+
+
+def test_trees_that_only_spark_opens(spark, tmp_path):
+    """A store that no other reader knows: a mounted view of a folder."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "m.py").write_text("x = 1")
+    (tmp_path / "a" / "n.txt").write_text("no")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.trees.link./in", f"file://{tmp_path}")
+    rows = trees.scan_tree(spark, "viewfs://trees/in").collect()
+    assert [(r.file_path.rsplit("/", 1)[1], bytes(r.content)) for r in rows] == [("m.py", b"x = 1")]
+
+
+def test_lines_that_are_too_long_are_passed_over(spark):
+    from huskline.operators import lines
+
+    rows = lines.explode_lines(spark.createDataFrame([("f", "# a\n# " + "b" * lines.MOST_CHARS)], "file_path string, code string"))
+    assert rows.count() == 2 and [r.content for r in lines.comments(lines.within_limit(rows)).collect()] == ["a"]
