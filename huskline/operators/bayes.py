@@ -85,11 +85,9 @@ def sent_weights(trained: DataFrame) -> DataFrame | None:
 def sum_of_odds(tokens: Column, slots: Column) -> Column:
     """Odds of a token array, added within the row; a token is looked for in its slot only."""
 
-    def step(a: Column, token: Column) -> Column:
-        found = F.filter(F.get(a["slots"], _slot(token)), lambda e: e["token"] == token)
-        return F.struct((a["sum"] + F.coalesce(F.get(found, F.lit(0))["odds"], F.lit(0.0))).alias("sum"), a["slots"].alias("slots"))
-
-    return F.aggregate(tokens, F.struct(F.lit(0.0).alias("sum"), slots.alias("slots")), step, lambda a: a["sum"])
+    # The weights are named from outside: an accumulator would be copied with every token.
+    found = lambda token: F.get(F.filter(F.get(slots, _slot(token)), lambda e: e["token"] == token), F.lit(0))["odds"]
+    return F.aggregate(tokens, F.lit(0.0), lambda a, token: a + F.coalesce(found(token), F.lit(0.0)))
 
 
 def scored(lines: DataFrame, trained: DataFrame, key: list[str], text: str = "line") -> DataFrame:

@@ -1,22 +1,25 @@
 """A line classifier over hashed character n-grams: logistic regression by gradients that are summed over rows.
 
 A text is the share of each slot among its n-grams of one to three characters.  Weights begin as the log odds of the slots, which is naive
-Bayes, and are moved by a fixed number of steps along the whole gradient.  A step sums in the tasks before anything is
-shuffled, so it moves as many numbers as there are weights, whatever the rows.  Scores are made within the row.
+Bayes, and are moved by a fixed number of steps along the whole gradient.  A step is one pass over the rows in Arrow batches: each task gives
+one sum a slot, and these are added up, so a step moves as many numbers as there are weights, whatever the rows.  Scores are made within the row.
 
-Training takes at most about `MOST_ROWS` rows, chosen by the hash of their key; nothing else is bounded.
+Training takes at most about `MOST_ROWS` rows, chosen by the hash of their key; nothing else is bounded, and texts count whole.
 """
 
 from __future__ import annotations
 
 from math import log
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import bind, preclean
-from .bayes import probability
+from ..functions.text import preclean
 from .sampling import bucket
 
 #: Slots of n-grams; one more is the bias.  A prime, so that slots depend on all characters.
@@ -26,30 +29,21 @@ SCALE = 16.0
 MOST_ROWS, STEPS, RATE = 20_000, 6, 4.0
 
 
-def grams(text: Column) -> Column:
-    """array<int>: slots of all n-grams of one, two and three characters."""
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of all n-grams of one, two and three characters, and the text that each is of."""
+    texts = [t or "" for t in texts]
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    two, three = of[1:] == of[:-1], of[2:] == of[:-2]
+    slots = [c * 31 + 1, (c[:-1] * 131 + c[1:] * 31 + 2)[two], (c[:-2] * 17161 + c[1:-1] * 131 + c[2:] * 31 + 3)[three]]
+    return np.concatenate(slots) % SLOTS, np.concatenate([of, of[:-1][two], of[:-2][three]])
 
-    def of(c: Column) -> Column:
-        place = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(F.size(c), F.lit(1)) - 1), lambda i: i + n <= F.size(c))
-        at = lambda i, k: F.get(c, i + k)
-        ones = F.transform(c, lambda x: (x * 31 + 1) % SLOTS)
-        twos = F.transform(place(2), lambda i: (at(i, 0) * 131 + at(i, 1) * 31 + 2) % SLOTS)
-        threes = F.transform(place(3), lambda i: (at(i, 0) * 17161 + at(i, 1) * 131 + at(i, 2) * 31 + 3) % SLOTS)
-        return F.transform(F.concat(ones, twos, threes), lambda x: x.cast("int"))
 
-    codes = F.transform(F.filter(F.split(text, ""), lambda x: F.length(x) > 0), lambda x: F.ascii(x).cast("long"))
-    return bind(codes, of)
-
-
-def _listed(weights: list[float]) -> Column:
-    return F.expr(f"array({', '.join(f'{w!r}D' for w in weights)})")
-
-
-def odds(slots: Column, weights: list[float]) -> Column:
-    """Log odds of documentation of a text with these n-grams; the bias alone where there are none."""
-    listed = _listed(weights)
-    total = F.aggregate(slots, F.struct(F.lit(0.0).alias("sum"), listed.alias("w")), lambda a, i: F.struct((a["sum"] + F.get(a["w"], i)).alias("sum"), a["w"].alias("w")), lambda a: a["sum"])
-    return F.when(F.size(slots) > 0, SCALE * total / F.size(slots)).otherwise(0.0) + F.lit(weights[SLOTS])
+def odds(texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds of documentation of each text (the bias alone where it has no n-gram), its number of n-grams, and the n-grams."""
+    slots, of = grams(texts)
+    size = np.bincount(of, minlength=len(texts))
+    return SCALE * np.bincount(of, weights[slots], len(texts)) / np.maximum(size, 1) + weights[SLOTS], size, slots, of
 
 
 def sample(lines: DataFrame, key: Column, most: int = MOST_ROWS) -> DataFrame:
@@ -59,27 +53,60 @@ def sample(lines: DataFrame, key: Column, most: int = MOST_ROWS) -> DataFrame:
     return lines.where(bucket(key) < share)
 
 
+def _added(rows: DataFrame, of_batch, width: int) -> np.ndarray:
+    """The sum of what `of_batch` makes of (labels, texts), an array of `width` numbers, over all rows."""
+
+    def run(batches):
+        total = np.zeros(width)
+        for b in batches:
+            if len(b):
+                total += of_batch(b.column(0).to_numpy(), b.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total)], names=["slot", "x"])
+
+    summed = rows.mapInArrow(run, "slot int, x double").groupBy("slot").agg(F.sum("x").alias("x")).collect()  # a row a slot
+    out = np.zeros(width)
+    for r in summed:
+        out[r.slot] = r.x
+    return out
+
+
 def train(lines: DataFrame, key: Column, most: int = MOST_ROWS, steps: int = STEPS) -> list[float]:
-    """Weights of all slots, and the bias, from lines (line, label: 1 is documentation)."""
-    rows = sample(lines, key, most).select(F.col("label").cast("double").alias("label"), grams(preclean(F.col("line"))).alias("slots")).where(F.size("slots") > 0)
+    """Weights of all slots, and the bias, from lines (line, label: 1 is documentation); lines that are empty without blanks and quotes are left out."""
+    rows = sample(lines, key, most).select(F.col("label").cast("double").alias("label"), preclean(F.col("line")).alias("text")).where(F.length("text") > 0)
     rows = rows.persist(StorageLevel.DISK_ONLY)  # made again where it is lost
+
+    def counted(labels, texts):
+        slots, of = grams(texts)
+        said = labels[of]
+        return np.concatenate([np.bincount(slots, said, SLOTS), np.bincount(slots, 1 - said, SLOTS), [len(texts)]])
+
+    def gradient(weights):
+        def of_batch(labels, texts):
+            z, size, slots, of = odds(texts, weights)
+            error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
+            return np.append(np.bincount(slots, (error * SCALE / np.maximum(size, 1))[of], SLOTS), error.sum())
+
+        return of_batch
+
     try:
-        by_slot = rows.select("label", F.explode("slots").alias("slot")).groupBy("slot").agg(F.sum("label").alias("doc"), F.sum(1 - F.col("label")).alias("code")).collect()  # a row a slot
-        doc, code = sum(r.doc for r in by_slot), sum(r.code for r in by_slot)
-        counts = {r.slot: (r.doc, r.code) for r in by_slot}
-        begun = [log((counts.get(i, (0, 0))[0] + 1) / (doc + SLOTS)) - log((counts.get(i, (0, 0))[1] + 1) / (code + SLOTS)) for i in range(SLOTS)]
-        weights, n = [*begun, 0.0], rows.count()
+        told = _added(rows, counted, 2 * SLOTS + 1)
+        doc, code, n = told[:SLOTS], told[SLOTS:-1], told[-1]
+        all_doc, all_code = doc.sum(), code.sum()
+        weights = np.array([log((d + 1) / (all_doc + SLOTS)) - log((c + 1) / (all_code + SLOTS)) for d, c in zip(doc, code)] + [0.0])
         for _ in range(steps if n else 0):
-            error = 1 / (1 + F.exp(-odds(F.col("slots"), weights))) - F.col("label")
-            each = rows.select(error.alias("error"), "slots").select("error", F.size("slots").alias("n"), F.explode(F.concat("slots", F.array(F.lit(SLOTS)))).alias("slot"))
-            moved = each.groupBy("slot").agg(F.sum(F.when(F.col("slot") == SLOTS, F.col("error")).otherwise(F.col("error") * SCALE / F.col("n"))).alias("g")).collect()
-            for r in moved:
-                weights[r.slot] -= RATE * r.g / n
-        return weights
+            weights = weights - RATE * _added(rows, gradient(weights), SLOTS + 1) / n
+        return weights.tolist()
     finally:
         rows.unpersist()
 
 
 def score(text: Column, weights: list[float]) -> Column:
     """Probability of documentation."""
-    return probability(bind(grams(preclean(text)), lambda slots: odds(slots, weights)))
+    known = np.array(weights)
+
+    @F.pandas_udf(T.DoubleType())
+    def told(texts: pd.Series) -> pd.Series:
+        z = odds(texts.tolist(), known)[0]
+        return pd.Series(np.round(1 / (1 + np.exp(-np.clip(z, -500, 500))), 6))
+
+    return told(preclean(text))
