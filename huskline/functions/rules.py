@@ -37,12 +37,18 @@ def whitelisted(text: Column, patterns: tuple[str, ...] = WHITELIST) -> Column:
     return text.rlike("(?i)" + "|".join(patterns)) if patterns else F.lit(False)
 
 
+#: Shapes of lines that are a part of code that spans lines: always, and if judged aggressively (fixed values).
+PLAIN_SHAPES = (r"^\s*\w+\s*=.*[(\[{]\z", r"^[()\[\]{}\s]+\z")
+MORE_SHAPES = (r"[)\]}]:\z", r"def .+\)[\s]+->[\s]+[a-zA-Z_][a-zA-Z0-9_]*:\z", r"with .+ as [a-zA-Z_][a-zA-Z0-9_]*:\z", r"for [a-zA-Z_][a-zA-Z0-9_]* in .+:\z")
+CLOSINGS = ("),", "],", "},")
+
+
 def multiline_shape(text: Column, aggressive: bool = True) -> Column:
     """Is the text probably a part of code that spans lines?"""
-    plain = text.endswith("\\") | text.rlike(r"^\s*\w+\s*=.*[(\[{]\z") | text.rlike(r"^[()\[\]{}\s]+\z")
+    plain = reduce(or_, (text.rlike(p) for p in PLAIN_SHAPES), text.endswith("\\"))
     if not aggressive:
         return plain
-    more = text.rlike(r"[)\]}]:\z") | text.isin("),", "],", "},") | text.rlike(r"def .+\)[\s]+->[\s]+[a-zA-Z_][a-zA-Z0-9_]*:\z") | text.rlike(r"with .+ as [a-zA-Z_][a-zA-Z0-9_]*:\z") | text.rlike(r"for [a-zA-Z_][a-zA-Z0-9_]* in .+:\z")
+    more = reduce(or_, (text.rlike(p) for p in MORE_SHAPES), text.isin(*CLOSINGS))
     return more | plain
 
 

@@ -52,14 +52,15 @@ def combine_tables(first: DataFrame, second: DataFrame, key: list[str]) -> DataF
     return first.unionByName(second.join(first.select(*key).distinct(), key, "left_anti").select(first.columns))
 
 
-PROBLEM = "'8_2' AS name, '' AS severity, '8_2' AS inspection_name, '' AS attribute_key"
+#: What a finding says besides its place and content (fixed values).
+KIND, ADVICE = "8_2", "Do not use comment lines to make the code invalid."
 
 
 def findings(rows: DataFrame) -> DataFrame:
     """file_path, document: a file's findings (lineno, content) as one JSON text."""
     one = F.struct(
-        F.col("file_path"), F.col("lineno"), F.col("content"), F.lit(0).alias("offset"), F.lit(0).alias("length"), F.lit("").alias("module"), F.struct(F.lit("8_2").alias("name"), F.lit("").alias("severity"), F.lit("8_2").alias("inspection_name"), F.lit("").alias("attribute_key")).alias("problem_class"),
-        F.struct(F.lit("").alias("TYPE"), F.lit("").alias("FQNAME")).alias("entry_point"), F.lit("Do not use comment lines to make the code invalid.").alias("description"),
+        F.col("file_path"), F.col("lineno"), F.col("content"), F.lit(0).alias("offset"), F.lit(0).alias("length"), F.lit("").alias("module"), F.struct(F.lit(KIND).alias("name"), F.lit("").alias("severity"), F.lit(KIND).alias("inspection_name"), F.lit("").alias("attribute_key")).alias("problem_class"),
+        F.struct(F.lit("").alias("TYPE"), F.lit("").alias("FQNAME")).alias("entry_point"), F.lit(ADVICE).alias("description"),
     )
     grouped = rows.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("lineno", one.alias("one")))).alias("all"))
     return grouped.select("file_path", F.to_json(F.struct(F.col("all.one").alias("problems"))).alias("document"))

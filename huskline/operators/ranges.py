@@ -12,7 +12,7 @@ PARTS, SAMPLED = 64, 64
 def in_ranges(rows: DataFrame, key: dict[str, Column], parts: int = PARTS) -> DataFrame:
     """`rows` with the columns of `key`, by which they are sorted, and _part: the number of their range, in that order.
 
-    Bounds are taken from a sample by hash of about `parts` * `SAMPLED` rows; they only say where ranges are cut.  A row's range depends
+    Bounds are taken from a sample by hash of about `parts` * `SAMPLED` rows; they only say where ranges are cut.  Keys are not null.  A row's range depends
     on its key alone, so it is the same whenever a lost task is run again."""
     told = rows.withColumns(key)
     names = list(key)
