@@ -323,20 +323,22 @@ def _(s, d):
     return metrics.exact_auc(char_scored(s, d), F.col("label") == 1, F.col("score"))
 
 
-def voted(s, d, triage: Callable[[DataFrame], DataFrame] = detect.confirmed) -> DataFrame:
-    """Comments with the rule's vote, and two models' votes: the Bayes model of tokens, and the character model.  Within the row, so nothing is shuffled."""
-    trained = bayes.model(bayes.counts(labelled(s, d).where("split = 'train'")))
-    rows = bayes.scored(triage(comments(s, d)), trained, ["doc_id", "lineno"], "content")
-    usable = tx.bind(tx.lex(F.col("content")), lambda tokens: (F.size(tokens) >= features.LEAST) & ~tx.adjacent_names(tokens))
-    rows = detect.vote(rows, F.col("score"), "by_token", usable)
+def voted(s, d, triage: Callable[[DataFrame], DataFrame] = detect.confirmed, tokens: bool = True) -> DataFrame:
+    """Comments with the rule's vote, and two models' votes: the Bayes model of tokens (if asked for), and the character model.  Within the row, so nothing is shuffled."""
+    rows = triage(comments(s, d))
+    if tokens:
+        trained = bayes.model(bayes.counts(labelled(s, d).where("split = 'train'")))
+        rows = bayes.scored(rows, trained, ["doc_id", "lineno"], "content")
+        usable = tx.bind(tx.lex(F.col("content")), lambda tokens: (F.size(tokens) >= features.LEAST) & ~tx.adjacent_names(tokens))
+        rows = detect.vote(rows, F.col("score"), "by_token", usable)
     rows = detect.vote(rows, charmodel.score(F.col("content"), char_weights(s, d)), "by_char")
     return rows.withColumn("by_rule", detect.is_rule_code(F.col("rule")))
 
 
 def flagged(s, d, triage: Callable[[DataFrame], DataFrame] = detect.confirmed, hard: bool = True) -> DataFrame:
-    """Comments with `is_code`: does the rule or one of the models call it code?  Dropped comments get no model's vote."""
-    said = detect.combined(F.col("by_rule"), F.col("by_char"), F.col("by_token"), aggressive=hard)
-    return voted(s, d, triage).withColumn("is_code", said & (F.col("rule") != "drop"))
+    """Comments with `is_code`: does the rule or one of the models call it code?  Dropped comments get no model's vote; the token model is asked if `hard` only."""
+    said = detect.combined(F.col("by_rule"), F.col("by_char"), F.col("by_token") if hard else F.lit(False), aggressive=hard)
+    return voted(s, d, triage, tokens=hard).withColumn("is_code", said & (F.col("rule") != "drop"))
 
 
 @query("model_votes")
