@@ -90,11 +90,11 @@ def sum_of_odds(tokens: Column, slots: Column) -> Column:
     return F.aggregate(tokens, F.lit(0.0), lambda a, token: a + F.coalesce(found(token), F.lit(0.0)))
 
 
-def scored(lines: DataFrame, trained: DataFrame, key: list[str], text: str = "line") -> DataFrame:
+def scored(lines: DataFrame, trained: DataFrame, key: list[str], text: str = "line", weights: DataFrame | None = None) -> DataFrame:
     """`lines` with score: probability of documentation of `text`, at equal prior; lines without a known token get 0.5.
 
-    No shuffle, as the weights go to the rows; a model of more than `MOST_SENT` tokens is joined instead, by key."""
-    weights = sent_weights(trained)
+    No shuffle, as the weights (of `sent_weights`, made here if not given) go to the rows; a model of more than `MOST_SENT` tokens is joined instead, by key."""
+    weights = sent_weights(trained) if weights is None else weights
     if weights is None:
         return lines.join(joined_score(lines.withColumn("line", F.col(text)), trained, key), key)
     # The optimiser puts both steps together again; a subquery may not be written within the sum.

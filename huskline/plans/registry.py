@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -326,12 +327,14 @@ def _(s, d):
 def voted(s, d, triage: Callable[[DataFrame], DataFrame] = detect.confirmed, tokens: bool = True) -> DataFrame:
     """Comments with the rule's vote, and two models' votes: the Bayes model of tokens (if asked for), and the character model.  Within the row, so nothing is shuffled."""
     rows = triage(comments(s, d))
-    if tokens:
-        trained = bayes.model(bayes.counts(labelled(s, d).where("split = 'train'")))
-        rows = bayes.scored(rows, trained, ["doc_id", "lineno"], "content")
-        usable = tx.bind(tx.lex(F.col("content")), lambda tokens: (F.size(tokens) >= features.LEAST) & ~tx.adjacent_names(tokens))
-        rows = detect.vote(rows, F.col("score"), "by_token", usable)
-    rows = detect.vote(rows, charmodel.score(F.col("content"), char_weights(s, d)), "by_char")
+    trained = bayes.model(bayes.counts(labelled(s, d).where("split = 'train'")))
+    with ThreadPoolExecutor(2) as pool:  # both models are trained at once
+        chars, weights = pool.submit(char_weights, s, d), pool.submit(bayes.sent_weights, trained) if tokens else None
+        if tokens:
+            rows = bayes.scored(rows, trained, ["doc_id", "lineno"], "content", weights.result())
+            usable = tx.bind(tx.lex(F.col("content")), lambda tokens: (F.size(tokens) >= features.LEAST) & ~tx.adjacent_names(tokens))
+            rows = detect.vote(rows, F.col("score"), "by_token", usable)
+        rows = detect.vote(rows, charmodel.score(F.col("content"), chars.result()), "by_char")
     return rows.withColumn("by_rule", detect.is_rule_code(F.col("rule")))
 
 
