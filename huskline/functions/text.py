@@ -133,9 +133,10 @@ def pad(ids: Column, width: int, padding: str = "post", truncating: str = "pre")
 
 def adjacent_names(tokens: Column, keywords: list[str] = KEYWORDS) -> Column:
     """Do two names that are no keywords stand side by side?  Then the line reads like prose."""
-    listed = F.array(*map(F.lit, keywords))
-    names = F.transform(tokens, lambda t: (t["kind"] == "NAME") & ~F.array_contains(listed, t["tok"]))
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(names), F.lit(2)) - 1), lambda i: F.coalesce(F.get(names, i - 1) & F.get(names, i), F.lit(False)))
+    names = F.transform(tokens, lambda t: (t["kind"] == "NAME") & ~t["tok"].isin(*keywords))
+    # Bound, and beside itself moved by one: an array that a lambda names from outside would be made again for each token.
+    both = bind(names, lambda n: F.exists(F.zip_with(n, F.slice(n, 2, F.size(n)), lambda a, b: F.coalesce(a & b, F.lit(False))), lambda x: x))
+    return F.coalesce(both, F.lit(False))
 
 
 def joined(array: Column) -> Column:

@@ -25,6 +25,14 @@ def counts(lines: DataFrame) -> DataFrame:
     return line_tokens(lines, ["label"]).groupBy("token").agg(F.count_if(~is_doc).alias("code"), F.count_if(is_doc).alias("doc"))
 
 
+def kept(table: DataFrame) -> DataFrame:
+    """`table`, worked out once for all that reads it: written to the folder that executors share (spark.checkpoint.dir), or kept on a single machine; as it is where neither is the case."""
+    context = table.sparkSession.sparkContext
+    if context.getCheckpointDir():
+        return table.checkpoint()
+    return table.localCheckpoint() if context.master.partition("[")[0] == "local" else table
+
+
 def added(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
@@ -49,10 +57,23 @@ def on_token(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inne
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(salted, ["token", "_salt"], how).drop("_salt")
 
 
+#: Occurrences in training from which on a token of a model counts as common.  There are at most the trained tokens over this number of them.
+COMMON = 100_000
+
+
+def on_common(rows: DataFrame, trained: DataFrame, key: list[str]) -> DataFrame:
+    """As `on_token` with a model, but only common tokens are dealt over shares, so that a large model is not copied as often."""
+    often = F.col("code") + F.col("doc") >= COMMON
+    last = F.when(often, SALTS - 1).otherwise(0)
+    salted = trained.select("token", "odds", F.explode(F.sequence(F.lit(0), last)).alias("_salt"))
+    known = rows.join(F.broadcast(trained.where(often).select("token", F.lit(SALTS).alias("_shares"))), "token", "left")
+    return known.withColumn("_salt", F.pmod(F.xxhash64(*key), F.coalesce("_shares", F.lit(1))).cast("int")).join(salted, ["token", "_salt"]).drop("_salt", "_shares")
+
+
 def joined_score(lines: DataFrame, trained: DataFrame, key: list[str]) -> DataFrame:
     """key columns, score, by a join on the tokens: for models of any size."""
     # Equal tokens of a line are one row before the join.
-    used = on_token(line_tokens(lines, key).groupBy(*key, "token").agg(F.count("*").alias("times")), trained.select("token", "odds"), key)
+    used = on_common(line_tokens(lines, key).groupBy(*key, "token").agg(F.count("*").alias("times")), trained, key)
     summed = used.groupBy(*key).agg(F.sum(F.col("times") * F.col("odds")).alias("sum"))
     return lines.select(*key).join(summed, key, "left").select(*key, probability(F.coalesce("sum", F.lit(0.0))).alias("score"))
 
@@ -90,11 +111,11 @@ def sum_of_odds(tokens: Column, slots: Column) -> Column:
     return F.aggregate(tokens, F.lit(0.0), lambda a, token: a + F.coalesce(found(token), F.lit(0.0)))
 
 
-def scored(lines: DataFrame, trained: DataFrame, key: list[str], text: str = "line", weights: DataFrame | None = None) -> DataFrame:
+def scored(lines: DataFrame, trained: DataFrame, key: list[str], text: str = "line") -> DataFrame:
     """`lines` with score: probability of documentation of `text`, at equal prior; lines without a known token get 0.5.
 
-    No shuffle, as the weights (of `sent_weights`, made here if not given) go to the rows; a model of more than `MOST_SENT` tokens is joined instead, by key."""
-    weights = sent_weights(trained) if weights is None else weights
+    No shuffle, as the weights (of `sent_weights`) go to the rows; a model of more than `MOST_SENT` tokens is joined instead, by key."""
+    weights = sent_weights(trained)
     if weights is None:
         return lines.join(joined_score(lines.withColumn("line", F.col(text)), trained, key), key)
     # The optimiser puts both steps together again; a subquery may not be written within the sum.

@@ -1,6 +1,9 @@
 """Single operators on small literal rows."""
 
 import ast
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +249,31 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.rule for r in spark.sql("SELECT rule FROM scanned").collect()) == ["candidate", "undecided"]
+
+
+def test_adjacent_names_of_long_lines(spark):
+    """Work grows with the tokens of a line, not with their square."""
+    r = random.Random(5)
+    lines = [" ".join(r.choice(["one", "two", "for", "in", "(", "1", "'s t'", "="]) for _ in range(r.randint(0, 6))) for _ in range(200)]
+    apart = " = ".join(["name"] * 10_000)
+
+    def by_python(line):
+        t = re.findall(r"'s t'|\S+", line)
+        return any(a in ("one", "two", "name") and b in ("one", "two", "name") for a, b in zip(t, t[1:]))
+
+    start = time.time()
+    got = values(spark, [(x,) for x in [*lines, apart, apart + " name"]], "line string", tx.adjacent_names(tx.lex(F.col("line"))))
+    assert got == [*map(by_python, lines), False, True]
+    assert time.time() - start < 60
+
+
+def test_models_are_counted_once_and_common_tokens_dealt_out(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"x{i % 7} = y{i % 3}", i % 2) for i in range(60)], "key int, line string, label int")
+    counted = bayes.kept(bayes.counts(rows))
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+    trained = bayes.model(counted)
+    told = {r.key: r.score for r in bayes.score(rows, trained, ["key"]).collect()}
+    monkeypatch.setattr(bayes, "MOST_SENT", 0)
+    for common in (1, 30, 1000):
+        monkeypatch.setattr(bayes, "COMMON", common)
+        assert {r.key: r.score for r in bayes.score(rows, trained, ["key"]).collect()} == told
