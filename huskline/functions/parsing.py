@@ -66,8 +66,11 @@ def _breadth_first(tree: ast.AST) -> list[str]:
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("preorder", "breadth_first")]))
 def node_types(text: pd.Series) -> pd.DataFrame:
-    trees = text.map(_tree)
-    return pd.DataFrame({"preorder": trees.map(lambda t: _preorder(t) if t else None), "breadth_first": trees.map(lambda t: _breadth_first(t) if t else None)})
+    def one(t: str | None) -> tuple[list[str] | None, list[str] | None]:
+        tree = _tree(t)  # one tree at a time, as trees are far larger than their texts
+        return (_preorder(tree), _breadth_first(tree)) if tree else (None, None)
+
+    return pd.DataFrame([one(t) for t in text], columns=["preorder", "breadth_first"], dtype=object)
 
 
 def _comment_rows(text: str | None) -> list[int]:

@@ -9,6 +9,7 @@ Training takes at most about `MOST_ROWS` rows, chosen by the hash of their key;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import log
 
 import numpy as np
@@ -46,6 +47,23 @@ def odds(texts: list[str | None], weights: np.ndarray) -> tuple[np.ndarray, np.n
     return SCALE * np.bincount(of, weights[slots], len(texts)) / np.maximum(size, 1) + weights[SLOTS], size, slots, of
 
 
+#: Characters whose n-grams are held at once; a longer text is held alone.
+MOST_CHARS = 1 << 18
+
+
+def pieces(texts: list[str | None]) -> Iterator[slice]:
+    """Runs of texts of at most `MOST_CHARS` characters, in order."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and held + n > MOST_CHARS:
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def sample(lines: DataFrame, key: Column, most: int = MOST_ROWS) -> DataFrame:
     """About `most` of the rows, by the hash of `key`; all if they are fewer."""
     total = lines.count()
@@ -60,7 +78,9 @@ def _added(rows: DataFrame, of_batch, width: int) -> np.ndarray:
         total = np.zeros(width)
         for b in batches:
             if len(b):
-                total += of_batch(b.column(0).to_numpy(), b.column(1).to_pylist())
+                labels, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+                for part in pieces(texts):
+                    total += of_batch(labels[part], texts[part])
         yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total)], names=["slot", "x"])
 
     summed = rows.mapInArrow(run, "slot int, x double").groupBy("slot").agg(F.sum("x").alias("x")).collect()  # a row a slot
@@ -106,7 +126,8 @@ def score(text: Column, weights: list[float]) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def told(texts: pd.Series) -> pd.Series:
-        z = odds(texts.tolist(), known)[0]
+        listed = texts.tolist()
+        z = np.concatenate([np.zeros(0), *(odds(listed[part], known)[0] for part in pieces(listed))])
         return pd.Series(np.round(1 / (1 + np.exp(-np.clip(z, -500, 500))), 6))
 
     return told(preclean(text))

@@ -4,13 +4,16 @@ import ast
 import random
 import re
 import time
+import weakref
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from huskline.functions import parsing, rules
 from huskline.functions import text as tx
-from huskline.operators import bayes, detect, features, labels, lines, metrics, sampling, vocab
+from huskline.operators import bayes, charmodel, detect, features, labels, lines, metrics, sampling, vocab
+from huskline.plans import registry
 from huskline.sources import trees
 
 
@@ -277,3 +280,25 @@ def test_models_are_counted_once_and_common_tokens_dealt_out(spark, monkeypatch)
     for common in (1, 30, 1000):
         monkeypatch.setattr(bayes, "COMMON", common)
         assert {r.key: r.score for r in bayes.score(rows, trained, ["key"]).collect()} == told
+
+
+def test_python_holds_one_tree_and_few_characters_at_once(spark, monkeypatch):
+    held, most, parse = weakref.WeakSet(), [], parsing._tree
+
+    def counted(text):
+        tree = parse(text)
+        if tree:
+            held.add(tree)
+        most.append(len(held))
+        return tree
+
+    monkeypatch.setattr(parsing, "_tree", counted)
+    told = parsing.node_types.func(pd.Series(["x", "a = 1", None, "(", "f()"]))
+    assert [x and len(x) for x in told.preorder] == [4, 5, None, None, 5] and max(most) == 1
+    monkeypatch.setattr(charmodel, "MOST_CHARS", 5)
+    texts = ["abc", None, "de", "f", "", "a long text", "g", "hijk"]
+    parts = [texts[p] for p in charmodel.pieces(texts)]
+    assert sum(parts, []) == texts and parts == [["abc", None, "de"], ["f", ""], ["a long text"], ["g", "hijk"]] and not list(charmodel.pieces([]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    registry.files(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
