@@ -96,7 +96,8 @@ def marked_lines(files: DataFrame, aggressive: bool = True, parser: bool = True)
     rows = files.withColumn("_comment", comment_flags(F.array_join("lines", "\n")))
     staged = rows.withColumn("_stage", F.transform("lines", lambda x, i: F.when(F.get("_comment", i), rules.stage(x, aggressive))))
     text = lambda x: rules.without_print(rules.bare_comment(x))
-    told = staged.withColumn("_fine", each_compiles(F.transform("lines", lambda x, i: F.when(F.get("_stage", i) == "needs_compile", text(x)))))
+    # Zipped: stages that a lambda names from outside would be made again, for all lines, with each line.
+    told = staged.withColumn("_fine", each_compiles(F.zip_with("lines", "_stage", lambda x, stage: F.when(stage == "needs_compile", text(x)))))
     marked = F.transform("_stage", lambda x, i: F.coalesce(x.isin(*rules.CODE_STAGES), F.lit(False)) | F.get("_fine", i))
     return told.withColumn("marked", marked).drop("_comment", "_stage", "_fine")
 

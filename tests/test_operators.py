@@ -302,3 +302,10 @@ def test_python_holds_one_tree_and_few_characters_at_once(spark, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     registry.files(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+
+
+def test_removal_stages_each_line_once(spark):
+    """No lambda over the lines holds the stages of all lines."""
+    out = detect.removal(spark.createDataFrame([("f", ["x = 1", "# y = f(2)", "# prose here", "# ),", "# else:"])], "file_path string, lines array<string>"))
+    assert not re.search(r"CASE WHEN \(transform\(", out._jdf.queryExecution().optimizedPlan().toString())
+    assert [(p.lineno, p.gone) for p in out.first().parts] == [(1, False), (2, True), (3, False), (4, True), (5, True)]
