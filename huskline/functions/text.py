@@ -60,9 +60,10 @@ def preclean(line: Column) -> Column:
 
 def kind_of(token: Column) -> Column:
     """NAME, NUMBER, STRING, OP, COMMENT or ERROR; null for a triple quote that is not closed."""
+    # No operator fits one of the patterns, so those are asked of other tokens only.
     return (
-        F.when(token.startswith("#"), "COMMENT").when(token.rlike(IS_NAME), "NAME").when(token.rlike(IS_NUMBER), "NUMBER").when(token.rlike(OPENS_TRIPLE) & ~token.rlike(IS_TRIPLE), None)
-        .when((F.length(token) > 1) & token.rlike(IS_STRING), "STRING").when(token.isin(OPERATORS), "OP").otherwise("ERROR")
+        F.when(token.startswith("#"), "COMMENT").when(token.isin(OPERATORS), "OP").when(token.rlike(IS_NAME), "NAME").when(token.rlike(IS_NUMBER), "NUMBER").when(token.rlike(OPENS_TRIPLE) & ~token.rlike(IS_TRIPLE), None)
+        .when((F.length(token) > 1) & token.rlike(IS_STRING), "STRING").otherwise("ERROR")
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,33 +85,44 @@ def probability(odds: Column) -> Column:
     return F.round(1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(500.0)), F.lit(-500.0)))), 6)
 
 
-#: Tokens of a model up to which its weights go to every task, and the slots that they are hashed to.
-MOST_SENT, SLOTS = 200_000, 1 << 14
+#: Tokens of a model, and bytes of them, up to which its weights go to every task.
+MOST_SENT, MOST_BYTES = 4_000_000, 1 << 27
 
 
-def _slot(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(SLOTS)).cast("int")
+def sent_weights(trained: DataFrame) -> tuple[np.ndarray, np.ndarray, pa.Array] | None:
+    """The model's hashes in order, with the odds and the token of each; None if it is too large to be sent, or if two of its tokens have one hash."""
+    size = trained.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0)).alias("bytes")).first()
+    if size.n > MOST_SENT or size.bytes > MOST_BYTES:
+        return None
+    known = trained.select(F.xxhash64("token").alias("hash"), "odds", "token").toArrow().sort_by("hash").combine_chunks()
+    hashes, odds = known["hash"].to_numpy(), known["odds"].to_numpy()
+    if (hashes[1:] == hashes[:-1]).any():
+        return None
+    return hashes, odds, pa.concat_arrays([pa.array([], pa.string()), *known["token"].chunks])
 
 
-def sent_weights(trained: DataFrame) -> DataFrame | None:
-    """The model as one row of one array, of the tokens and odds of each slot; None if it has too many tokens to be sent."""
-    spark = trained.sparkSession
-    known = trained.select(_slot(F.col("token")).alias("slot"), "token", "odds").limit(MOST_SENT + 1).toArrow()
-    if known.num_rows > MOST_SENT:
-        return None
-    slots: list[list[dict]] = [[] for _ in range(SLOTS)]
-    for row in known.to_pylist():
-        slots[row["slot"]].append({"token": row["token"], "odds": row["odds"]})
-    kind = pa.list_(pa.list_(pa.struct([("token", pa.string()), ("odds", pa.float64())])))
-    return spark.createDataFrame(pa.table({"slots": pa.array([slots], kind)}))
+def added_odds(tokens: pa.Array, weights: tuple[np.ndarray, np.ndarray, pa.Array]) -> np.ndarray:
+    """Odds of each token array (of token and hash), added in order.  A token is looked for by its hash, and must be the one that is found there."""
+    hashes, odds, names = weights
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
+    flat = tokens.flatten()
+    if not len(hashes) or not len(flat):
+        return np.zeros(len(tokens))
+    own, asked = flat.field("token"), flat.field("hash").to_numpy()
+    at = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
+    hit = np.flatnonzero(hashes[at] == asked)
+    hit = hit[pc.equal(own.take(pa.array(hit)), names.take(pa.array(at[hit]))).to_numpy(zero_copy_only=False)]
+    return np.bincount(np.repeat(np.arange(len(tokens)), lengths)[hit], odds[at[hit]], len(tokens))
+
 
+def sum_of_odds(tokens: Column, weights: Broadcast) -> Column:
+    """Odds of a token array, added within the row."""
 
-def sum_of_odds(tokens: Column, slots: Column) -> Column:
-    """Odds of a token array, added within the row; a token is looked for in its slot only."""
+    @F.arrow_udf("double")
+    def told(batch: pa.Array) -> pa.Array:
+        return pa.array(added_odds(batch, weights.value))
 
-    # The weights are named from outside: an accumulator would be copied with every token.
-    found = lambda token: F.get(F.filter(F.get(slots, _slot(token)), lambda e: e["token"] == token), F.lit(0))["odds"]
-    return F.aggregate(tokens, F.lit(0.0), lambda a, token: a + F.coalesce(found(token), F.lit(0.0)))
+    return told(F.transform(tokens, lambda t: F.struct(t.alias("token"), F.xxhash64(t).alias("hash"))))
 
 
 def scored(lines: DataFrame, trained: DataFrame, key: list[str], text: str = "line") -> DataFrame:
@@ -118,9 +132,8 @@ def scored(lines: DataFrame, trained: DataFrame, key: list[str], text: str = "li
     weights = sent_weights(trained)
     if weights is None:
         return lines.join(joined_score(lines.withColumn("line", F.col(text)), trained, key), key)
-    # The optimiser puts both steps together again; a subquery may not be written within the sum.
-    rows = lines.withColumn("_slots", weights.scalar())
-    return rows.withColumn("score", probability(sum_of_odds(token_array(F.col(text)), F.col("_slots")))).drop("_slots")
+    sent = lines.sparkSession.sparkContext.broadcast(weights)
+    return lines.withColumn("score", probability(sum_of_odds(token_array(F.col(text)), sent)))
 
 
 def score(lines: DataFrame, trained: DataFrame, key: list[str]) -> DataFrame:

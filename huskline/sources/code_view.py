@@ -32,6 +32,9 @@ TEMPLATE = """CASE CAST((doc_id * 7 + pos) % 24 AS INT)
  WHEN 22 THEN concat('#  \"', w1, '\": ', w2, ',')
  ELSE concat('print(', w1, ')  # ', w2) END"""
 
+#: The case of a line, as the template has it.
+CASE = "CAST((doc_id * 7 + pos) % 24 AS INT)"
+
 #: Split of a file by its id.
 SPLIT = "CASE WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'valid' ELSE 'train' END"
 
@@ -40,19 +43,19 @@ def code_files(documents: DataFrame) -> DataFrame:
     """One row a file: doc_id, file_path, split, lang, lines (array), docstring.  No shuffle."""
     w1 = "coalesce(nullif(regexp_extract(ln, '[A-Za-z]+', 0), ''), 'w')"
     w2 = "coalesce(nullif(regexp_extract(ln, '[A-Za-z]+[^A-Za-z]+([A-Za-z]+)', 1), ''), 'v')"
-    # Words are bound first, so that each is extracted once a line.
-    bound = f"transform(transform(split(text, '\\n'), (ln, pos) -> struct(ln, pos, {w1} AS w1, {w2} AS w2)), t -> {_of_struct()})"
+    # Words and the number of the case are bound first, so that each is made once a line.
+    bound = f"transform(transform(split(text, '\\n'), (ln, pos) -> struct(ln, pos, {CASE} AS k, {w1} AS w1, {w2} AS w2)), t -> {_of_struct()})"
     return documents.where("text is not null").select(
         "doc_id", F.expr("concat('/src/', source, '/', CAST(doc_id AS STRING), '.py')").alias("file_path"), F.expr(SPLIT).alias("split"), "lang", F.expr(bound).alias("lines"), F.substring_index("text", "\n", 1).alias("docstring"),
     )
 
 
 def _of_struct() -> str:
-    out = TEMPLATE
+    out = TEMPLATE.replace(f"CASE {CASE}", "CASE t.k")
     for name in ("pos", "ln", "w1", "w2"):
         for before, after in ((f"({name} ", f"(t.{name} "), (f" {name},", f" t.{name},"), (f" {name})", f" t.{name})"), (f"({name},", f"(t.{name},")):
             out = out.replace(before, after)
-    return out.replace("+ pos)", "+ t.pos)")
+    return out
 
 
 def with_code(files: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import tokenize
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,21 @@ def test_narrow_score_equals_join(spark, monkeypatch):
     assert {r.key: r.score for r in bayes.scored(lines, trained, ["key"]).collect()} == wide
 
 
+def test_model_of_many_tokens_goes_to_the_rows(spark):
+    """More tokens than 200,000: no shuffle, each token as it is, and none is taken for another."""
+    n = 210_000
+    trained = spark.range(n).select(F.concat(F.lit("t"), "id").alias("token"), F.lit(1).alias("code"), F.lit(1).alias("doc"), (F.col("id") / n - 0.5).alias("odds"))
+    lines = spark.createDataFrame([(0, "t0 t1 t209999"), (1, "t7 other"), (2, ""), (3, None), (4, "t105000 t105000")], "key int, line string")
+    out = bayes.scored(lines, trained, ["key"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    odds = lambda *ids: sum(i / n - 0.5 for i in ids)
+    wanted = [odds(0, 1, 209_999), odds(7), 0, 0, 0]
+    assert [r.score for r in out.orderBy("key").collect()] == [round(1 / (1 + np.exp(-x)), 6) for x in wanted]
+    hashes, names = np.array([5, 9]), pa.array(["a", "b"])
+    asked = pa.array([[{"token": "a", "hash": 5}, {"token": "x", "hash": 9}], None, [{"token": "b", "hash": 9}, {"token": "b", "hash": 7}]])
+    assert bayes.added_odds(asked, (hashes, np.array([1.0, 2.0]), names)).tolist() == [1.0, 0.0, 2.0]
+
+
 def slots_of(text):
     c = [ord(x) for x in text]
     return [(a * 31 + 1) % 1021 for a in c] + [(a * 131 + b * 31 + 2) % 1021 for a, b in zip(c, c[1:])] + [(a * 17161 + b * 131 + d * 31 + 3) % 1021 for a, b, d in zip(c, c[1:], c[2:])]
