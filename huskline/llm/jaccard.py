@@ -121,17 +121,17 @@ def read_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                more = np.frombuffer(zlib.decompress(counts), np.int64)
+                more = _unpacked(counts)
                 sums[part] = sums[part] + more if part in sums else more
         for part, counts in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_narrow(counts)], pa.binary())], names=["part", "counts"])
 
     made = stash(_texts(docs).mapInArrow(run, "doc_id long, f long, n long, part int, salt int, counts binary"))
     some = made.where("part is not null").repartition("part", "salt").select("part", "counts").mapInArrow(add_up, "part int, counts binary")
     sums = some.repartition("part").mapInArrow(add_up, "part int, counts binary").collect()  # one row a part
     counters = np.zeros(COUNTERS, np.int64)
     for r in sums:
-        counters[r.part * (COUNTERS // PARTS) : (r.part + 1) * (COUNTERS // PARTS)] = np.frombuffer(zlib.decompress(r.counts), np.int64)
+        counters[r.part * (COUNTERS // PARTS) : (r.part + 1) * (COUNTERS // PARTS)] = _unpacked(r.counts)
     rows = made.where("part is null").select("doc_id", "f", "n")
     rows.stash_path = made.stash_path
     return rows, np.minimum(np.log2(counters + 1) * STEPS, 255).astype(np.uint8)
@@ -144,10 +144,24 @@ def _slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1)
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """A part's counters in as few bytes each as the largest needs, compressed."""
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max())).tobytes(), 1)
+
+
+def _unpacked(part: bytes) -> np.ndarray:
+    plain = zlib.decompress(part)
+    return np.frombuffer(plain, f"u{len(plain) // (COUNTERS // PARTS)}").astype(np.int64)
+
+
+#: Shares of the tasks whose counters are added up before those of all.
+SHARES = 8
+
+
 def _packed(counters: np.ndarray, salt: int) -> pa.RecordBatch:
-    counts = [zlib.compress(x.tobytes(), 1) for x in np.split(counters, PARTS)]
+    counts = [_narrow(x) for x in np.split(counters, PARTS)]
     blank = pa.nulls(PARTS, pa.int64())
-    return pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(range(PARTS), pa.int32()), pa.array([salt % 64] * PARTS, pa.int32()), pa.array(counts, pa.binary())], names=NAMES)
+    return pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(range(PARTS), pa.int32()), pa.array([salt % SHARES] * PARTS, pa.int32()), pa.array(counts, pa.binary())], names=NAMES)
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray) -> DataFrame:
@@ -332,9 +346,11 @@ def matching(pairs: DataFrame, sets: DataFrame, required) -> DataFrame:
             keep = pa.array(_searched(b, required))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["hub", "f"])
 
-    side = pairs.join(sets, "f")
-    both = side.join(sets.select(F.col("f").alias("hub"), F.col("n").alias("m"), F.col("tokens").alias("others")), "hub")
-    return stash(both.select("hub", "f", "n", "m", "tokens", "others").mapInArrow(run, "hub long, f long"))
+    # Named anew for both joins alike, so that Spark shuffles the sets once for both.
+    named = lambda *names: sets.select(*(F.col(c).alias(new) for c, new in zip(("f", "n", "tokens"), names)))
+    side = pairs.join(named("own", "size", "held"), F.col("f") == F.col("own"))
+    both = side.join(named("hub", "m", "others"), "hub")
+    return stash(both.select("hub", "f", F.col("size").alias("n"), "m", F.col("held").alias("tokens"), "others").mapInArrow(run, "hub long, f long"))
 
 
 def likely(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:

@@ -672,3 +672,27 @@ def test_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TABLES}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, TABLES).toPandas(), con.execute(queries.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_sets_of_pairs_are_shuffled_once(spark, monkeypatch):
+    """Both joins of `matching` read one shuffle of the sets; counters of the sketch take few bytes and come back whole."""
+    from huskline.llm import jaccard
+
+    sets = spark.range(200).select(F.col("id").alias("f"), F.lit(3).alias("n"), F.expr("array(1L, 2L, if(id % 2 = 0, 3L, 100 + id))").alias("tokens"))
+    pairs = spark.range(199).select(F.col("id").alias("hub"), (F.col("id") + 1).alias("f")).unionByName(spark.range(198).select(F.col("id").alias("hub"), (F.col("id") + 2).alias("f")))
+    plans, limit = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(jaccard, "stash", lambda df: plans.append(df) or df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {(r.hub, r.f) for r in jaccard.matching(pairs, sets, lambda n, m, k, ks: np.full(len(n), 3)).collect()}
+        plans[0].collect()
+        assert "ReusedExchange" in plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert found == {(i, i + 2) for i in range(0, 198, 2)}
+    size = jaccard.COUNTERS // jaccard.PARTS
+    for most in (1, 255, 256, 70_000, 2**40):
+        counts = np.random.default_rng(1).integers(0, most, size)
+        counts[0] = most
+        assert (jaccard._unpacked(jaccard._narrow(counts)) == counts).all()
+    assert len(jaccard._narrow(np.random.default_rng(1).poisson(2.0, size))) < size
