@@ -40,12 +40,6 @@ def compiles(text: pd.Series) -> pd.Series:
     return text.map(lambda t: _tree(t, "compile") is not None).astype(bool)
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def each_compiles(texts: pd.Series) -> pd.Series:
-    """Of every text of an array: does it compile?  A null does not."""
-    return texts.map(lambda all_: [_tree(t, "compile") is not None for t in all_])
-
-
 def _preorder(tree: ast.AST) -> list[str]:
     out, todo = [], [tree]
     while todo:
@@ -91,11 +85,13 @@ def comment_rows(code: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
-def comment_flags(code: pd.Series) -> pd.Series:
-    """The same as one flag a line, up to the last comment."""
+def code_comments(code: pd.Series, known: pd.Series, open_: pd.Series) -> pd.Series:
+    """One flag a line: is it nothing but a comment, and `known` to be code, or does its `open_` text compile (a null does not)?"""
 
-    def one(text: str | None) -> list[bool]:
+    def one(text: str | None, sure: list[bool] | None, asked: list[str | None] | None) -> list[bool] | None:
+        if asked is None:
+            return None
         rows = set(_comment_rows(text))
-        return [i in rows for i in range(1, max(rows, default=0) + 1)]
+        return [i in rows and (bool(s) or _tree(t, "compile") is not None) for i, (s, t) in enumerate(zip(sure, asked), 1)]
 
-    return code.map(one)
+    return pd.Series([one(*x) for x in zip(code, known, open_)], dtype=object)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import comments as native
 from ..functions import rules
-from ..functions.parsing import comment_flags, compiles, each_compiles, parses
+from ..functions.parsing import code_comments, compiles, parses
 from ..functions.text import bind
 
 
@@ -93,13 +93,11 @@ def marked_lines(files: DataFrame, aggressive: bool = True, parser: bool = True)
         # Bound as one value, as an array that a lambda names from outside would be made again for each line.
         code = lambda x, flag: flag & rules.stage(x, aggressive).isin(*rules.CODE_STAGES)
         return files.withColumn("marked", bind(F.col("lines"), lambda lines: F.zip_with(lines, native.comment_flags(lines), code)))
-    rows = files.withColumn("_comment", comment_flags(F.array_join("lines", "\n")))
-    staged = rows.withColumn("_stage", F.transform("lines", lambda x, i: F.when(F.get("_comment", i), rules.stage(x, aggressive))))
+    # Rules come first, for all lines, so that one Python worker a task tells comments and compiles what is open.
     text = lambda x: rules.without_print(rules.bare_comment(x))
-    # Zipped: stages that a lambda names from outside would be made again, for all lines, with each line.
-    told = staged.withColumn("_fine", each_compiles(F.zip_with("lines", "_stage", lambda x, stage: F.when(stage == "needs_compile", text(x)))))
-    marked = F.transform("_stage", lambda x, i: F.coalesce(x.isin(*rules.CODE_STAGES), F.lit(False)) | F.get("_fine", i))
-    return told.withColumn("marked", marked).drop("_comment", "_stage", "_fine")
+    told = lambda x: bind(rules.stage(x, aggressive), lambda s: F.struct(s.isin(*rules.CODE_STAGES).alias("known"), F.when(s == "needs_compile", text(x)).alias("open")))
+    staged = files.withColumn("_told", F.transform("lines", told))
+    return staged.withColumn("marked", code_comments(F.array_join("lines", "\n"), F.col("_told.known"), F.col("_told.open"))).drop("_told")
 
 
 def removal(files: DataFrame, aggressive: bool = True, parser: bool = True) -> DataFrame:

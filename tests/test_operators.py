@@ -309,3 +309,11 @@ def test_removal_stages_each_line_once(spark):
     out = detect.removal(spark.createDataFrame([("f", ["x = 1", "# y = f(2)", "# prose here", "# ),", "# else:"])], "file_path string, lines array<string>"))
     assert not re.search(r"CASE WHEN \(transform\(", out._jdf.queryExecution().optimizedPlan().toString())
     assert [(p.lineno, p.gone) for p in out.first().parts] == [(1, False), (2, True), (3, False), (4, True), (5, True)]
+
+
+def test_removal_starts_one_python_worker_a_task(spark):
+    lines = ["x = '''", "# y = f(2)", "'''", "# y = f(2)", "# prose here", "# ),", "# print x", "z = 1  # q = 2"]
+    df = spark.createDataFrame([("f", lines), ("g", []), ("h", None)], "file_path string, lines array<string>")
+    out = detect.marked_lines(df)
+    assert len(re.findall("ArrowEvalPython", out._jdf.queryExecution().executedPlan().toString())) == 1
+    assert {r.file_path: r.marked and [bool(m) for m in r.marked] for r in out.collect()} == {"f": [False, False, False, True, False, True, True, False], "g": [], "h": None}
