@@ -12,12 +12,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Longer texts count as not parsing: bounds the parser's time and stack.
-MOST_CHARS = 200_000
-
 
 def _tree(text: str | None, how: str = "parse"):
-    if text is None or len(text) > MOST_CHARS:
+    """The tree of a text of any length; None where Python's own parser refuses it, as it does what is nested deeper than its own fixed limits."""
+    if text is None:
         return None
     try:
         with warnings.catch_warnings():

@@ -317,3 +317,14 @@ def test_removal_starts_one_python_worker_a_task(spark):
     out = detect.marked_lines(df)
     assert len(re.findall("ArrowEvalPython", out._jdf.queryExecution().executedPlan().toString())) == 1
     assert {r.file_path: r.marked and [bool(m) for m in r.marked] for r in out.collect()} == {"f": [False, False, False, True, False, True, True, False], "g": [], "h": None}
+
+
+def test_texts_of_any_length_are_parsed(spark, tmp_path):
+    code = "x = f(1)\n" * 30_000
+    told = parsing.node_types.func(pd.Series([code, code + "("]))
+    assert [x and len(x) for x in told.preorder] == [1 + 7 * 30_000, None] and [x and len(x) for x in told.breadth_first] == [1 + 7 * 30_000, None]
+    assert list(parsing.parses.func(pd.Series([code, code + "("]))) == list(parsing.compiles.func(pd.Series([code, code + "("]))) == [True, False]
+    assert parsing.parses.func(pd.Series(["-" * 300_000 + "1", "1+" * 150_000 + "1", "(" * 300_000])).sum() == 0  # Python itself refuses these
+    spark.createDataFrame([(24, "a b " * 62_500, "en", "web"), (48, "b", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in registry.QUERIES["ast_sequences_files"](spark, str(tmp_path)).collect()) == [(24, "Module", "Module"), (48, "Module", "Module")]
+    assert {r.split: r.parsing for r in registry.QUERIES["parse_pass_counts"](spark, str(tmp_path)).collect()} == {"train": 2}
