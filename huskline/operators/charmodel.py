@@ -4,7 +4,7 @@ A text is the share of each slot among its n-grams of one to three characters.
 Bayes, and are moved by a fixed number of steps along the whole gradient.  A step is one pass over the rows in Arrow batches: each task gives
 one sum a slot, and these are added up, so a step moves as many numbers as there are weights, whatever the rows.  Scores are made within the row.
 
-Training takes at most about `MOST_ROWS` rows, chosen by the hash of their key; nothing else is bounded, and texts count whole.
+Training takes every row, and texts count whole.  Only `train(most=...)` takes fewer, chosen by the hash of their key: the queries whose SQL has that bound (`MOST_ROWS`) ask for it.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def pieces(texts: list[str | None]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def sample(lines: DataFrame, key: Column, most: int = MOST_ROWS) -> DataFrame:
+def sample(lines: DataFrame, key: Column, most: int) -> DataFrame:
     """About `most` of the rows, by the hash of `key`; all if they are fewer."""
     total = lines.count()
     share = int(10_000 * min(1.0, most / max(1, total)))
@@ -90,9 +90,9 @@ def _added(rows: DataFrame, of_batch, width: int) -> np.ndarray:
     return out
 
 
-def train(lines: DataFrame, key: Column, most: int = MOST_ROWS, steps: int = STEPS) -> list[float]:
-    """Weights of all slots, and the bias, from lines (line, label: 1 is documentation); lines that are empty without blanks and quotes are left out."""
-    rows = sample(lines, key, most).select(F.col("label").cast("double").alias("label"), preclean(F.col("line")).alias("text")).where(F.length("text") > 0)
+def train(lines: DataFrame, key: Column, most: int | None = None, steps: int = STEPS) -> list[float]:
+    """Weights of all slots, and the bias, from all lines (line, label: 1 is documentation), or about `most` of them; lines that are empty without blanks and quotes are left out."""
+    rows = (lines if most is None else sample(lines, key, most)).select(F.col("label").cast("double").alias("label"), preclean(F.col("line")).alias("text")).where(F.length("text") > 0)
     rows = rows.persist(StorageLevel.DISK_ONLY)  # made again where it is lost
 
     def counted(labels, texts):

@@ -244,10 +244,11 @@ def _grams(line: str) -> str:
     return f"list_transform([{c}], lambda c: list_concat(list_concat(list_transform(c, lambda y: (y * 31 + 1) % {SLOTS}), {two.format(s=SLOTS)}), {three.format(s=SLOTS)}))[1]"
 
 
-def _char_model() -> str:
-    """cw: the weights after all steps."""
+def _char_model(most: int | None = MOST_ROWS) -> str:
+    """cw: the weights after all steps, from all training lines or from about `most` of them."""
+    bound = "" if most is None else f" AND CAST(concat('0x', substring(md5(concat(key, '-42')), 1, 8)) AS BIGINT) % 10000 < floor(10000 * least(1.0, {most} / (SELECT count(*) FROM lab WHERE split = 'train')))"
     out = (
-        f", ct AS MATERIALIZED (SELECT key, CAST(label AS DOUBLE) AS y, {_grams(preclean('line'))} AS s FROM lab WHERE split = 'train' AND CAST(concat('0x', substring(md5(concat(key, '-42')), 1, 8)) AS BIGINT) % 10000 < floor(10000 * least(1.0, {MOST_ROWS} / (SELECT count(*) FROM lab WHERE split = 'train')))), "
+        f", ct AS MATERIALIZED (SELECT key, CAST(label AS DOUBLE) AS y, {_grams(preclean('line'))} AS s FROM lab WHERE split = 'train'{bound}), "
         f"cg AS MATERIALIZED (SELECT key, any_value(y) AS y, slot, count(*) * {SCALE} / any_value(n) AS x, count(*) AS k FROM (SELECT key, y, len(s) AS n, unnest(s) AS slot FROM ct) GROUP BY key, slot UNION ALL SELECT key, y, {SLOTS}, 1.0, 0 FROM ct WHERE len(s) > 0), "
         f"cs AS (SELECT slot, sum(k * y) AS doc, sum(k * (1 - y)) AS code FROM cg WHERE slot < {SLOTS} GROUP BY slot), "
         f"c0 AS MATERIALIZED (SELECT i AS slot, CASE WHEN i = {SLOTS} THEN 0.0 ELSE ln((coalesce(doc, 0) + 1) / ((SELECT sum(doc) FROM cs) + {SLOTS})) - ln((coalesce(code, 0) + 1) / ((SELECT sum(code) FROM cs) + {SLOTS})) END AS w FROM range({SLOTS} + 1) t(i) LEFT JOIN cs ON cs.slot = i)"
@@ -266,8 +267,8 @@ def _char_score(line: str) -> str:
 
 
 SQL["char_weights"] = LABELLED + _char_model() + f" SELECT CAST(slot AS INT) AS slot, round(w, 6) AS weight FROM c{STEPS}"
-_char_held = LABELLED + _char_model() + f", cd AS (SELECT doc_id, idx, label, {_char_score('line')} AS score FROM lab, cw WHERE split <> 'train') "
-SQL["char_score"] = _char_held + "SELECT * FROM cd"
+_char_held = f", cd AS (SELECT doc_id, idx, label, {_char_score('line')} AS score FROM lab, cw WHERE split <> 'train') "
+SQL["char_score"] = LABELLED + _char_model() + _char_held + "SELECT * FROM cd"
 
 
 def exact_auc(rows: str, truth: str) -> str:
@@ -275,7 +276,7 @@ def exact_auc(rows: str, truth: str) -> str:
     return f"SELECT round(sum(n * (above + p / 2)) / nullif(max(all_p) * max(all_n), 0), 6) AS auc FROM (SELECT *, coalesce(sum(p) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, sum(p) OVER () AS all_p, sum(n) OVER () AS all_n FROM (SELECT score, count(*) FILTER ({truth}) AS p, count(*) FILTER (NOT ({truth})) AS n FROM {rows} GROUP BY score))"
 
 
-SQL["char_auc"] = _char_held + exact_auc("cd", "label = 1")
+SQL["char_auc"] = LABELLED + _char_model(None) + _char_held + exact_auc("cd", "label = 1")
 _held = LABELLED + _bayes("split = 'train'") + ", held AS (SELECT * FROM lab WHERE split <> 'train')" + _score("held", "doc_id, idx", "line")
 _adjacent = f"len(list_filter(range(1, len(t)), lambda i: t[i].kind = 'NAME' AND t[i + 1].kind = 'NAME' AND NOT list_contains({array(tx.KEYWORDS)}, t[i].tok) AND NOT list_contains({array(tx.KEYWORDS)}, t[i + 1].tok))) > 0"
 _voted = (

@@ -6,6 +6,8 @@ import re
 import time
 import weakref
 
+import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -328,3 +330,37 @@ def test_texts_of_any_length_are_parsed(spark, tmp_path):
     spark.createDataFrame([(24, "a b " * 62_500, "en", "web"), (48, "b", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(tuple(r) for r in registry.QUERIES["ast_sequences_files"](spark, str(tmp_path)).collect()) == [(24, "Module", "Module"), (48, "Module", "Module")]
     assert {r.split: r.parsing for r in registry.QUERIES["parse_pass_counts"](spark, str(tmp_path)).collect()} == {"train": 2}
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """Tables with more training lines than the character model's bound, and its weights from all of them."""
+    r = random.Random(3)
+    text = lambda: "\n".join(" ".join(r.choice(["set", "a", "of", "Loop", "42", "the()", "é"]) for _ in range(r.randint(1, 4))) for _ in range(300))
+    path = str(tmp_path_factory.mktemp("many"))
+    spark.createDataFrame([(i, text(), "en", "web") for i in range(130)], "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    lines = registry.labelled(spark, path).where("split = 'train'")
+    assert lines.count() > charmodel.MOST_ROWS * 5 / 4
+    return path, np.array(charmodel.train(lines, F.col("key"), most=10**9))
+
+
+def test_auc_of_a_model_of_every_line(spark, many):
+    path, weights = many
+    told = registry.QUERIES["char_auc"](spark, path).first().auc
+    held = registry.labelled(spark, path).where("split <> 'train'").withColumn("score", charmodel.score(F.col("line"), weights.tolist()))
+    assert told == metrics.exact_auc(held, F.col("label") == 1, F.col("score")).first().auc
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+        assert told == con.execute(registry.SQL["char_auc"]).fetchone()[0]
+
+
+#: Queries with votes of the character model.
+VOTED = []
+
+
+@pytest.mark.parametrize("name", VOTED)
+def test_votes_of_a_model_of_every_line(spark, many, monkeypatch, name):
+    used, score = [], charmodel.score
+    monkeypatch.setattr(charmodel, "score", lambda text, weights: used.append(weights) or score(text, weights))
+    registry.QUERIES[name](spark, many[0])
+    assert len(used) == 1 and np.abs(np.array(used[0]) - many[1]).max() < 1e-9
