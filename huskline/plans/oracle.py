@@ -279,13 +279,18 @@ def exact_auc(rows: str, truth: str) -> str:
 SQL["char_auc"] = LABELLED + _char_model(None) + _char_held + exact_auc("cd", "label = 1")
 _held = LABELLED + _bayes("split = 'train'") + ", held AS (SELECT * FROM lab WHERE split <> 'train')" + _score("held", "doc_id, idx", "line")
 _adjacent = f"len(list_filter(range(1, len(t)), lambda i: t[i].kind = 'NAME' AND t[i + 1].kind = 'NAME' AND NOT list_contains({array(tx.KEYWORDS)}, t[i].tok) AND NOT list_contains({array(tx.KEYWORDS)}, t[i + 1].tok))) > 0"
-_voted = (
-    LABELLED + _tr + _bayes("split = 'train'") + _score("tr", "doc_id, lineno", "content") + _char_model()
-    + f", v0 AS (SELECT sc.*, {lex('content')} AS t, {_char_score('content')} AS chars FROM sc, cw), v AS (SELECT *, len(t) >= 3 AND NOT ({_adjacent}) AND score <= 0.5 AS by_token, chars <= 0.5 AS by_char, rule IN ('candidate', 'main_guard') AS by_rule FROM v0) "
-)
-SQL["model_votes"] = _voted + "SELECT file_path, lineno, score, by_token, by_char FROM v"
-SQL["combine_votes_rules"] = _voted + "SELECT file_path, lineno, content FROM v WHERE by_rule OR (rule <> 'drop' AND by_char)"
-SQL["combine_votes_aggressive_rules"] = _voted + "SELECT file_path, lineno, content FROM v WHERE by_rule OR (rule <> 'drop' AND (by_char OR by_token))"
+
+
+def _voted(most: int | None = MOST_ROWS) -> str:
+    return (
+        LABELLED + _tr + _bayes("split = 'train'") + _score("tr", "doc_id, lineno", "content") + _char_model(most)
+        + f", v0 AS (SELECT sc.*, {lex('content')} AS t, {_char_score('content')} AS chars FROM sc, cw), v AS (SELECT *, len(t) >= 3 AND NOT ({_adjacent}) AND score <= 0.5 AS by_token, chars <= 0.5 AS by_char, rule IN ('candidate', 'main_guard') AS by_rule FROM v0) "
+    )
+
+
+SQL["model_votes"] = _voted(None) + "SELECT file_path, lineno, score, by_token, by_char FROM v"
+SQL["combine_votes_rules"] = _voted() + "SELECT file_path, lineno, content FROM v WHERE by_rule OR (rule <> 'drop' AND by_char)"
+SQL["combine_votes_aggressive_rules"] = _voted() + "SELECT file_path, lineno, content FROM v WHERE by_rule OR (rule <> 'drop' AND (by_char OR by_token))"
 _one = "{'file_path': file_path, 'lineno': lineno, 'content': content, 'offset': 0, 'length': 0, 'module': '', 'problem_class': {'name': '8_2', 'severity': '', 'inspection_name': '8_2', 'attribute_key': ''}, 'entry_point': {'TYPE': '', 'FQNAME': ''}, 'description': 'Do not use comment lines to make the code invalid.'}"
 SQL["findings_json_rules"] = VIEW + _tr + f"SELECT file_path, CAST(to_json({{'problems': list({_one} ORDER BY lineno)}}) AS VARCHAR) AS document FROM tr WHERE rule IN ('candidate', 'main_guard') GROUP BY file_path"
 SQL["findings_flat_rules"] = VIEW + _tr + "SELECT file_path, lineno, content FROM tr WHERE rule IN ('candidate', 'main_guard')"
