@@ -355,7 +355,7 @@ def test_auc_of_a_model_of_every_line(spark, many):
 
 
 #: Queries with votes of the character model.
-VOTED = ["model_votes", "code_flags", "combine_votes", "combine_votes_aggressive", "scan_findings"]
+VOTED = ["model_votes", "code_flags", "combine_votes", "combine_votes_aggressive", "scan_findings", "scan_summary"]
 
 
 @pytest.mark.parametrize("name", VOTED)
